@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from basewise.plans import data_quality
+from basewise.plans import data_quality, events, regions
 
-MODULES = [data_quality]
+MODULES = [data_quality, regions, events]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
