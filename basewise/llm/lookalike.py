@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basewise.session import cut_lineage
+
 # Letters of other scripts drawn like a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTXaesijopcyxhdqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"))
@@ -115,7 +117,8 @@ def lookalike_pairs(documents: DataFrame, id_column: str = "doc_id", text: str =
     then joined with their documents, so copies of one text are never compared with each other.
     A document id that is repeated gives its pairs once.
     """
-    members = lookalike_classes(documents, id_column, text)
+    # three steps read the digests; the documents are read once
+    members = cut_lineage(lookalike_classes(documents, id_column, text))
     spellings = members.groupBy("look", "spelling").count().select("look", "spelling")
     several = spellings.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     kept = spellings.join(several, "look")
