@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from basewise.plans import data_quality, events, profiles, regions
+from basewise.plans import data_quality, events, profiles, regions, sequences
 
-MODULES = [data_quality, regions, events, profiles]
+MODULES = [data_quality, regions, events, profiles, sequences]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
