@@ -39,15 +39,18 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the one the cluster names in ``spark.checkpoint.dir``, or the checkpoint folder already set.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    that names none (a test) gets a temporary one.
+    Only a session that names none (a test) gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basewise-checkpoint-")
-        )
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basewise-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
