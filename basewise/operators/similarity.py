@@ -7,6 +7,10 @@ and swaps them.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,56 +33,112 @@ def _sum2(a: Column, b: Column, f) -> Column:
     return total(F.zip_with(a, b, f))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return _sum2(a, b, lambda x, y: (x - y) * (x - y))
-
-
 def kl_divergence(a: Column, b: Column) -> Column:
     """Of positive profiles, in nats."""
     return _sum2(a, b, lambda x, y: x * F.ln((x + TINY) / (y + TINY)))
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Null where either is constant."""
-    n = F.size(a)
-    ma, mb = total(a) / n, total(b) / n
-    cov = _sum2(a, b, lambda x, y: (x - ma) * (y - mb))
-    va, vb = _sum2(a, a, lambda x, y: (x - ma) * (y - ma)), _sum2(b, b, lambda x, y: (x - mb) * (y - mb))
-    return cov / F.nullif(F.sqrt(va * vb), F.lit(0.0))
+def _wide(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return q[:, None, :], p[None, :, :]
+
+
+def np_squared(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    a, b = _wide(q, p)
+    return ((a - b) ** 2).sum(axis=2)
+
+
+def np_kl(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    a, b = _wide(q, p)
+    return (a * np.log((a + TINY) / (b + TINY))).sum(axis=2)
+
+
+def np_log_symmetric_kl(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):  # a profile and itself
+        return np.log(np_kl(q, p) + np_kl(p, q).T)
+
 
+def np_pearson(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """NaN where either is constant."""
+    a, b = q - q.mean(axis=1, keepdims=True), p - p.mean(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return a @ b.T / np.sqrt((a * a).sum(axis=1)[:, None] * (b * b).sum(axis=1))
 
-def weighted_pearson(a: Column, b: Column) -> Column:
+
+def np_weighted_pearson(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Pearson correlation weighted by the mean of the two profiles."""
-    w = F.zip_with(a, b, lambda x, y: (x + y) / 2)
-    sw = total(w)
-    ma, mb = _sum2(w, a, lambda x, y: x * y) / sw, _sum2(w, b, lambda x, y: x * y) / sw
-    pair = F.zip_with(a, b, lambda x, y: F.struct((x - ma).alias("x"), (y - mb).alias("y")))
-    cov = total(F.zip_with(w, pair, lambda v, p: v * p["x"] * p["y"]))
-    va, vb = total(F.zip_with(w, pair, lambda v, p: v * p["x"] * p["x"])), total(F.zip_with(w, pair, lambda v, p: v * p["y"] * p["y"]))
-    return cov / F.nullif(F.sqrt(va * vb), F.lit(0.0))
+    a, b = _wide(q, p)
+    w = (a + b) / 2
+    total_w = w.sum(axis=2)
+    x = a - ((w * a).sum(axis=2) / total_w)[:, :, None]
+    y = b - ((w * b).sum(axis=2) / total_w)[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (w * x * y).sum(axis=2) / np.sqrt((w * x * x).sum(axis=2) * (w * y * y).sum(axis=2))
 
 
 #: Scores of two cells (a1, b1 the watson and a2, b2 the crick values of a and b), summed over the length of a strand.
 CELL_SCORES = {
-    "linear": lambda a1, a2, b1, b2: F.abs(a1 - b1) + F.abs(a2 - b2),
-    "euclidean": lambda a1, a2, b1, b2: F.sqrt((a1 - b1) * (a1 - b1) + (a2 - b2) * (a2 - b2)),
-    "sorensen": lambda a1, a2, b1, b2: (F.abs(a1 - b1) + F.abs(a2 - b2)) / (a1 + a2 + b1 + b2 + TINY),
-    "soergel": lambda a1, a2, b1, b2: (F.abs(a1 - b1) + F.abs(a2 - b2)) / (F.greatest(a1, b1) + F.greatest(a2, b2) + TINY),
-    "lorentzian": lambda a1, a2, b1, b2: F.ln(1 + F.abs(a1 - b1)) + F.ln(1 + F.abs(a2 - b2)),
+    "linear": lambda a1, a2, b1, b2: abs(a1 - b1) + abs(a2 - b2),
+    "euclidean": lambda a1, a2, b1, b2: np.sqrt((a1 - b1) ** 2 + (a2 - b2) ** 2),
+    "sorensen": lambda a1, a2, b1, b2: (abs(a1 - b1) + abs(a2 - b2)) / (a1 + a2 + b1 + b2 + TINY),
+    "soergel": lambda a1, a2, b1, b2: (abs(a1 - b1) + abs(a2 - b2)) / (np.maximum(a1, b1) + np.maximum(a2, b2) + TINY),
+    "lorentzian": lambda a1, a2, b1, b2: np.log(1 + abs(a1 - b1)) + np.log(1 + abs(a2 - b2)),
     "pce": lambda a1, a2, b1, b2: (a1 * b1 + a2 * b2) / (a1 * a1 + a2 * a2 + b1 * b1 + b2 * b2 - a1 * b1 - a2 * b2 + TINY),
-    "squared_chi": lambda a1, a2, b1, b2: ((a1 - b1) * (a1 - b1) + (a2 - b2) * (a2 - b2)) / (a1 + a2 + b1 + b2 + TINY),
-    "divergence": lambda a1, a2, b1, b2: 2 * ((a1 - b1) * (a1 - b1) / ((a1 + b1) * (a1 + b1) + TINY) + (a2 - b2) * (a2 - b2) / ((a2 + b2) * (a2 + b2) + TINY)),
-    "clark": lambda a1, a2, b1, b2: F.sqrt(((a1 - b1) / (a1 + b1 + TINY)) * ((a1 - b1) / (a1 + b1 + TINY)) + ((a2 - b2) / (a2 + b2 + TINY)) * ((a2 - b2) / (a2 + b2 + TINY))),
-    "akl": lambda a1, a2, b1, b2: 10 - ((a1 - b1) * F.ln((a1 + TINY) / (b1 + TINY)) + (a2 - b2) * F.ln((a2 + TINY) / (b2 + TINY))) / 2,
+    "squared_chi": lambda a1, a2, b1, b2: ((a1 - b1) ** 2 + (a2 - b2) ** 2) / (a1 + a2 + b1 + b2 + TINY),
+    "divergence": lambda a1, a2, b1, b2: 2 * ((a1 - b1) ** 2 / ((a1 + b1) ** 2 + TINY) + (a2 - b2) ** 2 / ((a2 + b2) ** 2 + TINY)),
+    "clark": lambda a1, a2, b1, b2: np.sqrt(((a1 - b1) / (a1 + b1 + TINY)) ** 2 + ((a2 - b2) / (a2 + b2 + TINY)) ** 2),
+    "akl": lambda a1, a2, b1, b2: 10 - ((a1 - b1) * np.log((a1 + TINY) / (b1 + TINY)) + (a2 - b2) * np.log((a2 + TINY) / (b2 + TINY))) / 2,
 }
 
 
-def cell_score(a: Column, b: Column, name: str) -> Column:
-    n = (F.size(a) / 2).cast("int")
-    score = CELL_SCORES[name]
-    return F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + score(F.get(a, i), F.get(a, i + n), F.get(b, i), F.get(b, i + n))
-    )
+def np_cell_score(name: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def score(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        n = q.shape[1] // 2
+        (a1, b1), (a2, b2) = _wide(q[:, :n], p[:, :n]), _wide(q[:, n:], p[:, n:])
+        return CELL_SCORES[name](a1, a2, b1, b2).sum(axis=2)
+
+    return score
+
+
+def either_way(score: Callable, best: Callable) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The better of a score with a profile and with its reverse complement."""
+    return lambda q, p: best(score(q, p), score(q, p[:, ::-1]))
+
+
+def score_queries(profiles: DataFrame, scores: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]], every: int = 50, id_column: str = "vec_id", digits: int = 8, block: int = 2000) -> DataFrame:
+    """``q_id, id`` and ``scores``: each profile whose id is divisible by ``every`` against all others.
+
+    The queries are a stated set. They go out in blocks of at most ``block``, one pass over the
+    profiles for each; within a task, Arrow batches meet the block as matrices. NaN becomes null.
+    """
+    ids = profiles.where(F.col(id_column) % every == 0).select(id_column, "profile")
+    schema = "q_id bigint, id bigint, " + ", ".join(f"{n} double" for n in scores)
+    out = None
+    held: list = []
+
+    def one(rows: list) -> DataFrame:
+        q_ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), 256):
+                    part = b.iloc[lo : lo + 256]
+                    p, i = np.stack(part["profile"].to_numpy()), part[id_column].to_numpy()
+                    for k in range(0, len(q), 64):
+                        other = q_ids[k : k + 64, None] != i
+                        a, c = np.nonzero(other)
+                        columns = {n: np.round(f(q[k : k + 64], p)[other], digits) for n, f in scores.items()}
+                        yield pd.DataFrame({"q_id": q_ids[k : k + 64][a], "id": i[c], **{n: pd.Series(v).astype(object).where(~np.isnan(v), None) if np.isnan(v).any() else v for n, v in columns.items()}})
+
+        return profiles.select(id_column, "profile").mapInPandas(run, schema)
+
+    for r in ids.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out, held = one(held) if out is None else out.unionByName(one(held)), []
+    if held or out is None:
+        last = one(held) if held else profiles.sparkSession.createDataFrame([], schema)
+        out = last if out is None else out.unionByName(last)
+    return out
 
 
 def query_pairs(profiles: DataFrame, every: int = 50, id_column: str = "vec_id") -> DataFrame:
@@ -91,18 +151,29 @@ def best_shift(pairs: DataFrame, reach: int = 10) -> DataFrame:
     """``q_id, id, distance, shift, reverse``: the least squared distance over shifts of ``reach`` and both orientations.
 
     A shift moves both strands; cells that leave a strand are lost and what remains of both is
-    scaled to sum 1. Ties go to the smaller shift, then forward. A pair without overlap has no row.
+    scaled to sum 1. Ties go to the smaller shift, then the lower one, then forward. A pair
+    without overlap has no row. Pairs of a batch are compared together, one shift at a time.
     """
-    n = (F.size("q") / 2).cast("int")
-    forms = F.explode(F.array(F.struct(F.lit(False).alias("r"), F.col("p").alias("p")), F.struct(F.lit(True).alias("r"), F.reverse("p").alias("p")))).alias("_f")
-    e = pairs.select("q_id", "id", "q", n.alias("_n"), forms).withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).where(F.abs("shift") < F.col("_n"))
-    keep = F.col("_n") - F.abs("shift")
-    qa, pa = F.greatest(F.col("shift"), F.lit(0)) + 1, F.greatest(-F.col("shift"), F.lit(0)) + 1
-    part = lambda x, start: F.concat(F.slice(x, start, keep), F.slice(x, start + F.col("_n"), keep))
-    e = e.withColumn("_q", part(F.col("q"), qa)).withColumn("_p", part(F.col("_f.p"), pa))
-    e = e.withColumn("_sq", total(F.col("_q"))).withColumn("_sp", total(F.col("_p"))).where("_sq > 0 and _sp > 0")
-    d = F.aggregate(
-        F.zip_with("_q", "_p", lambda x, y: x / F.col("_sq") - y / F.col("_sp")), F.lit(0.0), lambda s, v: s + v * v
-    )
-    best = e.withColumn("_d", F.round(d, 12)).groupBy("q_id", "id").agg(F.min(F.struct("_d", F.abs("shift").alias("a"), F.col("shift"), F.col("_f.r").alias("r"))).alias("b"))
-    return best.select("q_id", "id", F.col("b._d").alias("distance"), F.col("b.shift").alias("shift"), F.col("b.r").alias("reverse"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            q, p = np.stack(b["q"].to_numpy()), np.stack(b["p"].to_numpy())
+            n = q.shape[1] // 2
+            best = np.full(len(b), np.inf)
+            shift, reverse = np.zeros(len(b), np.int32), np.zeros(len(b), bool)
+            for d in sorted(range(-min(reach, n - 1), min(reach, n - 1) + 1), key=lambda d: (abs(d), d)):
+                k = n - abs(d)
+                cut = lambda x, s: np.concatenate([x[:, s : s + k], x[:, n + s : n + s + k]], axis=1)  # noqa: B023,E731
+                u = cut(q, max(d, 0))
+                for rev in (False, True):
+                    v = cut(p[:, ::-1] if rev else p, max(-d, 0))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        e = np.round(((u / u.sum(axis=1, keepdims=True) - v / v.sum(axis=1, keepdims=True)) ** 2).sum(axis=1), 12)
+                    better = e < best
+                    best[better], shift[better], reverse[better] = e[better], d, rev
+            found = np.isfinite(best)
+            yield pd.DataFrame({"q_id": b["q_id"][found], "id": b["id"][found], "distance": best[found], "shift": shift[found], "reverse": reverse[found]})
+
+    return pairs.select("q_id", "id", "q", "p").mapInPandas(run, "q_id bigint, id bigint, distance double, shift int, reverse boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,31 +128,24 @@ def stranded(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", "label", sm.to_profile(F.col("embedding"), 1e-9).alias("profile"))
 
 
-def _scored(spark: SparkSession, folder: str, score, best) -> DataFrame:
-    p = sm.query_pairs(stranded(spark, folder))
-    forward, reverse = score(F.col("q"), F.col("p")), score(F.col("q"), F.reverse("p"))
-    return p.select("q_id", "id", F.round(best(forward, reverse), 8).alias("score"))
-
-
 def m20_squared(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder, sm.squared_distance, F.least)
+    return sm.score_queries(stranded(spark, folder), {"score": sm.either_way(sm.np_squared, np.minimum)})
 
 
 def m21_kl(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder, sm.kl_divergence, F.least)
+    return sm.score_queries(stranded(spark, folder), {"score": sm.either_way(sm.np_kl, np.minimum)})
 
 
 def m22_pearson(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder, sm.pearson, F.greatest)
+    return sm.score_queries(stranded(spark, folder), {"score": sm.either_way(sm.np_pearson, np.fmax)})
 
 
 def m23_weighted_pearson(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder, sm.weighted_pearson, F.greatest)
+    return sm.score_queries(stranded(spark, folder), {"score": sm.either_way(sm.np_weighted_pearson, np.fmax)})
 
 
 def m24_cell_scores(spark: SparkSession, folder: str) -> DataFrame:
-    p = sm.query_pairs(stranded(spark, folder))
-    return p.select("q_id", "id", *[F.round(sm.cell_score(F.col("q"), F.col("p"), n), 7).alias(n) for n in sm.CELL_SCORES])
+    return sm.score_queries(stranded(spark, folder), {n: sm.np_cell_score(n) for n in sm.CELL_SCORES}, digits=7)
 
 
 def m25_best_shift(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +154,7 @@ def m25_best_shift(spark: SparkSession, folder: str) -> DataFrame:
 
 def m28_symmetric_kl(spark: SparkSession, folder: str) -> DataFrame:
     """log of the symmetric divergence, the smaller of both orientations."""
-    return _scored(spark, folder, lambda a, b: F.ln(sm.kl_divergence(a, b) + sm.kl_divergence(b, a)), F.least)
+    return sm.score_queries(stranded(spark, folder), {"score": sm.either_way(sm.np_log_symmetric_kl, np.minimum)})
 
 
 def m31_distances(spark: SparkSession, folder: str) -> DataFrame:
