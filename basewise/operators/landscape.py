@@ -115,3 +115,25 @@ def with_neighbours(rows: DataFrame, keys: Sequence[str], pos: str = "pos", tile
     t = t.withColumn("before", F.lag(pos).over(inner)).withColumn("after", F.lead(pos).over(inner))
     j = t.join(edges, [*keys, "_tile"])
     return j.withColumn("before", F.coalesce("before", "_left")).withColumn("after", F.coalesce("after", "_right")).select(*rows.columns, "before", "after")
+
+
+def nearest_places(rows: DataFrame, places: DataFrame, keys: Sequence[str], pos: str = "pos", place: str = "place", tile: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``distance`` to the nearest ``place`` of equal ``keys``; null where there is none.
+
+    Rows and places are ordered together tile by tile; only the first and last place of each
+    tile are carried over the whole key.
+    """
+    p = places.where(F.col(place).isNotNull()).select(*keys, F.col(place).cast("bigint").alias(pos), F.col(place).cast("bigint").alias("_place")).distinct()
+    both = rows.withColumn(pos, F.col(pos).cast("bigint")).withColumn("_row", F.lit(True)).unionByName(p, allowMissingColumns=True).withColumn("_tile", F.floor(F.col(pos) / tile))
+    w = Window.partitionBy(*keys).orderBy("_tile")
+    edges = both.groupBy(*keys, "_tile").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).select(
+        *keys,
+        "_tile",
+        F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
+        F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_right"),
+    )
+    inner = Window.partitionBy(*keys, "_tile").orderBy(pos)
+    both = both.withColumn("_b", F.max("_place").over(inner.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.min("_place").over(inner.rangeBetween(0, Window.unboundedFollowing)))
+    j = both.where("_row").join(edges, [*keys, "_tile"])
+    distance = F.least(F.col(pos) - F.coalesce("_b", "_left"), F.coalesce("_a", "_right") - F.col(pos))
+    return j.select(*rows.columns, distance.alias("distance"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewise.functions.genome import plain_chrom, point_chrom, point_pos
@@ -189,32 +189,11 @@ def j07_nearest_event(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j08_nearest_in_first(spark: SparkSession, folder: str) -> DataFrame:
-    """Distance from each event to the nearest one of its run's first condition.
-
-    Distinct places of the first condition cut each chromosome into stretches; an event's
-    neighbours are the ends of its stretch.
-    """
+    """Distance from each event to the nearest one of its run's first condition."""
     e = event_points(spark, folder)
     right = e.join(_pairs_of_conditions(spark, folder), "cond_id").select("event_id", "cond_id", "first_cond", "chrom", "pos")
-    places = e.select(F.col("cond_id").alias("first_cond"), "chrom", "pos").distinct()
-    tile = 1 << 16
-    # each tile knows its places in order and the nearest ones outside it
-    both = right.select("event_id", "cond_id", "first_cond", "chrom", "pos", F.lit(None).cast("bigint").alias("place")).unionByName(
-        places.select(F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("int").alias("cond_id"), "first_cond", "chrom", "pos", F.col("pos").alias("place"))
-    ).withColumn("_tile", F.floor(F.col("pos") / tile))
-    keys = ["first_cond", "chrom"]
-    edges = both.groupBy(*keys, "_tile").agg(F.min("place").alias("_first"), F.max("place").alias("_last"))
-    w = Window.partitionBy(*keys).orderBy("_tile")
-    edges = edges.select(
-        *keys, "_tile",
-        F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
-        F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_right"),
-    )
-    inner = Window.partitionBy(*keys, "_tile").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys, "_tile").orderBy("pos").rangeBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_b", F.max("place").over(inner)).withColumn("_a", F.min("place").over(after)).where("event_id is not null")
-    j = both.join(edges, [*keys, "_tile"])
-    return j.select("event_id", "cond_id", F.least(F.col("pos") - F.coalesce("_b", "_left"), F.coalesce("_a", "_right") - F.col("pos")).alias("distance"))
+    places = e.select(F.col("cond_id").alias("first_cond"), "chrom", F.col("pos").alias("place"))
+    return ls.nearest_places(right, places, ["first_cond", "chrom"]).select("event_id", "cond_id", "distance")
 
 
 def j10_nearest_region(spark: SparkSession, folder: str) -> DataFrame:

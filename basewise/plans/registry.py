@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from basewise.plans import data_quality, events, models, profiles, regions, sequences, streams
+from basewise.plans import data_quality, events, lookups, models, profiles, regions, sequences, streams
 
-MODULES = [data_quality, regions, events, profiles, sequences, models, streams]
+MODULES = [data_quality, regions, events, lookups, profiles, sequences, models, streams]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -39,11 +39,13 @@ def base_hits(spark: SparkSession, folder: str, channel: str | None = "signal")
     )
 
 
-def current_regions(spark: SparkSession, folder: str) -> DataFrame:
-    """``region_id, run_id, chrom, rstart, rend`` of current rows with both ends, in order."""
+def current_regions(spark: SparkSession, folder: str, placed: bool = True) -> DataFrame:
+    """``region_id, run_id, chrom, rstart, rend`` of current rows with both ends, in order; unless ``placed``, those without a chromosome too."""
     r = current_rows(
         table(spark, folder, "test_regions"), ["region_id"], ["run_id", "chrom", "rstart", "rend"]
-    ).where("region_id is not null and chrom is not null and rstart is not null and rend is not null")
+    ).where("region_id is not null and rstart is not null and rend is not null")
+    if placed:
+        r = r.where("chrom is not null")
     return r.select(
         "region_id",
         "run_id",
