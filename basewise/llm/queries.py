@@ -14,7 +14,7 @@ METRICS = ("cond_sig_hits", "cond_sig_v_ctrl_fold")
 
 
 def _oversized(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.oversized(current_regions(spark, folder), table(spark, folder, "run_config"))
+    return pieces.oversized(current_regions(spark, folder, placed=False), table(spark, folder, "run_config"))
 
 
 def _run_hits(spark: SparkSession, folder: str) -> DataFrame:
