@@ -46,7 +46,7 @@ def composite(hits: DataFrame, points: DataFrame, keys: Sequence[str], half: int
 def normalised(profile: DataFrame, keys: Sequence[str], joint: bool = False) -> DataFrame:
     """``profile`` with values summing to 1 over each key and strand, or over both strands."""
     w = Window.partitionBy(*keys) if joint else Window.partitionBy(*keys, "strand")
-    return profile.withColumn("value", F.col("value") / F.sum("value").over(w))
+    return profile.withColumn("value", F.try_divide(F.col("value"), F.sum("value").over(w)))
 
 
 def filled(profile: DataFrame, keys: Sequence[str], half: int) -> DataFrame:
@@ -79,7 +79,7 @@ def interpolated(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "strand").orderBy("offset")
     at = F.when(F.col("value").isNotNull(), F.struct("offset", "value"))
     j = j.withColumn("_l", F.last(at, ignorenulls=True).over(w)).withColumn("_r", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    share = (F.col("offset") - F.col("_l.offset")) / (F.col("_r.offset") - F.col("_l.offset"))
+    share = F.try_divide(F.col("offset") - F.col("_l.offset"), F.col("_r.offset") - F.col("_l.offset"))
     return j.select(*keys, "strand", "offset", F.coalesce("value", F.col("_l.value") + share * (F.col("_r.value") - F.col("_l.value"))).alias("value"))
 
 
@@ -96,7 +96,7 @@ def central_interval(profile: DataFrame, keys: Sequence[str], share: float = 0.9
     """``keys, left, right``: the offsets within which the middle ``share`` of a profile's total lies, both strands together."""
     both = profile.groupBy(*keys, "offset").agg(F.sum("value").alias("value"))
     w = Window.partitionBy(*keys)
-    run = both.withColumn("_c", F.sum("value").over(w.orderBy("offset")) / F.sum("value").over(w))
+    run = both.withColumn("_c", F.try_divide(F.sum("value").over(w.orderBy("offset")), F.sum("value").over(w)))
     low, high = (1 - share) / 2, 1 - (1 - share) / 2
     return run.groupBy(*keys).agg(F.min(F.when(F.col("_c") > low, F.col("offset"))).alias("left"), F.min(F.when(F.col("_c") >= high, F.col("offset"))).alias("right"))
 

@@ -44,7 +44,7 @@ def information(matrix: DataFrame, pseudo: float = 0.0) -> DataFrame:
     n = sum((F.col(b) + pseudo for b in "acgt"), F.lit(0.0))
     bits = F.lit(0.0)
     for b in "acgt":
-        f = (F.col(b) + pseudo) / n
+        f = F.try_divide(F.col(b) + pseudo, n)
         bits = bits + F.coalesce(f * F.log2(F.nullif(f, F.lit(0.0)) / 0.25), F.lit(0.0))
     return matrix.select("position", bits.alias("bits"))
 
@@ -181,7 +181,7 @@ def roc_auc(rows: DataFrame, keys: Sequence[str], score: str, positive: Column)
     w = Window.partitionBy(*keys).orderBy(F.desc("_s"))
     c = c.withColumn("_before", F.sum("_p").over(w) - F.col("_p"))
     a = c.groupBy(*keys).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum(F.col("_n") * (F.col("_before") + F.col("_p") / 2)).alias("_a"))
-    area = F.when(F.col("positives") == 0, 0.0).when(F.col("negatives") == 0, 1.0).otherwise(F.col("_a") / (F.col("positives").cast("double") * F.col("negatives")))
+    area = F.when(F.col("positives") == 0, 0.0).when(F.col("negatives") == 0, 1.0).otherwise(F.try_divide(F.col("_a"), F.col("positives").cast("double") * F.col("negatives")))
     return a.select(*keys, "positives", "negatives", area.alias("auc"))
 
 

@@ -12,9 +12,10 @@ from basewise.operators.landscape import with_neighbours  # noqa: F401
 
 
 def replicate_weights(totals: DataFrame, condition: str = "cond_id") -> DataFrame:
-    """``totals`` (``cond, rep_id, total, fraction``) with ``weight``: the share of signal reads within the condition."""
-    x = F.col("fraction") * F.col("total")
-    return totals.withColumn("weight", x / F.sum(x).over(Window.partitionBy(condition)))
+    """``totals`` (``cond, rep_id, total, fraction``) with ``weight``: the share of signal reads within the condition, equal shares where there are none."""
+    x = F.coalesce(F.col("fraction") * F.col("total"), F.lit(0.0))
+    w = Window.partitionBy(condition)
+    return totals.withColumn("weight", F.coalesce(F.try_divide(x, F.sum(x).over(w)), 1 / F.count("*").over(w)))
 
 
 def condition_counts(event_rep: DataFrame, scaling: DataFrame, event: Sequence[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def condition_counts(event_rep: DataFrame, scaling: DataFrame, event: Sequence[s
     """
     j = event_rep.join(scaling, "rep_id")
     scaled = F.col("ctrl") * F.col("scale")
-    fold = F.when(F.col("ctrl") > 1, F.col("sig") / scaled).otherwise(F.col("sig"))
+    fold = F.when(F.col("ctrl") > 1, F.coalesce(F.try_divide(F.col("sig"), scaled), F.lit(0.0))).otherwise(F.col("sig"))
     return j.groupBy(*event, "cond_id").agg(F.sum("sig").alias("sig"), F.sum(scaled).alias("ctrl"), F.sum(fold * F.col("weight")).alias("fold"))
 
 
@@ -37,7 +38,7 @@ def p_value(sig: Column, ctrl: Column, total: Column, background: Column, min_fo
     b = binomial_cdf(F.ceil(ctrl), F.ceil(sig + ctrl), F.lit(1.0 / (min_fold + 1)))
     mean = min_fold * F.greatest(ctrl, total * background)
     a = 1 - poisson_cdf(F.ceil(sig) - 1, mean)
-    none = (sig + ctrl <= 0) | ((ctrl > 0) & (sig / ctrl <= min_fold))
+    none = (sig + ctrl <= 0) | ((ctrl > 0) & (sig <= min_fold * ctrl))
     return F.when(none, F.lit(1.0)).otherwise(F.greatest(b, F.greatest(a, F.lit(0.0))))
 
 
@@ -71,7 +72,7 @@ def replicate_scaling(event_rep: DataFrame, event: Sequence[str]) -> DataFrame:
     a = event_rep.select(*event, "cond_id", F.col("rep_id").alias("rep_a"), F.col("sig").alias("_x"))
     b = event_rep.select(*event, "cond_id", F.col("rep_id").alias("rep_b"), F.col("sig").alias("_y"))
     j = a.join(b, [*event, "cond_id"]).where("rep_a <> rep_b")
-    return j.groupBy("cond_id", "rep_a", "rep_b").agg((F.sum(F.col("_x") * F.col("_y")) / F.sum(F.col("_x") * F.col("_x"))).alias("scale"))
+    return j.groupBy("cond_id", "rep_a", "rep_b").agg(F.try_divide(F.sum(F.col("_x") * F.col("_y")), F.sum(F.col("_x") * F.col("_x"))).alias("scale"))
 
 
 def consistent_pairs(event_rep: DataFrame, scaling: DataFrame, event: Sequence[str], q: float = 0.01) -> DataFrame:

@@ -26,7 +26,7 @@ def total(x: Column) -> Column:
 def to_profile(x: Column, floor: float = 0.0) -> Column:
     """Absolute values, at least ``floor``, scaled to sum 1."""
     a = F.transform(x, lambda v: F.greatest(F.abs(v.cast("double")), F.lit(floor)))
-    return F.transform(a, lambda v: v / total(a))
+    return F.transform(a, lambda v: F.try_divide(v, total(a)))
 
 
 def _sum2(a: Column, b: Column, f) -> Column:
@@ -57,6 +57,13 @@ def np_log_symmetric_kl(q: np.ndarray, p: np.ndarray) -> np.ndarray:
         return np.log(np_kl(q, p) + np_kl(p, q).T)
 
 
+def np_rotated_kl(q: np.ndarray, p: np.ndarray, reach: int = 20) -> np.ndarray:
+    """The least divergence over rotations of both strands by up to ``reach``."""
+    n = p.shape[1] // 2
+    turn = lambda d: np.concatenate([np.roll(p[:, :n], d, axis=1), np.roll(p[:, n:], d, axis=1)], axis=1)
+    return np.min([np_kl(q, turn(d)) for d in range(-reach, reach + 1)], axis=0)
+
+
 def np_pearson(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """NaN where either is constant."""
     a, b = q - q.mean(axis=1, keepdims=True), p - p.mean(axis=1, keepdims=True)

@@ -30,7 +30,7 @@ def _totals(spark: SparkSession, folder: str) -> DataFrame:
     """``cond_id, rep_id, total, ctrl_total, fraction``; the fraction is that of tiles with at least 3 signal hits."""
     t = tiles(spark, folder)
     dense = F.sum(F.when(F.col("sig") >= 3, F.col("sig")).otherwise(0.0))
-    return t.groupBy("cond_id", "rep_id").agg(F.sum("sig").alias("total"), F.sum("ctrl").alias("ctrl_total"), (dense / F.sum("sig")).alias("fraction"))
+    return t.groupBy("cond_id", "rep_id").agg(F.sum("sig").alias("total"), F.sum("ctrl").alias("ctrl_total"), F.try_divide(dense, F.sum("sig")).alias("fraction"))
 
 
 def a09_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,11 +264,11 @@ e AS (SELECT event_id, cond_id, region_id, event_point, chrom, pos, found_in_con
 _VALID = _EV + """,
 v AS (SELECT cond_id, event_id, p, coalesce(hits, 0) AS hits FROM e WHERE NOT isnan(p) AND p BETWEEN 0 AND 1)"""
 _TOT = TILES + """,
-tot AS (SELECT cond_id, rep_id, sum(sig) AS total, sum(ctrl) AS ctrl_total, sum(CASE WHEN sig >= 3 THEN sig ELSE 0 END) / sum(sig) AS fraction FROM tiles GROUP BY ALL),
-wgt AS (SELECT *, fraction * total / sum(fraction * total) OVER (PARTITION BY cond_id) AS weight FROM tot),
+tot AS (SELECT cond_id, rep_id, sum(sig) AS total, sum(ctrl) AS ctrl_total, sum(CASE WHEN sig >= 3 THEN sig ELSE 0 END) / nullif(sum(sig), 0) AS fraction FROM tiles GROUP BY ALL),
+wgt AS (SELECT *, coalesce(coalesce(fraction * total, 0) / nullif(sum(coalesce(fraction * total, 0)) OVER (PARTITION BY cond_id), 0), 1.0::DOUBLE / count(*) OVER (PARTITION BY cond_id)) AS weight FROM tot),
 scl AS (SELECT rep_id, coalesce(total / nullif(ctrl_total, 0), 1) AS scale, weight FROM wgt),
 cnd AS (
-  SELECT chrom, tile, cond_id, sum(sig) AS sig, sum(ctrl * scale) AS ctrl, sum(CASE WHEN ctrl > 1 THEN sig / (ctrl * scale) ELSE sig END * weight) AS fold
+  SELECT chrom, tile, cond_id, sum(sig) AS sig, sum(ctrl * scale) AS ctrl, sum(CASE WHEN ctrl > 1 THEN coalesce(sig / nullif(ctrl * scale, 0), 0) ELSE sig END * weight) AS fold
   FROM tiles JOIN scl USING (rep_id) GROUP BY ALL)"""
 
 
@@ -282,7 +282,7 @@ def _log2(x: str) -> str:
     return f"CASE WHEN {x} > 0 AND NOT isnan({x}) AND NOT isinf({x}) THEN round(log2({x}), 3) END"
 
 
-_SCALE = "sum(a.sig * b.sig) / sum(a.sig * a.sig)"
+_SCALE = "sum(a.sig * b.sig) / nullif(sum(a.sig * a.sig), 0)"
 _CONS = f"""
 rsc AS (SELECT a.cond_id, a.rep_id AS rep_a, b.rep_id AS rep_b, {_SCALE} AS scale FROM tiles a JOIN tiles b USING (chrom, tile, cond_id) WHERE a.rep_id <> b.rep_id GROUP BY ALL),
 prb AS (
@@ -300,7 +300,7 @@ SELECT rep_id, round(coalesce(sum(s) / nullif(sum(c), 0), 1), 9) AS by_total, ro
 t AS (SELECT chrom, tile, cond_id, sig, round(ctrl, 6) AS ctrl, total, 1.5 * greatest(round(ctrl, 6), total * 50.0 / g) AS mean FROM cnd JOIN ct USING (cond_id), gl),
 b AS (SELECT *, {_binomial('ceil(ctrl)', 'ceil(sig + ctrl)', '0.4')} AS bp,
   greatest(1 - CASE WHEN ceil(sig) - 1 < 0 THEN 0.0 WHEN mean <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, CAST(ceil(sig) AS BIGINT)), lambda i: exp(-mean + i * ln(mean) - lgamma(i + 1))))) END, 0) AS pp FROM t)
-SELECT chrom, tile, cond_id, round(CASE WHEN sig + ctrl <= 0 OR (ctrl > 0 AND sig / ctrl <= 1.5) THEN 1.0 ELSE greatest(bp, pp) END, 8) AS p FROM b""",
+SELECT chrom, tile, cond_id, round(CASE WHEN sig + ctrl <= 0 OR (ctrl > 0 AND sig <= 1.5 * ctrl) THEN 1.0 ELSE greatest(bp, pp) END, 8) AS p FROM b""",
     "w05_q_values": f"""WITH {_VALID} SELECT cond_id, event_id, least(1.0, p * count(*) OVER (PARTITION BY cond_id) / row_number() OVER (PARTITION BY cond_id ORDER BY p, hits DESC, event_id)) AS q FROM v""",
     "w05_monotone_q": f"""WITH {_VALID}, r AS (SELECT *, row_number() OVER (PARTITION BY cond_id ORDER BY p, hits DESC, event_id) AS k, count(*) OVER (PARTITION BY cond_id) AS n FROM v)
 SELECT cond_id, event_id, min(least(1.0, p * n / k)) OVER (PARTITION BY cond_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM r""",

@@ -74,7 +74,7 @@ def a18_mean_width(spark: SparkSession, folder: str) -> DataFrame:
     """The mean width of the conditions' profiles, weighted by their points, without its fraction."""
     n = points(spark, folder).groupBy("cond_id").agg(F.count("*").alias("n"))
     i = pf.central_interval(_composite(spark, folder), ["cond_id"]).join(n, "cond_id")
-    return i.agg((F.sum((F.col("right") - F.col("left")) * F.col("n")) / F.sum("n")).cast("int").alias("width"))
+    return i.agg((F.try_divide(F.sum((F.col("right") - F.col("left")) * F.col("n")), F.sum("n"))).cast("int").alias("width"))
 
 
 def w08_interpolated(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,6 +157,10 @@ def m28_symmetric_kl(spark: SparkSession, folder: str) -> DataFrame:
     return sm.score_queries(stranded(spark, folder), {"score": sm.either_way(sm.np_log_symmetric_kl, np.minimum)})
 
 
+def m29_best_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    return sm.score_queries(stranded(spark, folder), {"score": sm.np_rotated_kl})
+
+
 def m31_distances(spark: SparkSession, folder: str) -> DataFrame:
     """Correlations as distances from the largest; those at or over the 10th percentile become the largest distance."""
     s = m22_pearson(spark, folder)
@@ -189,7 +193,7 @@ QUERIES = {
     for f in (
         p01_offsets, a12_composite, a21_joint, a20_pseudo_counts, a26_point_profile, w03_moving_average, w04_smoothed, w07_interval, a18_mean_width, w08_interpolated, m10_probabilities,
         m11_lookup, m09_normal_model, a16_distances, a16_weighted, a17_percentiles, m20_squared, m21_kl, m22_pearson, m23_weighted_pearson, m24_cell_scores, m25_best_shift,
-        m28_symmetric_kl, m31_distances, a22_exemplars, e17_classified,
+        m28_symmetric_kl, m29_best_rotation, m31_distances, a22_exemplars, e17_classified,
     )
 }
 

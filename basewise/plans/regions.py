@@ -222,6 +222,16 @@ def e05_components(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("region_id", F.size("at").alias("n"), F.explode("at").alias("position")).withColumn("pi", F.round(1 / F.col("n"), 9)).drop("n")
 
 
+def e06_noise_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of noise among the signal of each current region: expected hits of its width over its hits, within 0.05 and 0.75."""
+    r = current_regions(spark, folder)
+    h = signal(spark, folder).select("run_id", "cond_id", "chrom", "pos", "cnt")
+    held = iv.points_in_intervals(h, r, ["run_id", "chrom"]).groupBy("region_id", "cond_id").agg(F.sum("cnt").alias("hits"), F.max(F.col("rend") - F.col("rstart") + 1).alias("width"))
+    noise = a07_noise_per_base(spark, folder)
+    share = F.col("noise") / 1e6 * F.col("width") / F.col("hits")
+    return held.join(noise, "cond_id").select("region_id", "cond_id", F.round(F.greatest(F.least(share, F.lit(0.75)), F.lit(0.05)), 9).alias("share"))
+
+
 def u01_all_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of all replicates of a condition at one base and strand."""
     return signal(spark, folder).groupBy("cond_id", "chrom", "pos", "strand").agg(F.sum("cnt").alias("cnt"))
@@ -241,7 +251,7 @@ QUERIES = {
         a01_landscape, a01_landscape_plus, a02_landscape_by_replicate, a03_binned_starts, m01_thresholds, m02_alphas, w01_potential_regions, w02_split_regions,
         j01_hits_in_regions, a04_counts_inside, a04_control_inside, a05_signal_fraction, a06_region_length, a07_noise_per_base, a08_control_noise, a27_genome,
         f01_without_ignored, f02_clamped, j02_fragments, j03_regions_by_chrom, j04_complement, u04_merged, j05_hits_near_events, j17_regions_with_peaks,
-        j06_shared_peaks, j07_nearest_event, j08_nearest_in_first, j10_nearest_region, u02_starting_points, e05_components, u01_all_counts, s19_windows,
+        j06_shared_peaks, j07_nearest_event, j08_nearest_in_first, j10_nearest_region, u02_starting_points, e05_components, e06_noise_shares, u01_all_counts, s19_windows,
     )
 }
 
@@ -335,6 +345,11 @@ FROM ign JOIN reg ON ign.chrom = reg.chrom AND abs(rstart - xstart) <= 50000) SE
 s AS (SELECT DISTINCT region_id, position FROM (SELECT region_id, rstart, rend, unnest([pos, pos - 20, pos + 20]) AS position FROM reg JOIN d ON d.chrom = reg.chrom AND pos BETWEEN rstart AND rend) WHERE position BETWEEN rstart AND rend)
 SELECT region_id, coalesce(position, (rstart + rend) // 2) AS position FROM reg LEFT JOIN s USING (region_id)""",
     "e05_components": f"WITH {REGIONS} SELECT region_id, unnest(range(rstart, rend + 1, 30)) AS position, round(1.0::DOUBLE / len(range(rstart, rend + 1, 30)), 9) AS pi FROM reg",
+    "e06_noise_shares": f"""WITH {_POT}, {REGIONS}, i AS ({_in('signal')}), o AS (SELECT cond_id, sum(outside) AS outside FROM i GROUP BY 1),
+l AS (SELECT cond_id, sum(rend - rstart + 1) AS bases FROM pot GROUP BY 1),
+n AS (SELECT cond_id, round(outside * 1e6 / ((SELECT sum(len) FROM gen) - coalesce(bases, 0)), 9) AS noise FROM o LEFT JOIN l USING (cond_id)),
+h AS (SELECT region_id, cond_id, sum(cnt) AS hits, max(rend - rstart + 1) AS width FROM reg JOIN sig ON sig.run_id = reg.run_id AND sig.chrom = reg.chrom AND pos BETWEEN rstart AND rend GROUP BY ALL)
+SELECT region_id, cond_id, round(greatest(least(noise / 1e6 * width / hits, 0.75), 0.05), 9) AS share FROM h JOIN n USING (cond_id)""",
     "u01_all_counts": f"WITH {HITS} SELECT cond_id, chrom, pos, strand, sum(cnt) AS cnt FROM sig GROUP BY ALL",
     "s19_windows": f"""WITH {GENOME}, {IGNORED}, w AS (SELECT chrom, unnest(range(500000, len - 59, 1000000)) AS rstart FROM gen)
 SELECT chrom || ':' || rstart AS window_id, chrom, rstart, rstart + 59 AS rend FROM w WHERE NOT EXISTS (SELECT 1 FROM ign WHERE ign.chrom = w.chrom AND rstart <= xend AND rstart + 59 >= xstart)""",
