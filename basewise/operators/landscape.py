@@ -125,15 +125,17 @@ def nearest_places(rows: DataFrame, places: DataFrame, keys: Sequence[str], pos:
     """
     p = places.where(F.col(place).isNotNull()).select(*keys, F.col(place).cast("bigint").alias(pos), F.col(place).cast("bigint").alias("_place")).distinct()
     both = rows.withColumn(pos, F.col(pos).cast("bigint")).withColumn("_row", F.lit(True)).unionByName(p, allowMissingColumns=True).withColumn("_tile", F.floor(F.col(pos) / tile))
-    w = Window.partitionBy(*keys).orderBy("_tile")
+    # frames begin at the first row in either direction, so each is kept up row by row
+    w, back = Window.partitionBy(*keys).orderBy("_tile"), Window.partitionBy(*keys).orderBy(F.desc("_tile"))
     edges = both.groupBy(*keys, "_tile").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).select(
         *keys,
         "_tile",
         F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
-        F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_right"),
+        F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_right"),
     )
-    inner = Window.partitionBy(*keys, "_tile").orderBy(pos)
-    both = both.withColumn("_b", F.max("_place").over(inner.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.min("_place").over(inner.rangeBetween(0, Window.unboundedFollowing)))
+    inner = Window.partitionBy(*keys, "_tile")
+    up, down = (inner.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col(pos), F.col(pos).desc()))
+    both = both.withColumn("_b", F.max("_place").over(up)).withColumn("_a", F.min("_place").over(down))
     j = both.where("_row").join(edges, [*keys, "_tile"])
     distance = F.least(F.col(pos) - F.coalesce("_b", "_left"), F.coalesce("_a", "_right") - F.col(pos))
     return j.select(*rows.columns, distance.alias("distance"))

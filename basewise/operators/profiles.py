@@ -78,7 +78,7 @@ def interpolated(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
     j = grid.join(profile.select(*keys, "strand", "offset", "value"), [*keys, "strand", "offset"], "left")
     w = Window.partitionBy(*keys, "strand").orderBy("offset")
     at = F.when(F.col("value").isNotNull(), F.struct("offset", "value"))
-    j = j.withColumn("_l", F.last(at, ignorenulls=True).over(w)).withColumn("_r", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    j = j.withColumn("_l", F.last(at, ignorenulls=True).over(w)).withColumn("_r", F.last(at, ignorenulls=True).over(Window.partitionBy(*keys, "strand").orderBy(F.desc("offset"))))
     share = F.try_divide(F.col("offset") - F.col("_l.offset"), F.col("_r.offset") - F.col("_l.offset"))
     return j.select(*keys, "strand", "offset", F.coalesce("value", F.col("_l.value") + share * (F.col("_r.value") - F.col("_l.value"))).alias("value"))
 

@@ -62,7 +62,8 @@ def benjamini_hochberg(rows: DataFrame, keys: Sequence[str], p: str, counts: str
         back = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
         behind = behind.withColumn("_later", F.min("_least").over(back)).drop("_least")
         t = t.join(behind, [*keys, "_part"])
-        own = F.min(q).over(inner.rowsBetween(0, Window.unboundedFollowing))
+        behind_first = Window.partitionBy(*keys, "_part").orderBy(F.col(p).desc(), F.col(counts), *[F.col(c).desc() for c in tie])
+        own = F.min(q).over(behind_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         t = t.withColumn(q, F.least(own, F.coalesce("_later", F.lit(1.0))))
     return t.select(*rows.columns, q)
 
