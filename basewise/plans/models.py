@@ -16,16 +16,13 @@ from basewise.plans.profiles import points, stranded
 from basewise.session import cut_lineage
 from basewise.sources.tables import base_hits, current_regions, genome, replicate_runs
 
-#: least signal of a part that is modelled
-LEAST = 10.0
-
 
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
     return base_hits(spark, folder, None).join(replicate_runs(spark, folder), "rep_id").select("run_id", "cond_id", "channel", "chrom", "pos", "strand", "cnt")
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
-    return mx.region_counts(_hits(spark, folder), mx.bounded_parts(current_regions(spark, folder)), LEAST)
+    return mx.region_counts(_hits(spark, folder), mx.bounded_parts(current_regions(spark, folder)))
 
 
 def e01_components(spark: SparkSession, folder: str) -> DataFrame:

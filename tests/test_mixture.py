@@ -123,3 +123,16 @@ def test_spark_equals_the_kernel(spark):
     assert {r["region_id"] for r in got} == {1, 2}
     assigned = mx.assign_counts(counts, fitted, MODEL).collect()
     assert len(assigned) == len(got) and all(r["sig"] > 0 for r in assigned)
+
+
+def test_parts_with_little_signal_are_fitted(spark, monkeypatch):
+    """A part with 4 counts, over alpha, has its component in ``e01`` and ``e04``."""
+    from basewise.plans import models
+
+    hits = spark.createDataFrame([(1, 5, "signal", "1", 500, s, 2.0) for s in "+-"], "run_id int, cond_id int, channel string, chrom string, pos int, strand string, cnt double")
+    regions = spark.createDataFrame([(7, 1, "1", 1, 1000)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint")
+    monkeypatch.setattr(models, "_hits", lambda *_: hits)
+    monkeypatch.setattr(models, "current_regions", lambda *_: regions)
+    assert [(r["region_id"], r["cond_id"], r["position"]) for r in models.e01_components(spark, "").collect()] == [(7, 5, 500)]
+    (r,) = models.e04_assigned(spark, "").collect()
+    assert 3.0 < r["sig"] <= 4.0
