@@ -173,15 +173,15 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
 COMPONENTS = "region_id bigint, part int, cond_id int, chrom string, component int, position bigint, form int, pi double, plus double, minus double, tau array<double>"
 
 
-def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float = 5.0, noise: float = 0.1) -> DataFrame:
-    """Components of every part and condition of ``region_counts``, numbered along the part."""
+def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0, noise: float = 0.1) -> DataFrame:
+    """Components of every part and condition of ``region_counts``, numbered along the part. Without ``alpha``, that of the column ``alpha``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf.sig > 0].sort_values(["pos", "strand"])
         first = pdf.iloc[:1] if len(pdf) else None
         if first is None:
             return pd.DataFrame(columns=["region_id", "part", "cond_id", "chrom", "component", "position", "form", "pi", "plus", "minus", "tau"])
-        out = fit(pdf.pos.to_numpy(np.int64), (pdf.strand == "-").to_numpy(), pdf.sig.to_numpy(float), int(first.rstart.iloc[0]), int(first.rend.iloc[0]), model, alpha, noise)
+        out = fit(pdf.pos.to_numpy(np.int64), (pdf.strand == "-").to_numpy(), pdf.sig.to_numpy(float), int(first.rstart.iloc[0]), int(first.rend.iloc[0]), model, float(first.alpha.iloc[0]) if alpha is None else alpha, noise)
         for c in ("region_id", "part", "cond_id", "chrom"):
             out[c] = first[c].iloc[0]
         out["component"] = range(len(out))

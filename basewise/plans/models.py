@@ -13,6 +13,7 @@ from basewise.operators import similarity as sm
 from basewise.operators import simulate
 from basewise.operators.profiles import composite
 from basewise.plans.profiles import points, stranded
+from basewise.plans.regions import m02_alphas
 from basewise.session import cut_lineage
 from basewise.sources.tables import base_hits, current_regions, genome, replicate_runs
 
@@ -42,22 +43,37 @@ def e04_assigned(spark: SparkSession, folder: str) -> DataFrame:
     return mx.assign_counts(c, mx.fit_regions(c, mx.normal_model(), alpha=3.0), mx.normal_model())
 
 
-def e07_rounds(spark: SparkSession, folder: str, rounds: int = 2) -> DataFrame:
-    """Events after ``rounds``: fit, assign, test, and a new model from the reads around significant events.
+def e07_rounds(spark: SparkSession, folder: str, rounds: int = 3) -> DataFrame:
+    """Events after round 0 and ``rounds`` more, with the sparseness of each condition.
 
-    Each round's events are written once; the next round and its model read them there.
+    Round 0 fits, assigns and tests under one unstranded model; the reads around its significant
+    events give the first stranded model. Each further round fits that model and its reverse
+    complement, and reads around its components of over 3 alpha, in their direction, give the
+    next model. The last round is assigned by its tau and tested. What a round finds is written
+    once; the next round and its model read it there.
     """
     hits = _hits(spark, folder)
-    counts = cut_lineage(_counts(spark, folder))
-    totals = hits.where("channel = 'signal'").groupBy("cond_id").agg(F.sum("cnt").alias("total"))
+    signal = hits.where("channel = 'signal'").select("cond_id", "chrom", "pos", "strand", "cnt")
+    alphas = m02_alphas(spark, folder).select("cond_id", "alpha")
+    counts = cut_lineage(_counts(spark, folder).join(F.broadcast(alphas), "cond_id"))
+    totals = signal.groupBy("cond_id").agg(F.sum("cnt").alias("total"))
     share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
+
+    def tested(components: DataFrame, model: np.ndarray, fold: float) -> DataFrame:
+        e = mx.assign_counts(counts, components, model).join(totals, "cond_id").withColumn("_share", share)
+        return cut_lineage(e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"), fold)).drop("_share", "total"))
+
     model = mx.normal_model()
+    events = tested(mx.fit_regions(counts, model, alpha=None), model, 1.2 if rounds else 1.5)
+    near = events.where("p <= 0.05").withColumn("strand", F.lit("+"))
     for k in range(rounds):
-        events = mx.assign_counts(counts, mx.fit_regions(counts, model, alpha=3.0), model).join(totals, "cond_id").withColumn("_share", share)
-        events = cut_lineage(events.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"), 1.2 if k + 1 < rounds else 1.5)).drop("_share", "total"))
+        at = near.select("cond_id", "chrom", F.col("position").alias("point"), F.col("strand").alias("point_strand"))
+        model = mx.with_reverse(mx.model_from_profile(composite(signal, at, ["cond_id"])))
+        components = cut_lineage(mx.fit_regions(counts, model, alpha=None))
         if k + 1 < rounds:
-            near = events.where("p <= 0.05").select("cond_id", "chrom", F.col("position").alias("point"), F.lit("+").alias("point_strand"))
-            model = mx.model_from_profile(composite(hits.where("channel = 'signal'").select("cond_id", "chrom", "pos", "strand", "cnt"), near, ["cond_id"]))
+            near = components.join(alphas, "cond_id").where("plus + minus > 3 * alpha").withColumn("strand", F.when(F.col("form") % 2 == 1, "-").otherwise("+"))
+        else:
+            events = tested(components, model, 1.5)
     return sg.benjamini_hochberg(events, ["cond_id"], "p", "sig", ["region_id", "part", "component"])
 
 

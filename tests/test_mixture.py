@@ -136,3 +136,23 @@ def test_parts_with_little_signal_are_fitted(spark, monkeypatch):
     assert [(r["region_id"], r["cond_id"], r["position"]) for r in models.e01_components(spark, "").collect()] == [(7, 5, 500)]
     (r,) = models.e04_assigned(spark, "").collect()
     assert 3.0 < r["sig"] <= 4.0
+
+
+def test_rounds_use_alphas_and_both_directions(spark, monkeypatch):
+    """One round of an unstranded form and three of a form and its reverse complement, each by the alpha of its condition."""
+    from basewise.plans import models
+
+    x, minus, count = planted([400], 60, np.random.default_rng(11), 1, 1000, noise=0)
+    few = [(400, "+", 3.0), (401, "-", 3.0)]
+    rows = [(1, 5, "signal", "1", int(a), "-" if m else "+", float(c)) for a, m, c in zip(x, minus, count)] + [(1, 6, "signal", "1", a, m, c) for a, m, c in few]
+    hits = spark.createDataFrame(rows, "run_id int, cond_id int, channel string, chrom string, pos int, strand string, cnt double")
+    monkeypatch.setattr(models, "_hits", lambda *_: hits)
+    monkeypatch.setattr(models, "current_regions", lambda *_: spark.createDataFrame([(7, 1, "1", 1, 1000)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint"))
+    monkeypatch.setattr(models, "genome", lambda *_: spark.createDataFrame([("1", 1_000_000)], "chrom string, len bigint"))
+    monkeypatch.setattr(models, "m02_alphas", lambda *_: spark.createDataFrame([(5, 4.0), (6, 9.0)], "cond_id int, alpha double"), raising=False)
+    forms, fit_regions = [], mx.fit_regions
+    monkeypatch.setattr(mx, "fit_regions", lambda c, model, **k: forms.append(len(model)) or fit_regions(c, model, **k))
+    got = models.e07_rounds(spark, "").collect()
+    assert forms == [1, 2, 2, 2]
+    assert {r["cond_id"] for r in got} == {5}  # 6 counts are over a constant 3, not over the alpha of condition 6
+    assert any(abs(r["position"] - 400) <= 10 for r in got)
