@@ -33,10 +33,11 @@ def letters(sequences: DataFrame, keys: Sequence[str], sequence: str = "sequence
     return sequences.where(F.length(sequence) > 0).select(*keys, F.posexplode(F.split(F.upper(sequence), "")).alias("position", "base"))
 
 
-def frequency_matrix(sequences: DataFrame, width: int, sequence: str = "sequence") -> DataFrame:
-    """``position, a, c, g, t``: counts of each base at the first ``width`` positions of aligned sequences; other letters count for none."""
+def frequency_matrix(sequences: DataFrame, width: int | None = None, sequence: str = "sequence") -> DataFrame:
+    """``position, a, c, g, t``: counts of each base at every position of aligned sequences, or the first ``width``; other letters count for none."""
     count = lambda b: F.count_if(F.col("base") == b.upper()).alias(b)
-    return letters(sequences, [], sequence).where(F.col("position") < width).groupBy("position").agg(*[count(b) for b in "acgt"])
+    l = letters(sequences, [], sequence)
+    return (l if width is None else l.where(F.col("position") < width)).groupBy("position").agg(*[count(b) for b in "acgt"])
 
 
 def information(matrix: DataFrame, pseudo: float = 0.0) -> DataFrame:

@@ -53,6 +53,21 @@ def t06_consensus(spark: SparkSession, folder: str) -> DataFrame:
     return sq.consensus(sq.frequency_matrix(motif_sequences(spark, folder), WIDTH))
 
 
+def a25_all_frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    """``a25`` over every position."""
+    return sq.frequency_matrix(motif_sequences(spark, folder))
+
+
+def a24_all_information(spark: SparkSession, folder: str) -> DataFrame:
+    """``a24`` over every position."""
+    return sq.information(a25_all_frequencies(spark, folder)).select("position", F.round("bits", 9).alias("bits"))
+
+
+def t06_whole_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    """``t06`` over every position."""
+    return sq.consensus(a25_all_frequencies(spark, folder))
+
+
 def _matched(spark: SparkSession, folder: str) -> DataFrame:
     s = motif_sequences(spark, folder)
     return sq.best_match(s, sq.weights(sq.frequency_matrix(s, WIDTH)))
@@ -90,7 +105,7 @@ def s20_random_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 def e16_motif(spark: SparkSession, folder: str) -> DataFrame:
     """The motif fitted on all sequences, by position."""
-    p, _ = sq.fit_motif(motif_sequences(spark, folder), WIDTH, 20)
+    p, _ = sq.fit_motif(motif_sequences(spark, folder))
     return spark.createDataFrame([(k, *row) for k, row in enumerate(p)], "position int, a double, c double, g double, t double")
 
 
@@ -112,6 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f11_low_repeat, o02_first_low_repeat, t05_reverse_complement, t07_base_index, a25_frequencies, a24_information, t06_consensus, t01_best_match, t02_matched_words, t04_threshold,
+        a25_all_frequencies, a24_all_information, t06_whole_consensus,
         t03_over_threshold, s03_markov, s20_random_sequences, e16_motif, a23_auc, w06_roc,
     )
 }
@@ -121,6 +137,7 @@ sqn AS (SELECT line_id, sq AS s FROM chk WHERE valid AND file_kind = 'motif'),
 let AS (SELECT line_id, i - 1 AS position, upper(s[i]) AS b FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM sqn)),
 frq AS (SELECT CAST(position AS INTEGER) AS position, count(*) FILTER (WHERE b = 'A') AS a, count(*) FILTER (WHERE b = 'C') AS c, count(*) FILTER (WHERE b = 'G') AS g, count(*) FILTER (WHERE b = 'T') AS t
         FROM let WHERE position < {WIDTH} GROUP BY 1)"""
+_ALL = _SEQ.replace(f"WHERE position < {WIDTH} ", "")
 _REP = "round((length(s) - length(regexp_replace(s, '[a-zN]', '', 'g'))) / length(s)::DOUBLE, 9)"
 _TERM = " + ".join(f"coalesce({b} / n * log2(nullif({b} / n, 0) / 0.25), 0)" for b in "acgt")
 _PWM = f"""
@@ -146,6 +163,9 @@ SQL = {
     "a25_frequencies": f"WITH {_SEQ} SELECT * FROM frq",
     "a24_information": f"WITH {_SEQ}, x AS (SELECT *, (a + c + g + t)::DOUBLE AS n FROM frq) SELECT position, round({_TERM}, 9) AS bits FROM x",
     "t06_consensus": f"WITH {_SEQ} SELECT string_agg(CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END, '' ORDER BY position) AS consensus FROM frq",
+    "a25_all_frequencies": f"WITH {_ALL} SELECT * FROM frq",
+    "a24_all_information": f"WITH {_ALL}, x AS (SELECT *, (a + c + g + t)::DOUBLE AS n FROM frq) SELECT position, round({_TERM}, 9) AS bits FROM x",
+    "t06_whole_consensus": f"WITH {_ALL} SELECT string_agg(CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END, '' ORDER BY position) AS consensus FROM frq",
     "t01_best_match": f"WITH {_SEQ}, {_PWM} SELECT line_id, round(sc, 6) AS score FROM sqn LEFT JOIN bst USING (line_id)",
     "t02_matched_words": f"""WITH {_SEQ}, {_PWM} SELECT line_id, CAST(start AS INTEGER) AS start, strand,
 CASE WHEN strand = '-' THEN reverse(translate(substr(s, start + 1, {WIDTH}), 'ACGTacgt', 'TGCAtgca')) ELSE substr(s, start + 1, {WIDTH}) END AS kmer FROM sqn LEFT JOIN bst USING (line_id)""",

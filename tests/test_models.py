@@ -145,3 +145,14 @@ def test_long_windows_are_cut_at_their_emptiest_bin(spark):
 def test_roc_ends(spark):
     df = spark.createDataFrame([(1, 0.9, True), (1, 0.8, True), (1, 0.1, False), (2, 0.5, False), (3, 0.5, True), (4, 0.5, True), (4, 0.5, False)], "g int, s double, y boolean")
     assert {r["g"]: r["auc"] for r in sq.roc_auc(df, ["g"], "s", F.col("y")).collect()} == {1: 1.0, 2: 0.0, 3: 1.0, 4: 0.5}
+
+
+def test_every_position_is_counted(spark):
+    m = sq.frequency_matrix(spark.createDataFrame([("ACGTACGTA",), ("ACGTACG",)], "sequence string"))
+    assert [(r["position"], r["a"]) for r in m.orderBy("position").collect() if r["a"]] == [(0, 2), (4, 2), (8, 1)] and m.count() == 9
+
+
+def test_motif_query_has_the_survey_width(spark):
+    from basewise.plans import sequences as plan
+
+    assert plan.e16_motif(spark, "/root/testdata/sf0.001").count() == 10
