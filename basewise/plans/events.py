@@ -238,7 +238,12 @@ def o01_top_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def o03_event_order(spark: SparkSession, folder: str) -> DataFrame:
     """The 1000 first events by P, then more hits."""
-    return _valid_p(spark, folder).orderBy("p", F.desc("hits"), "event_id", "cond_id").limit(1000)
+    return o03_all_in_order(spark, folder).limit(1000)
+
+
+def o03_all_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """All events by P, then more hits."""
+    return _valid_p(spark, folder).orderBy("p", F.desc("hits"), "event_id", "cond_id")
 
 
 def o06_argmax(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +258,7 @@ QUERIES = {
     for f in (
         a09_weights, m07_scaling, a10_condition_counts, m03_p_values, w05_q_values, w05_monotone_q, m06_replicate_scaling, m04_consistency, m05_replication_codes, f09_non_zero,
         j14_shared_controls, s05_design, f06_reported, f08_round0, j11_region_events, j12_by_point, j13_same_configurations, a15_event_counts, p02_formatted, k05_bed, k03_all_events,
-        k04_condition_events, k09_replicate_counts, k10_replication_table, o01_top_tiles, o03_event_order, o06_argmax,
+        k04_condition_events, k09_replicate_counts, k10_replication_table, o01_top_tiles, o03_event_order, o03_all_in_order, o06_argmax,
     )
 }
 
@@ -331,6 +336,7 @@ CASE WHEN q <= 0 THEN 1000 ELSE CAST(trunc(greatest(least(-10 * log2(q), 1000),
     "k04_condition_events": f"""WITH {_EV} SELECT cond_id, CAST(row_number() OVER (PARTITION BY cond_id ORDER BY coalesce(hits, -1) DESC, event_id) AS INTEGER) AS place, event_id, event_point FROM e WHERE found AND q <= 0.01""",
     "o01_top_tiles": f"WITH {TILES} SELECT chrom, tile, sum(sig) AS sig FROM tiles GROUP BY ALL ORDER BY sig DESC, chrom, tile LIMIT 500",
     "o03_event_order": f"WITH {_VALID} SELECT * FROM v ORDER BY p, hits DESC, event_id, cond_id LIMIT 1000",
+    "o03_all_in_order": f"WITH {_VALID} SELECT * FROM v ORDER BY p, hits DESC, event_id, cond_id",
     "o06_argmax": """WITH hits AS (SELECT DISTINCT rep_id, regexp_replace(chrom, '^chr', '') AS chrom, pos, strand, CAST(cnt AS DOUBLE) AS cnt FROM base_counts WHERE cnt > 0 AND NOT isnan(cnt) AND channel = 'signal'),
 h AS (SELECT cond_id, chrom, pos, sum(cnt) AS cnt FROM hits JOIN (SELECT DISTINCT rep_id, cond_id FROM design) USING (rep_id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY cond_id, chrom ORDER BY cnt DESC, pos) AS k FROM h) SELECT cond_id, chrom, pos, cnt FROM r WHERE k = 1""",

@@ -110,7 +110,12 @@ def w10_numbered(spark: SparkSession, folder: str) -> DataFrame:
 
 def o04_by_location(spark: SparkSession, folder: str) -> DataFrame:
     """The first 1000 events along the genome, chromosomes in order of their names."""
-    return events(spark, folder).where("pos is not null").orderBy("chrom", "pos", "event_id", "cond_id").limit(1000).select("event_id", "cond_id", "chrom", "pos")
+    return o04_all_by_location(spark, folder).limit(1000)
+
+
+def o04_all_by_location(spark: SparkSession, folder: str) -> DataFrame:
+    """All events along the genome, chromosomes in order of their names."""
+    return events(spark, folder).where("pos is not null").orderBy("chrom", "pos", "event_id", "cond_id").select("event_id", "cond_id", "chrom", "pos")
 
 
 def k01_region_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f04_away_from_edges, f05_supported, f12_contained, f13_large_groups, p05_dominant, p07_found_in, p09_windows, p10_aligned, j09_nearest_motif, a19_distinct_bases, u03_without_events,
-        u05_distinct_points, w09_half_height, w10_numbered, o04_by_location, k01_region_lines, k21_reads_around_regions,
+        u05_distinct_points, w09_half_height, w10_numbered, o04_by_location, o04_all_by_location, k01_region_lines, k21_reads_around_regions,
     )
 }
 
@@ -157,6 +162,7 @@ SELECT event_id, cond_id, least(pos - b.place, a.place - pos) AS distance FROM x
     "w09_half_height": f'WITH {_COMP}, t AS (SELECT *, max(value) OVER (PARTITION BY cond_id) AS top FROM cmp) SELECT cond_id, min("offset") AS first, max("offset") AS last FROM t WHERE value >= top / 2 GROUP BY 1',
     "w10_numbered": f"WITH {_PLACED} SELECT region_id, cond_id, event_id, CAST(row_number() OVER (PARTITION BY region_id, cond_id ORDER BY pos, event_id) AS INTEGER) AS component FROM pl",
     "o04_by_location": f"WITH {_EV} SELECT event_id, cond_id, chrom, pos FROM e WHERE pos IS NOT NULL ORDER BY chrom, pos, event_id, cond_id LIMIT 1000",
+    "o04_all_by_location": f"WITH {_EV} SELECT event_id, cond_id, chrom, pos FROM e WHERE pos IS NOT NULL ORDER BY chrom, pos, event_id, cond_id",
     "k01_region_lines": f"WITH {_POT} SELECT cond_id, chrom || ':' || rstart || '-' || rend AS line FROM pot",
     "k21_reads_around_regions": f"""WITH {HITS}, {REGIONS}, m AS (SELECT run_id, chrom, (rstart + rend) // 2 AS mid FROM reg)
 SELECT m.run_id, CAST(floor((pos - mid) / 100.0) * 100 AS BIGINT) AS bin, sum(cnt) AS hits FROM m JOIN sig ON sig.run_id = m.run_id AND sig.chrom = m.chrom AND pos BETWEEN mid - 1000 AND mid + 999 GROUP BY ALL""",

@@ -156,3 +156,14 @@ def test_motif_query_has_the_survey_width(spark):
     from basewise.plans import sequences as plan
 
     assert plan.e16_motif(spark, "/root/testdata/sf0.001").count() == 10
+
+
+def test_full_sorts_keep_every_event(spark):
+    from basewise.plans import events, lookups
+
+    folder = "/root/testdata/sf0.01"
+    rows = events.o03_all_in_order(spark, folder).collect()
+    assert len(rows) == events._valid_p(spark, folder).count() > 1000
+    assert all((a["p"], -a["hits"]) <= (b["p"], -b["hits"]) for a, b in zip(rows, rows[1:]))
+    places = [(r["chrom"], r["pos"]) for r in lookups.o04_all_by_location(spark, folder).collect()]
+    assert len(places) > 1000 and places == sorted(places)
