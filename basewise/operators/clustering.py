@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basewise.operators.similarity import shifted_distances
+
 
 def affinity_propagation(s: np.ndarray, preference: float = -0.1, damping: float = 0.9, rounds: int = 2000, stable: int = 200) -> np.ndarray:
     """The exemplar of each item, by messages between all pairs, until exemplars hold for ``stable`` rounds."""
@@ -51,16 +53,15 @@ def affinity_propagation(s: np.ndarray, preference: float = -0.1, damping: float
 def cluster_top(profiles: DataFrame, weight: str, most: int = 500, preference: float = -0.1) -> DataFrame:
     """``vec_id, exemplar``: affinity propagation over the ``most`` items of largest ``weight``, which is the size of the model, not of the data.
 
-    Similarity is the negative Euclidean distance, the nearer of both orientations, scaled to a largest distance of 1.
+    Similarity is 1 for equal profiles and 0 for the farthest pair, by squared distance at the best shift and orientation of smoothed profiles; distances over 1 count as 1.
     """
     top = profiles.orderBy(F.desc(weight), "vec_id").limit(most)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         x = np.stack(pdf.profile.to_numpy())
-        square = lambda y: (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
-        d = np.sqrt(np.maximum(np.minimum(square(x), square(x[:, ::-1])), 0))
-        s = -d / max(d.max(), 1e-12)
+        d = np.minimum(shifted_distances(x, 25, 1.0), 1.0)
+        s = 1 - d / max(d.max(), 1e-12)
         ids = pdf.vec_id.to_numpy()
         return pd.DataFrame({"vec_id": ids, "exemplar": ids[affinity_propagation(s, preference)]})
 

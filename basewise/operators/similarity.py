@@ -154,8 +154,38 @@ def query_pairs(profiles: DataFrame, every: int = 50, id_column: str = "vec_id")
     return profiles.select(F.col(id_column).alias("id"), F.col("profile").alias("p")).join(small_side(q, 20_000), F.col("id") != F.col("q_id"))
 
 
-def best_shift(pairs: DataFrame, reach: int = 10) -> DataFrame:
-    """``q_id, id, distance, shift, reverse``: the least squared distance over shifts of ``reach`` and both orientations.
+def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
+    """Each strand of profiles (rows) averaged with normal weights; the weights inside the strand sum to 1. Without ``sigma``, as given."""
+    if not sigma:
+        return x
+    n = x.shape[1] // 2
+    d = np.arange(n)
+    k = np.exp(-0.5 * ((d[:, None] - d) / sigma) ** 2)
+    k /= k.sum(axis=1, keepdims=True)
+    return np.concatenate([x[:, :n] @ k.T, x[:, n:] @ k.T], axis=1)
+
+
+def shifted_distances(x: np.ndarray, reach: int = 25, sigma: float = 0.0) -> np.ndarray:
+    """Least squared distance of all pairs of profiles (rows), compared as in ``best_shift``; infinite where nothing overlaps."""
+    x = smooth(x, sigma)
+    n = x.shape[1] // 2
+    best = np.full((len(x), len(x)), np.inf)
+    for d in range(-min(reach, n - 1), min(reach, n - 1) + 1):
+        k = n - abs(d)
+        cut = lambda y, s: np.concatenate([y[:, s : s + k], y[:, n + s : n + s + k]], axis=1)  # noqa: B023,E731
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = cut(x, max(d, 0))
+            u = u / u.sum(axis=1, keepdims=True)
+            for y in (x, x[:, ::-1]):
+                v = cut(y, max(-d, 0))
+                v = v / v.sum(axis=1, keepdims=True)
+                e = np.maximum((u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * u @ v.T, 0)
+                best = np.fmin(best, e)
+    return np.minimum(best, best.T)
+
+
+def best_shift(pairs: DataFrame, reach: int = 25, sigma: float = 0.0) -> DataFrame:
+    """``q_id, id, distance, shift, reverse``: the least squared distance over shifts of ``reach`` and both orientations, of profiles smoothed by ``sigma``.
 
     A shift moves both strands; cells that leave a strand are lost and what remains of both is
     scaled to sum 1. Ties go to the smaller shift, then the lower one, then forward. A pair
@@ -166,7 +196,7 @@ def best_shift(pairs: DataFrame, reach: int = 10) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            q, p = np.stack(b["q"].to_numpy()), np.stack(b["p"].to_numpy())
+            q, p = smooth(np.stack(b["q"].to_numpy()), sigma), smooth(np.stack(b["p"].to_numpy()), sigma)
             n = q.shape[1] // 2
             best = np.full(len(b), np.inf)
             shift, reverse = np.zeros(len(b), np.int32), np.zeros(len(b), bool)

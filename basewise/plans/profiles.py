@@ -149,7 +149,7 @@ def m24_cell_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m25_best_shift(spark: SparkSession, folder: str) -> DataFrame:
-    return sm.best_shift(sm.query_pairs(stranded(spark, folder)))
+    return sm.best_shift(sm.query_pairs(stranded(spark, folder)), 25, 1.0)
 
 
 def m28_symmetric_kl(spark: SparkSession, folder: str) -> DataFrame:

@@ -167,3 +167,21 @@ def test_full_sorts_keep_every_event(spark):
     assert all((a["p"], -a["hits"]) <= (b["p"], -b["hits"]) for a, b in zip(rows, rows[1:]))
     places = [(r["chrom"], r["pos"]) for r in lookups.o04_all_by_location(spark, folder).collect()]
     assert len(places) > 1000 and places == sorted(places)
+
+
+def test_shifts_of_up_to_25_are_found(spark):
+    """Profiles 18 cells apart match, alone and when they are clustered."""
+    from basewise.plans import profiles
+
+    def one(k):
+        x = np.zeros((2, 32))
+        x[0, k : k + 4], x[1, k + 2 : k + 6] = [1, 5, 2, 1], [3, 1, 4, 2]
+        return (x.ravel() / x.sum()).tolist()
+
+    df = spark.createDataFrame([(50, one(4)), (1, one(22))], "vec_id bigint, profile array<double>")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(profiles, "stranded", lambda *_: df)
+        r = profiles.m25_best_shift(spark, "").first()
+    assert abs(r["shift"]) == 18 and not r["reverse"] and r["distance"] < 1e-3
+    d = sm.shifted_distances(np.array([one(4), one(22)]), 25, 1.0)
+    assert d[0, 1] < 1e-3 and (d == d.T).all()
