@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basewise.operators.intervals import BROADCAST_ROWS, points_in_intervals, with_bins
+from basewise.session import cut_lineage
 
 
 def sums_by_interval(
@@ -37,6 +38,10 @@ def sums_by_interval(
 
 
 def heavy_intervals(sums: DataFrame, interval_id: str, share: float) -> DataFrame:
-    """The ids of ``sums_by_interval`` that hold at least ``share`` of all rows, those without an interval included in all."""
+    """The ids of ``sums_by_interval`` that hold at least ``share`` of all rows, those without an interval included in all.
+
+    The sums, one row for each interval, are written once, so the rows behind them are added up once.
+    """
+    sums = cut_lineage(sums)
     all_rows = sums.agg(F.sum("n_rows")).scalar()
     return sums.where(F.col(interval_id).isNotNull() & (F.col("n_rows") >= share * all_rows)).select(interval_id)

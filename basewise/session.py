@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +44,46 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: the one the cluster names in ``spark.checkpoint.dir``, or the checkpoint folder already set.
 
-    Only a session that names none (a test) gets a temporary one.
+    A session on one machine that names none (a test) gets a temporary one; on a cluster that
+    is an error, as other machines couldn't read a folder of the driver's.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basewise-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        sc.setCheckpointDir(named or _temporary_folder())
     return sc.getCheckpointDir()
 
 
+def _temporary_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="basewise-checkpoint-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+
+    def remove() -> None:
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except Exception:  # the JVM is gone, or someone has cleared the folder
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table of the shared folder and read it from there.
+
+    Any executor may be lost afterwards. Later steps read only the columns they use, and know
+    the table's size.
+    """
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
