@@ -5,11 +5,17 @@ space, and Cyrillic and Greek letters drawn like a Latin letter by that letter,
 characters without width, and composes accents (NFC). Case, accents, the number of blanks,
 tabs and line ends stay.
 
-Only unstable segments are worked on. A segment is a run of characters outside ASCII with its
-boundary context, the ASCII starter before it (no ASCII character combines with what stands
-before it, so a run needs no context behind). It is unstable if the quick check of the normal
-form doesn't pass or the tables below name one of its parts. Canonical segments are spliced
-into the unchanged text; a text in ASCII has none and never leaves the JVM.
+Only unstable segments are normalised. A character is unstable if it doesn't pass the quick
+check of NFC (its property is No or Maybe), has a combining class, or is, or decomposes to, a
+character of the tables below. A segment is a run of such characters with its boundary
+context, the character before it: that one is a starter which what follows may compose with.
+No context is needed behind, as a character that passes the quick check and has no combining
+class never composes with what stands before it. Canonical segments are spliced into the
+unchanged text. A text in ASCII has none and never leaves the JVM; one without unstable
+characters is never normalised, nor is the rest of any other.
+
+Lower-case nu is not folded to v: it is the lower case of a letter drawn like N, so n and v
+would become one where case doesn't count.
 
 Null stays null, an empty text stays empty.
 """
@@ -28,12 +34,12 @@ from pyspark.sql import types as T
 from basewise.session import cut_lineage
 
 # Letters of other scripts drawn like a Latin letter.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTXaesijopcyxhdqw"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTXaesijopcyxhdqw")) | dict(zip("УҮѴѵԚԜ", "YYVvQW"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo")) | dict(zip("ϹϲͿϳ", "CcJj"))
 # Blanks of one character, by code point.
 BLANKS = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 # Characters without width, by code point.
-WIDTHLESS = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
+WIDTHLESS = [0x00AD, 0x034F, 0x061C, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]
 
 
 _TABLE = (
@@ -43,19 +49,38 @@ _TABLE = (
     | dict.fromkeys(BLANKS, " ")
     | dict.fromkeys(WIDTHLESS)
 )
-_RUN = re.compile(r"[^\x00-\x7f]+")
 #: Longer segments aren't kept in the memory of results.
 _REMEMBERED = 64
-
-
-def _is_stable(segment: str) -> bool:
-    """Whether the quick check and the tables leave a segment as it is. NFC of a letter may still hold a look-alike (as in U+0451), so parts are looked at too."""
-    return unicodedata.is_normalized("NFC", segment) and _TABLE.keys().isdisjoint(map(ord, unicodedata.normalize("NFD", segment)))
+#: No code point from here on, nor any of the planes 4 to 13, is named by Unicode's normal forms or the tables.
+_SEARCHED = [*range(0x80, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200)]
+
+
+_BEYOND_BMP = re.compile("[\U00010000-\U0010ffff]")
+
+
+@functools.cache
+def _unstable_run(beyond_bmp: bool = True) -> re.Pattern:
+    """A run of unstable characters, from the properties of all code points; those of the basic plane alone are looked up faster."""
+    unstable = set(_TABLE)
+    for c in _SEARCHED:
+        x = chr(c)
+        parts = unicodedata.normalize("NFD", x)
+        if unicodedata.combining(x) or not _TABLE.keys().isdisjoint(map(ord, parts)):
+            unstable.add(c)
+        elif parts != x:
+            if unicodedata.normalize("NFC", parts) != x:
+                unstable.add(c)  # quick check: No
+            else:
+                # what a pair composes with behind its first part: Maybe; a pair's first part is one character or composes in turn
+                unstable.add(ord(parts[-1]))
+    unstable = {c for c in unstable if c >= 0x80 and (beyond_bmp or c < 0x10000)}
+    edges = sorted(unstable)
+    first = [c for c in edges if c - 1 not in unstable]
+    last = [c for c in edges if c + 1 not in unstable]
+    return re.compile("[" + "".join(rf"\U{a:08x}-\U{z:08x}" for a, z in zip(first, last)) + "]+")
 
 
 def _canonical_segment(segment: str) -> str:
-    if _is_stable(segment):
-        return segment
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", segment).translate(_TABLE))
 
 
@@ -67,9 +92,9 @@ def canonical(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
     out, done = [], 0
-    for m in _RUN.finditer(text):
+    for m in _unstable_run(_BEYOND_BMP.search(text) is not None).finditer(text):
         start, end = m.span()
-        start -= start > done  # the starter before the run, which its marks may compose with
+        start -= start > done  # the starter before the run, which it may compose with
         out.append(text[done:start])
         segment = text[start:end]
         out.append(_remembered_segment(segment) if end - start <= _REMEMBERED else _canonical_segment(segment))

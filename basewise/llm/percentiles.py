@@ -75,12 +75,13 @@ def _follow(histogram: DataFrame, targets: DataFrame, at: list[str]) -> DataFram
 def exact_percentiles(rows: DataFrame, groups: Sequence[str], metrics: Sequence[str], qs: Sequence[float], negative: bool = True) -> DataFrame:
     """``groups, metric, q, n_values, value``: exact percentiles by radix selection.
 
-    The values are written once to the checkpoint folder, as a group and one integer for each;
-    every pass reads them there. The first pass histograms the highest digit of all values;
-    each later one joins the values with the digits that are followed, at most one for each
-    group, metric and percentile (broadcast after a count, else a shuffled join on the rarely
-    shared prefix), and histograms the next digit. Counts are combined in each partition
-    first, so a group with most of the rows moves no more than its histogram.
+    The values are written once to the shared folder, as a group and one integer for each. The
+    first pass histograms the highest digit of all of them; the second keeps those within the
+    digits that are followed, at most one for each group, metric and percentile (broadcast
+    after a count, else a shuffled join on the rarely shared prefix), and writes them, equal
+    ones as one with their count. Each later digit reads only what the one before it kept.
+    Counts are combined in each partition first, so a group with most of the rows moves no
+    more than its histogram.
     """
     if not qs or not all(0 < q <= 1 for q in qs):
         raise ValueError("percentiles are above 0 and at most 1")
@@ -92,13 +93,14 @@ def exact_percentiles(rows: DataFrame, groups: Sequence[str], metrics: Sequence[
     quantiles = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
     targets = sizes.select(*at, "n_values", quantiles.alias("q")).withColumn("rank", F.greatest(F.ceil(F.col("q") * F.col("n_values")), F.lit(1)))
     found = _follow(first, targets, at).withColumnRenamed("digit", "_prefix")
+    values = values.withColumn("n", F.lit(1).cast("bigint"))
     for level in range(1, len(DIGITS)):
         found = cut_lineage(found)
         active = small_side(found.select(*[F.col(c).alias(f"_{c}") for c in at], F.col("_prefix").alias("_p")).distinct())
-        shift = 64 - sum(DIGITS[:level])
-        prefix = F.shiftright(F.col("_key"), shift)
+        prefix = F.shiftright(F.col("_key"), 64 - sum(DIGITS[:level]))
         on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in at] + [prefix == F.col("_p")]
-        hist = values.join(active, on).groupBy(*at, F.col("_p").alias("_prefix"), _digit(F.col("_key"), level).alias("digit")).agg(F.count("*").alias("n"))
+        values = cut_lineage(values.join(active, on).groupBy(*at, "_key").agg(F.sum("n").alias("n")))
+        hist = values.groupBy(*at, prefix.alias("_prefix"), _digit(F.col("_key"), level).alias("digit")).agg(F.sum("n").alias("n"))
         nxt = _follow(hist, found, [*at, "_prefix"])
         found = nxt.select(*at, "q", "n_values", "rank", F.shiftleft("_prefix", DIGITS[level]).bitwiseOR(F.col("digit")).alias("_prefix"))
     return found.select(*at, "q", "n_values", from_ordered_bits(F.col("_prefix")).alias("value"))

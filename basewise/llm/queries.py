@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basewise.functions.genome import is_count
+from basewise.functions.genome import plain_chrom
 from basewise.llm import bpe, leaks, lookalike, percentiles, pieces, topn
-from basewise.sources.tables import base_hits, current_events, current_regions, replicate_runs, table
+from basewise.sources.tables import current_events, current_regions, replicate_runs, table
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.99)
 METRICS = ("cond_sig_hits", "cond_sig_v_ctrl_fold")
@@ -18,18 +18,23 @@ def _oversized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _run_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """``run_id, chrom, pos`` of signal hits, repeated where replicates or strands share a base."""
+    b = table(spark, folder, "base_counts").where((F.col("channel") == "signal") & (F.col("cnt") > 0) & ~F.isnan("cnt"))
     runs = replicate_runs(spark, folder).select("rep_id", "run_id").distinct()
-    return base_hits(spark, folder).select("rep_id", "chrom", "pos").join(runs, "rep_id").select("run_id", "chrom", "pos")
+    return b.select("rep_id", plain_chrom("chrom").alias("chrom"), "pos").join(runs, "rep_id").select("run_id", "chrom", "pos")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    big = _oversized(spark, folder)
-    gaps = pieces.separators(big, _run_hits(spark, folder), 100)
-    return big.select("region_id").join(gaps, "region_id", "left").select("region_id", F.coalesce("gap_start", F.lit(0)).cast("bigint").alias("gap_start"))
+    """The paragraph and section separators of the pieces of each region; 0 for a region whose pieces have none."""
+    p = pieces.pieces(_oversized(spark, folder), _run_hits(spark, folder))
+    # a region's first piece stands for it if none of its pieces has a separator
+    each = p.select("region_id", "piece", F.explode_outer("boundaries").alias("gap_start")).where("gap_start is not null or piece = 0")
+    has = F.max(F.col("gap_start")).over(Window.partitionBy("region_id"))
+    return each.withColumn("_has", has).where("gap_start is not null or _has is null").select("region_id", F.coalesce("gap_start", F.lit(0)).alias("gap_start"))
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.pieces(_oversized(spark, folder), _run_hits(spark, folder))
+    return pieces.pieces(_oversized(spark, folder), _run_hits(spark, folder)).drop("boundaries")
 
 
 def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:

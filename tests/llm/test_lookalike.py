@@ -46,3 +46,32 @@ def test_pairs(spark):
     texts = {r["doc_id"]: r["canonical"] for r in la.canonical_texts(df).collect()}
     assert texts == {i: None if t is None else plain(t) for i, t in docs}
     assert la.lookalike_pairs(df.where("false")).count() == 0
+
+
+def test_every_character():
+    """Each character alone, behind a letter, and each decomposed form with marks, as the whole text normalised."""
+    for c in la._SEARCHED:
+        x = chr(c)
+        for s in (x, "a" + x, "a" + unicodedata.normalize("NFD", x) + "̣b"):
+            assert la.canonical(s) == plain(s), hex(c)
+
+
+def test_stable_text_is_never_normalised(monkeypatch):
+    calls = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(unicodedata, name)
+
+        def normalize(self, form, text):
+            calls.append(text)
+            return unicodedata.normalize(form, text)
+
+    la._unstable_run(), la._unstable_run(False)
+    monkeypatch.setattr(la, "unicodedata", Counted())
+    stable = "漢字 é ü ß – 한글 ждлъ \U0001f600" * 1000
+    assert la.canonical(stable) == stable and calls == []
+    # one unstable character sends itself and the starter before it
+    la._remembered_segment.cache_clear()
+    assert la.canonical(stable + "漢，" + stable) == stable + "漢," + stable
+    assert calls and set(calls) <= {"漢，", "漢,"}
