@@ -7,11 +7,14 @@ range as a residual condition.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basewise.session import cut_lineage
+
 #: An interval side of at most so many binned rows is broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
 
@@ -60,21 +63,51 @@ def overlapping(left: DataFrame, right: DataFrame, start: str, end: str, rstart:
     return l.join(r, on).where(first).select(*[l[c] for c in left.columns], *[r[c] for c in right.columns if c != "chrom"])
 
 
+#: Bases of the tiles by which windows along a chromosome are taken.
+TILE = 1 << 16
+
+
+def running_max(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, before: bool = False, tile: int = TILE) -> DataFrame:
+    """``rows`` with ``name``: the largest ``value`` of this row and those before it among equal ``keys``, or only of those ``before`` it; null where there is none.
+
+    The first of ``order`` is a position. Rows are ordered tile by tile, and only the maximum
+    of each tile is carried over the whole key, so one crowded chromosome is spread over its tiles.
+    """
+    t = rows.withColumn("_tile", F.floor(F.col(order[0]) / tile)).withColumn("_value", value)
+    key = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    edges = t.groupBy(*keys, "_tile").agg(F.max("_value").alias("_most")).select(*keys, "_tile", F.max("_most").over(key).alias("_carried"))
+    inner = Window.partitionBy(*keys, "_tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    j = t.withColumn("_inner", F.max("_value").over(inner)).join(edges, [*keys, "_tile"])
+    return j.select(*rows.columns, F.greatest("_inner", "_carried").alias(name))
+
+
 def merge_overlapping(intervals: DataFrame, keys: Sequence[str] = ("chrom",), start: str = "rstart", end: str = "rend", touching: int = 0) -> DataFrame:
-    """Islands of intervals that share a base; ``touching`` bases of distance still merge. ``keys, start, end, n``."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("_new", F.when(F.col(start) <= reach + touching, 0).otherwise(1))
-    island = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+    """Islands of intervals that share a base; ``touching`` bases of distance still merge. ``keys, start, end, n``. Intervals with a null key or bound are in none.
+
+    Equal intervals are counted before they move, and each tile makes islands of those that
+    begin in it. Only these are written and joined over tiles: an island begins where one lies
+    behind the reach of all before it, and both this reach and the last beginning are running maxima.
+    """
+    known = [F.col(c).isNotNull() for c in (*keys, start, end)]
+    each = intervals.where(functools.reduce(Column.__and__, known)).groupBy(*keys, start, end).agg(F.count("*").alias("_n")).withColumn("_tile", F.floor(F.col(start) / TILE))
+    inner = Window.partitionBy(*keys, "_tile").orderBy(start, end)
+    begins = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + touching), F.col(start))
+    each = each.withColumn("_reach", F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    each = each.withColumn("_island", F.max(begins).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    local = cut_lineage(each.groupBy(*keys, "_tile", F.col("_island").alias("_a")).agg(F.max(end).alias("_z"), F.sum("_n").alias("_n")).drop("_tile"))
+    reach = running_max(local, keys, ["_a"], F.col("_z"), "_reach", before=True)
+    begins = F.when(F.col("_reach").isNull() | (F.col("_a") > F.col("_reach") + touching), F.col("_a"))
+    island = running_max(reach, keys, ["_a"], begins, start)
+    return island.groupBy(*keys, start).agg(F.max("_z").alias(end), F.sum("_n").alias("n"))
 
 
 def complement(intervals: DataFrame, genome: DataFrame) -> DataFrame:
     """``chrom, gap_start, gap_end``: bases of the genome in no interval. Chromosomes without intervals come out whole."""
     merged = merge_overlapping(intervals.select("chrom", "rstart", "rend"), touching=1)
-    w = Window.partitionBy("chrom").orderBy("rstart")
-    before = merged.select("chrom", (F.coalesce(F.lag("rend").over(w), F.lit(0)) + 1).alias("gap_start"), (F.col("rstart") - 1).alias("gap_end"))
-    last = merged.groupBy("chrom").agg(F.max("rend").alias("last"))
+    # islands are apart, so the reach of those before is the end of the last
+    reach = running_max(merged, ["chrom"], ["rstart"], F.col("rend"), "_before", before=True)
+    before = reach.select("chrom", (F.coalesce("_before", F.lit(0)) + 1).alias("gap_start"), (F.col("rstart") - 1).alias("gap_end"))
+    last = intervals.groupBy("chrom").agg(F.max("rend").alias("last"))
     after = genome.join(last, "chrom", "left").select("chrom", (F.coalesce("last", F.lit(0)) + 1).alias("gap_start"), F.col("len").alias("gap_end"))
     return before.unionByName(after).where("gap_start <= gap_end")
 
@@ -83,8 +116,8 @@ def subtract(intervals: DataFrame, excluded: DataFrame, id_column: str, width: i
     """``id_column, chrom, rstart, rend``: what is left of each interval outside all ``excluded`` (``chrom, xstart, xend``)."""
     hit = overlapping(intervals.select(id_column, "chrom", "rstart", "rend"), excluded.select("chrom", "xstart", "xend"), "rstart", "rend", "xstart", "xend", width)
     islands = merge_overlapping(hit, [id_column, "chrom", "rstart", "rend"], "xstart", "xend", 1)
-    w = Window.partitionBy(id_column).orderBy("xstart")
-    before = islands.select(id_column, "chrom", F.greatest(F.coalesce(F.lag("xend").over(w) + 1, F.col("rstart")), F.col("rstart")).alias("s"), (F.col("xstart") - 1).alias("e"))
+    reach = running_max(islands, [id_column], ["xstart"], F.col("xend"), "_before", before=True)
+    before = reach.select(id_column, "chrom", F.greatest(F.coalesce(F.col("_before") + 1, F.col("rstart")), F.col("rstart")).alias("s"), (F.col("xstart") - 1).alias("e"))
     after = islands.groupBy(id_column, "chrom", "rend").agg((F.max("xend") + 1).alias("s")).select(id_column, "chrom", "s", F.col("rend").alias("e"))
     untouched = intervals.join(islands.select(id_column).distinct(), id_column, "left_anti").select(id_column, "chrom", F.col("rstart").alias("s"), F.col("rend").alias("e"))
     return before.unionByName(after).unionByName(untouched).where("s <= e").select(id_column, "chrom", F.col("s").alias("rstart"), F.col("e").alias("rend"))

@@ -1,8 +1,10 @@
 """Sparse mixtures of binding components, fitted region by region.
 
 Spark brings the counts of one region and condition together; a numpy kernel fits them. A
-region is one group, so regions are cut to ``LONGEST`` bases before (``bounded_parts``), which
-bounds a group by its bases, not by its reads: counts of one base and strand are one row.
+region is one group, so wide ones are cut at their emptiest bins (``bounded_parts``), which
+bounds a group by its bases, not by its reads: counts of one base and strand are one row. Where
+a region is cut, both parts are fitted with a ``MARGIN`` over the cut and keep the components
+inside the part proper, so an event near a cut has all its hits in one fit and comes out of it.
 
 A model is an array of shape (forms, 2, 2 * reach + 1): the density of a plus and of a minus
 hit at each distance from the component, for each form. Without subtypes there is one form;
@@ -13,12 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewise.operators.intervals import points_in_intervals
 
 LONGEST, SPACING, MOVE = 2000, 30, 30
+#: bases over a cut that are fitted with a part: twice the reach of a model
+MARGIN = 200
 #: iterations without sparseness, until it is fully on, and at most; equal states that end a fit
 PLAIN, ANNEALED, MOST, EQUAL = 50, 100, 2000, 3
 TINY = 1e-300
@@ -38,13 +42,31 @@ def with_reverse(models: np.ndarray) -> np.ndarray:
     return np.concatenate([[m, m[::-1, ::-1]] for m in models])
 
 
-def bounded_parts(regions: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``region_id, part, run_id, chrom, rstart, rend``: regions in equal parts of at most ``longest`` bases."""
+def bounded_parts(regions: DataFrame, hits: DataFrame, longest: int = LONGEST, step: int = 25, margin: int = MARGIN) -> DataFrame:
+    """``region_id, part, run_id, chrom, rstart, rend, fit_start, fit_end``: regions of 1.5 times ``longest`` or more in parts of at most 1.75 times it.
+
+    A cut goes to the emptiest bin of ``step`` bases of the run's signal within a quarter of
+    ``longest`` around each multiple of it, the first such. ``hits``: ``run_id, channel, chrom,
+    pos, cnt``. Bins meet the counts by equality, so a region as wide as a chromosome is many
+    rows and no group. The fitted stretch has a margin over each cut.
+    """
     width = F.col("rend") - F.col("rstart") + 1
-    n = F.ceil(width / longest)
-    r = regions.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-    edge = lambda k: F.col("rstart") + F.floor(width * k / F.col("_n"))
-    return r.select("region_id", F.col("part").cast("int").alias("part"), "run_id", "chrom", edge(F.col("part")).alias("_a"), (edge(F.col("part") + 1) - 1).alias("_z")).withColumnsRenamed({"_a": "rstart", "_z": "rend"})
+    r = regions.select("region_id", "run_id", "chrom", "rstart", "rend")
+    cuts = r.where(width >= 1.5 * longest).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor((width - 1 - longest // 2) / longest))))
+    at = F.col("rstart") + F.col("_k") * longest
+    bins = cuts.withColumn("_bin", F.explode(F.sequence(F.ceil((at - longest // 4) / step), F.floor((at + longest // 4) / step))))
+    level = hits.where("channel = 'signal'").groupBy(F.col("run_id").alias("_run"), F.col("chrom").alias("_chrom"), F.floor(F.col("pos") / step).alias("_at")).agg(F.sum("cnt").alias("_hits"))
+    on = (bins["run_id"] == level["_run"]) & (bins["chrom"] == level["_chrom"]) & (bins["_bin"] == level["_at"])
+    best = bins.join(level, on, "left").groupBy("region_id", "_k").agg(F.min(F.struct(F.coalesce("_hits", F.lit(0.0)).alias("h"), F.col("_bin").alias("b"))).alias("_best"))
+    starts = best.select("region_id", "_k", (F.col("_best.b") * step).alias("_a")).unionByName(r.select("region_id", F.lit(0).cast("bigint").alias("_k"), F.col("rstart").alias("_a")))
+    # one row for each cut of a region
+    w = Window.partitionBy("region_id").orderBy("_k")
+    parts = starts.withColumn("_z", F.lead("_a").over(w) - 1).join(r, "region_id")
+    end = F.coalesce("_z", "rend")
+    return parts.select(
+        "region_id", F.col("_k").cast("int").alias("part"), "run_id", "chrom", F.col("_a"), end.alias("_e"),
+        F.when(F.col("_k") > 0, F.col("_a") - margin).otherwise(F.col("_a")).alias("fit_start"), F.when(F.col("_z").isNotNull(), F.col("_z") + margin).otherwise(F.col("rend")).alias("fit_end"),
+    ).withColumnsRenamed({"_a": "rstart", "_e": "rend"})
 
 
 def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,19 +76,15 @@ def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def region_counts(hits: DataFrame, regions: DataFrame, least: float = 0.0) -> DataFrame:
-    """``region_id, part, cond_id, rstart, rend, chrom, pos, strand, sig, ctrl``: counts of each base of each part.
+def region_counts(hits: DataFrame, parts: DataFrame) -> DataFrame:
+    """``region_id, part, cond_id, rstart, rend, fit_start, fit_end, chrom, pos, strand, sig, ctrl``: counts of each base of the fitted stretch of each part.
 
-    ``hits``: ``run_id, cond_id, channel, chrom, pos, strand, cnt``. Parts with fewer than ``least`` signal counts are left out.
+    ``hits``: ``run_id, cond_id, channel, chrom, pos, strand, cnt``; ``parts`` as ``bounded_parts``.
     """
     side = lambda c: F.sum(F.when(F.col("channel") == c, F.col("cnt")).otherwise(0.0))
     base = hits.groupBy("run_id", "cond_id", "chrom", "pos", "strand").agg(side("signal").alias("sig"), side("control").alias("ctrl"))
-    held = points_in_intervals(base, regions, ["run_id", "chrom"], width=LONGEST)
-    held = held.select("region_id", "part", "cond_id", "rstart", "rend", "chrom", "pos", "strand", "sig", "ctrl")
-    if not least:
-        return held
-    enough = held.groupBy("region_id", "part", "cond_id").agg(F.sum("sig").alias("_s")).where(F.col("_s") >= least).drop("_s")
-    return held.join(enough, ["region_id", "part", "cond_id"], "left_semi")
+    held = points_in_intervals(base, parts, ["run_id", "chrom"], start="fit_start", end="fit_end", width=LONGEST)
+    return held.select("region_id", "part", "cond_id", "rstart", "rend", "fit_start", "fit_end", "chrom", "pos", "strand", "sig", "ctrl")
 
 
 def _density(model: np.ndarray, minus: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -86,11 +104,13 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
     place, and sets weights to the shares less ``alpha``. A component with no more than
     ``alpha`` goes, the weakest only, and such a round doesn't count. Forms within a component
     are thinned alike by ``beta`` of its share. Both are off for ``PLAIN`` rounds and full
-    after ``ANNEALED``.
+    after ``ANNEALED``. Counts of no more than ``alpha`` in all leave no component.
     """
     forms = len(model)
+    if count.sum() <= alpha:  # as all would go, one by one
+        at = np.empty(0, np.int64)
     mu = np.repeat((np.arange(start, end + 1, SPACING) if at is None else np.asarray(at))[:, None], forms, axis=1)
-    pi = np.full(len(mu), (1 - noise) / len(mu))
+    pi = np.full(len(mu), (1 - noise) / max(len(mu), 1))
     tau = np.full((len(mu), forms), 1.0 / forms)
     log_model = np.log2(np.maximum(model, TINY))
     moves = np.arange(-MOVE, MOVE + 1)
@@ -98,7 +118,7 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
     reach, form = model.shape[2] // 2, np.arange(forms)
     # density of every hit at every place, if that is small enough to keep
     dense = logs = None
-    if forms * width * len(x) <= KEPT:
+    if len(mu) and forms * width * len(x) <= KEPT:
         dense = _density(model, minus, np.broadcast_to(x - np.arange(start, end + 1)[:, None, None], (width, forms, len(x)))).transpose(1, 0, 2).copy()
         logs = np.log2(np.maximum(dense, TINY))
     for _ in range(MOST):
@@ -131,7 +151,8 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
             _, first, group = np.unique(key, return_index=True, return_inverse=True)
             merged = np.zeros((len(first), forms))
             np.add.at(merged, group, r)
-            strongest = np.array([max(np.flatnonzero(group == g), key=lambda j: (r[j].sum(), -j)) for g in range(len(first))])
+            ranked = np.lexsort((-r.sum(axis=1), group))  # stable: the first among equals
+            strongest = ranked[np.searchsorted(group[ranked], np.arange(len(first)))]
             mu, tau, r = mu[strongest], tau[strongest], merged
         total = r.sum(axis=1)
         # weights
@@ -170,27 +191,6 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
     return out.sort_values("position", kind="stable")
 
 
-COMPONENTS = "region_id bigint, part int, cond_id int, chrom string, component int, position bigint, form int, pi double, plus double, minus double, tau array<double>"
-
-
-def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0, noise: float = 0.1) -> DataFrame:
-    """Components of every part and condition of ``region_counts``, numbered along the part. Without ``alpha``, that of the column ``alpha``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.sig > 0].sort_values(["pos", "strand"])
-        first = pdf.iloc[:1] if len(pdf) else None
-        if first is None:
-            return pd.DataFrame(columns=["region_id", "part", "cond_id", "chrom", "component", "position", "form", "pi", "plus", "minus", "tau"])
-        out = fit(pdf.pos.to_numpy(np.int64), (pdf.strand == "-").to_numpy(), pdf.sig.to_numpy(float), int(first.rstart.iloc[0]), int(first.rend.iloc[0]), model, float(first.alpha.iloc[0]) if alpha is None else alpha, noise)
-        for c in ("region_id", "part", "cond_id", "chrom"):
-            out[c] = first[c].iloc[0]
-        out["component"] = range(len(out))
-        return out[["region_id", "part", "cond_id", "chrom", "component", "position", "form", "pi", "plus", "minus", "tau"]]
-
-    names = ["region_id", "part", "cond_id"]
-    return spread_groups(counts, names).groupBy(*names).applyInPandas(run, COMPONENTS)
-
-
 def assign(x: np.ndarray, minus: np.ndarray, sig: np.ndarray, ctrl: np.ndarray, mu: np.ndarray, pi: np.ndarray, tau: np.ndarray, model: np.ndarray, width: int, noise: float = 0.1, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Signal and control counts of components at fixed places: ``rounds`` of weights from the signal, then the control by the last weights; without control a count of 1 is shared by weight."""
     h = _density(model, minus, x - np.repeat(mu[:, None], len(model), axis=1)[:, :, None])
@@ -206,24 +206,37 @@ def assign(x: np.ndarray, minus: np.ndarray, sig: np.ndarray, ctrl: np.ndarray,
     return (share * sig).sum(axis=1), c
 
 
-def assign_counts(counts: DataFrame, components: DataFrame, model: np.ndarray, noise: float = 0.1) -> DataFrame:
-    """``region_id, part, cond_id, chrom, component, position, sig, ctrl``: counts of each component by maximum likelihood."""
+COMPONENTS = "region_id bigint, part int, cond_id int, chrom string, component int, position bigint, form int, pi double, plus double, minus double, tau array<double>"
+
+
+def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0, noise: float = 0.1, assigned: bool = False) -> DataFrame:
+    """Components of every part and condition of ``region_counts``, numbered along the part; those of a margin serve the fit and are left out.
+
+    Without ``alpha``, that of the column ``alpha``; a column ``noise`` goes before ``noise``.
+    With ``assigned``, ``sig`` and ``ctrl`` are the counts of each component by maximum
+    likelihood (``assign``), taken in the same group as the fit.
+    """
     names = ["region_id", "part", "cond_id"]
+    schema = COMPONENTS + (", sig double, ctrl double" if assigned else "")
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = [*names, "chrom", "component", "position", "sig", "ctrl"]
-        if not len(left) or not len(right):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "strand"])
+        x, minus, sig, ctrl = pdf.pos.to_numpy(np.int64), (pdf.strand == "-").to_numpy(), pdf.sig.to_numpy(float), pdf.ctrl.to_numpy(float)
+        first, own = pdf.iloc[0], sig > 0
+        if not own.any():
             return pd.DataFrame(columns=columns)
-        left, right = left.sort_values(["pos", "strand"]), right.sort_values("component").copy()
-        width = int(left.rend.iloc[0] - left.rstart.iloc[0] + 1)
-        right["sig"], right["ctrl"] = assign(
-            left.pos.to_numpy(np.int64), (left.strand == "-").to_numpy(), left.sig.to_numpy(float), left.ctrl.to_numpy(float),
-            right.position.to_numpy(np.int64), right.pi.to_numpy(float), np.stack(right.tau.to_numpy()), model, width, noise,
-        )
-        return right[columns]
-
-    schema = "region_id bigint, part int, cond_id int, chrom string, component int, position bigint, sig double, ctrl double"
-    return spread_groups(counts, names).groupBy(*names).cogroup(components.groupBy(*names)).applyInPandas(run, schema)
+        start, end, share = int(first.fit_start), int(first.fit_end), float(first.noise) if "noise" in pdf else noise
+        out = fit(x[own], minus[own], sig[own], start, end, model, float(first.alpha) if alpha is None else alpha, share)
+        if assigned and len(out):
+            out["sig"], out["ctrl"] = assign(x, minus, sig, ctrl, out.position.to_numpy(np.int64), out.pi.to_numpy(float), np.stack(out.tau.to_numpy()), model, end - start + 1, share)
+        out = out[(out.position >= first.rstart) & (out.position <= first.rend)].copy()
+        for c in (*names, "chrom"):
+            out[c] = first[c]
+        out["component"] = range(len(out))
+        return out.reindex(columns=columns)
+
+    return spread_groups(counts, names).groupBy(*names).applyInPandas(run, schema)
 
 
 def model_from_profile(profile: DataFrame, reach: int = 100) -> np.ndarray:

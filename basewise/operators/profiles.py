@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewise.operators.intervals import points_in_intervals
+from basewise.operators.ordered import running_totals
 
 FLOOR = 1e-20
 
@@ -111,11 +112,10 @@ def histogram(rows: DataFrame, keys: Sequence[str], value: str, width: float, lo
 def rank_percentile(rows: DataFrame, keys: Sequence[str], value: str, p: float) -> DataFrame:
     """``keys, value``: the percentile whose rank is p * (n + 1), between neighbours by straight line, within the ends.
 
-    Values are counted by distinct value first, so ties and hot keys shrink before they are ordered.
+    Values are counted by distinct value first, so ties and hot keys shrink, and ordered by ranges.
     """
     v = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    v = v.withColumn("_upto", F.sum("_n").over(w.orderBy("_v"))).withColumn("_all", F.sum("_n").over(w))
+    v = running_totals(v, keys, [F.col("_v")], {"_upto": F.col("_n")}, {"_upto": "_all"})
     at = F.least(F.greatest(F.lit(p) * (F.col("_all") + 1), F.lit(1.0)), F.col("_all").cast("double"))
     low = F.min(F.when(F.col("_upto") >= F.floor(at), F.col("_v")))
     high = F.min(F.when(F.col("_upto") >= F.ceil(at), F.col("_v")))

@@ -44,20 +44,25 @@ def bed_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def wide_table(rows: DataFrame, keys: Sequence[str], pivot: str, values: Sequence[int | str], columns: dict[str, Column]) -> DataFrame:
-    """One row for each key with a group of ``columns`` for each of ``values`` of ``pivot``, named ``{value}_{column}``.
+def wide_table(rows: DataFrame, keys: Sequence[str], pivot: str, values: Sequence[int | str], columns: dict[str, Column], *more: Column) -> DataFrame:
+    """One row for each key with a group of ``columns`` for each of ``values`` of ``pivot``, named ``{value}_{column}``, and aggregates ``more``.
 
     The values are given, so the table is one conditional aggregate and its columns don't
     depend on the rows.
     """
     cells = [F.max(F.when(F.col(pivot) == v, c)).alias(f"{v}_{name}") for v in values for name, c in columns.items()]
-    return rows.groupBy(*keys).agg(*cells)
+    return rows.groupBy(*keys).agg(*cells, *more)
+
+
+def found_column(condition: str, found: str) -> Column:
+    """An aggregate: the flag of each condition in order, as ``1,0,...``."""
+    each = F.array_sort(F.collect_list(F.struct(condition, F.col(found).cast("int").alias("f"))))
+    return F.concat_ws(",", F.transform(each, lambda x: x["f"].cast("string")))
 
 
 def found_in(rows: DataFrame, keys: Sequence[str], condition: str, found: str, name: str = "found_in") -> DataFrame:
     """``keys, name``: the flag of each condition in order, as ``1,0,...``."""
-    each = F.array_sort(F.collect_list(F.struct(condition, F.col(found).cast("int").alias("f"))))
-    return rows.groupBy(*keys).agg(F.concat_ws(",", F.transform(each, lambda x: x["f"].cast("string"))).alias(name))
+    return rows.groupBy(*keys).agg(found_column(condition, found).alias(name))
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:

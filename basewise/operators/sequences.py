@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basewise.operators.intervals import small_side
+from basewise.operators.ordered import running_totals
+
 BASES = "ACGT"
 
 
@@ -33,11 +35,10 @@ def letters(sequences: DataFrame, keys: Sequence[str], sequence: str = "sequence
     return sequences.where(F.length(sequence) > 0).select(*keys, F.posexplode(F.split(F.upper(sequence), "")).alias("position", "base"))
 
 
-def frequency_matrix(sequences: DataFrame, width: int | None = None, sequence: str = "sequence") -> DataFrame:
-    """``position, a, c, g, t``: counts of each base at every position of aligned sequences, or the first ``width``; other letters count for none."""
+def frequency_matrix(sequences: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """``position, a, c, g, t``: counts of each base at every position of aligned sequences; other letters count for none."""
     count = lambda b: F.count_if(F.col("base") == b.upper()).alias(b)
-    l = letters(sequences, [], sequence)
-    return (l if width is None else l.where(F.col("position") < width)).groupBy("position").agg(*[count(b) for b in "acgt"])
+    return letters(sequences, [], sequence).groupBy("position").agg(*[count(b) for b in "acgt"])
 
 
 def information(matrix: DataFrame, pseudo: float = 0.0) -> DataFrame:
@@ -58,43 +59,87 @@ def consensus(matrix: DataFrame) -> DataFrame:
     return matrix.agg(F.concat_ws("", F.transform(each, lambda x: x["base"])).alias("consensus"))
 
 
-def weights(matrix: DataFrame, pseudo: float = 0.01) -> list[list[float]]:
-    """log2 odds of A, C, G, T by position, from a frequency matrix; one row for each position comes to the driver."""
-    out = []
-    for r in matrix.orderBy("position").collect():
-        n = sum(r[b] + pseudo for b in "acgt")
-        out.append([math.log2((r[b] + pseudo) / n / 0.25) for b in "acgt"])
-    return out
+def motif_weights(sequences: DataFrame, pseudo: float = 0.01, sequence: str = "sequence") -> DataFrame:
+    """``motif, weights``: for each length of ``sequences`` the log2 odds of the sequences of that length, aligned: for each position the least, then A, C, G, T."""
+    l = letters(sequences.withColumn("motif", F.length(sequence)), ["motif"], sequence)
+    count = lambda b: F.count_if(F.col("base") == b).cast("double") + pseudo
+    m = l.groupBy("motif", "position").agg(*[count(b).alias(b) for b in BASES])
+    n = sum((F.col(b) for b in BASES), F.lit(0.0))
+    odds = [F.log2(F.col(b) / n / 0.25) for b in BASES]
+    m = m.select("motif", "position", F.array(F.least(*odds), *odds).alias("w"))
+    return m.groupBy("motif").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "w"))), lambda x: x["w"]).alias("weights"))
 
 
-def best_match(sequences: DataFrame, pwm: list[list[float]], sequence: str = "sequence") -> DataFrame:
-    """``sequences`` with ``score, start, strand, kmer`` of the best place of ``pwm`` on either strand.
+def best_match(sequences: DataFrame, motifs: DataFrame, sequence: str = "sequence", both: bool = False) -> DataFrame:
+    """``sequences`` with ``motif, score, start, strand, kmer``: the best place of each of ``motifs`` (as ``motif_weights``) that fits, on either strand.
 
     Letters other than ACGT score the position's least. Ties go to the smaller start, then to
-    the plus strand; minus k-mers are reverse complements. Sequences shorter than the matrix
-    have nulls.
+    the plus strand; minus k-mers are reverse complements. A motif longer than a sequence has
+    no row. The matrices, one a length, are joined by their length. With ``both``, ``plus`` and
+    ``minus`` are the best scores of each strand.
     """
-    w = len(pwm)
-    table = F.array(*[F.array(*[F.lit(x) for x in [min(row), *row]]) for row in pwm])
+    lengths = motifs.agg(F.min("motif").alias("_least"), F.max("motif").alias("_most"))
+    fits = sequences.join(F.broadcast(lengths), F.length(sequence) >= F.col("_least"))  # one row
+    fits = fits.withColumn("motif", F.explode(F.sequence("_least", F.least(F.length(sequence), "_most")))).drop("_least", "_most")
+    j = fits.join(small_side(motifs), "motif")
+    table, w, n = F.col("weights"), F.col("motif"), F.length(sequence)
     code = F.transform(F.split(F.upper(sequence), ""), lambda b: F.instr(F.lit(BASES), b))
     # complement of the code: 0 stays, 1..4 mirrored
     back = F.transform(F.reverse(code), lambda c: F.when(c == 0, 0).otherwise(5 - c))
-    n = F.length(sequence)
 
     def scores(c: Column, strand: str) -> Column:
-        one = lambda z: F.aggregate(F.sequence(F.lit(0), F.lit(w - 1)), F.lit(0.0), lambda s, k: s + F.get(F.get(table, k), F.get(c, z + k)))
+        one = lambda z: F.aggregate(F.zip_with(table, F.slice(c, z + 1, w), lambda t, x: F.get(t, x)), F.lit(0.0), lambda s, x: s + x)
         start = lambda z: z if strand == "+" else n - w - z
         return F.transform(F.sequence(F.lit(0), n - w), lambda z: F.struct((-F.round(one(z), 9)).alias("neg"), start(z).alias("start"), F.lit(strand).alias("strand")))
 
-    best = F.when(n >= w, F.array_min(F.concat(scores(code, "+"), scores(back, "-"))))
-    kmer = F.substr(F.col(sequence), F.col("_b.start") + 1, F.lit(w))
-    d = sequences.withColumn("_b", best)
+    d = j.withColumn("_plus", F.array_min(scores(code, "+"))).withColumn("_minus", F.array_min(scores(back, "-")))
+    d = d.withColumn("_b", F.least("_plus", "_minus"))
+    kmer = F.substr(F.col(sequence), F.col("_b.start") + 1, w)
     return d.select(
-        *sequences.columns, (-F.col("_b.neg")).alias("score"), F.col("_b.start").alias("start"), F.col("_b.strand").alias("strand"),
+        *sequences.columns, "motif", (-F.col("_b.neg")).alias("score"), F.col("_b.start").alias("start"), F.col("_b.strand").alias("strand"),
         F.when(F.col("_b.strand") == "-", reverse_complement(kmer)).otherwise(kmer).alias("kmer"),
+        *([(-F.col(f"_{x}.neg")).alias(x) for x in ("plus", "minus")] if both else []),
     )
 
 
+def motif_frequencies(sequences: DataFrame, pseudo: float = 0.01, sequence: str = "sequence") -> DataFrame:
+    """``motif, position, f``: for each length of ``sequences`` the shares of A, C, G and T at each position of those of that length."""
+    l = letters(sequences.withColumn("motif", F.length(sequence)), ["motif"], sequence)
+    m = l.groupBy("motif", "position").agg(*[(F.count_if(F.col("base") == b).cast("double") + pseudo).alias(b) for b in BASES])
+    n = sum((F.col(b) for b in BASES), F.lit(0.0))
+    return m.select("motif", "position", F.array(*[F.col(b) / n for b in BASES]).alias("f"))
+
+
+def column_correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of two columns of a matrix (arrays of 4); 0 where either is flat."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / 4
+    part = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: (u - mean(x)) * (v - mean(y))), F.lit(0.0), lambda s, v: s + v)
+    return F.coalesce(F.try_divide(part(a, b), F.sqrt(part(a, a) * part(b, b))), F.lit(0.0))
+
+
+def align_motifs(motifs: DataFrame) -> DataFrame:
+    """``motif, offset, reverse, score``: each motif (``motif, position, f``) against the shortest one, without gaps.
+
+    The score is the sum of column correlations over the whole shortest motif at its best place
+    in the other one, the first such, as given or as reverse complement (only if better).
+    ``offset`` is from middle to middle: the place less half of the difference in length,
+    which for a reversed motif of even length is one more.
+    """
+    lengths = motifs.groupBy("motif").agg((F.max("position") + 1).alias("n"))
+    reference = lengths.agg(F.min("motif").alias("_r"), F.min("n").alias("_m"))
+    r = motifs.join(F.broadcast(reference), F.col("motif") == F.col("_r")).select(F.col("position").alias("_at"), F.col("f").alias("_f"), "_m")
+    t = motifs.join(lengths, "motif")
+    back = t.select("motif", "n", (F.col("n") - 1 - F.col("position")).alias("position"), F.reverse("f").alias("f"), F.lit(True).alias("reverse"))
+    t = t.select("motif", "n", "position", "f", F.lit(False).alias("reverse")).unionByName(back)
+    places = lengths.join(F.broadcast(reference.select("_m"))).select("motif", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("_m"))).alias("place"))
+    j = places.join(t, "motif").withColumn("_at", F.col("position") - F.col("place")).join(F.broadcast(r), "_at")
+    scores = j.groupBy("motif", "n", "_m", "reverse", "place").agg(F.round(F.sum(column_correlation(F.col("_f"), F.col("f"))), 9).alias("score"))
+    best = scores.groupBy("motif").agg(F.max(F.struct("score", (~F.col("reverse")).alias("forward"), (-F.col("place")).alias("before"), "n", "_m")).alias("b"))
+    apart = F.floor((F.col("b.n") - F.col("b._m")) / 2)
+    even = ~F.col("b.forward") & (F.col("b.n") % 2 == 0) & (F.col("b._m") % 2 == 0)
+    return best.select("motif", (-F.col("b.before") - apart - F.when(even, 1).otherwise(0)).cast("int").alias("offset"), (~F.col("b.forward")).alias("reverse"), F.col("b.score").alias("score"))
+
+
 def markov_model(sequences: DataFrame, order: int = 1, sequence: str = "sequence") -> DataFrame:
     """``context, base, p``: probability of each base after the ``order`` bases before it, from counts of k-mers of ACGT."""
     k = order + 1
@@ -152,13 +197,20 @@ def fit_motif(sequences: DataFrame, width: int = 10, iterations: int = 100, epsi
             for i, b in enumerate(BASES):
                 lookup[ord(b)] = i
             for batch in batches:
-                for s in batch["s"]:
-                    codes = lookup[np.minimum(np.frombuffer(s.encode("ascii", "replace"), np.uint8), 127)]
-                    windows = np.lib.stride_tricks.sliding_window_view(codes, width)
-                    ll = table[place, windows].sum(axis=1)
-                    z = np.exp(ll - ll.max())
-                    z /= z.sum()
-                    np.add.at(total, (np.broadcast_to(place, windows.shape), windows), z[:, None])
+                longest = int(batch["s"].str.len().max()) if len(batch) else 0
+                step = max(4_000_000 // max(longest * width, 1), 1)
+                for lo in range(0, len(batch), step):
+                    part = batch["s"].iloc[lo : lo + step]
+                    n = part.str.len().to_numpy()
+                    # letters behind the end of a sequence are spaces, and no window reaches over it
+                    text = np.frombuffer("".join(part.str.ljust(longest)).encode("ascii", "replace"), np.uint8).reshape(len(part), longest)
+                    windows = np.lib.stride_tricks.sliding_window_view(lookup[np.minimum(text, 127)], width, axis=1)
+                    ll = table[place, windows].sum(axis=2)
+                    ll[np.arange(ll.shape[1]) > (n - width)[:, None]] = -np.inf
+                    z = np.exp(ll - ll.max(axis=1, keepdims=True))
+                    z /= z.sum(axis=1, keepdims=True)
+                    for k in range(width):
+                        total[k] += np.bincount(windows[:, :, k].ravel(), z.ravel(), 5)
             yield pd.DataFrame({"k": np.repeat(place, 4), "b": np.tile(np.arange(4), width), "n": total[:, :4].ravel()})
 
         sums = kept.mapInPandas(run, "k int, b int, n double").groupBy("k", "b").agg(F.sum("n").alias("n")).collect()
@@ -173,21 +225,21 @@ def fit_motif(sequences: DataFrame, width: int = 10, iterations: int = 100, epsi
     return p.tolist(), turn
 
 
+def roc_curve(rows: DataFrame, keys: Sequence[str], score: str, positive: Column) -> DataFrame:
+    """``keys, score, true_positives, false_positives``: running counts at each distinct score, the largest first, taken by ranges of the score."""
+    c = rows.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
+    c = running_totals(c, keys, [F.desc("score")], {"true_positives": F.col("_p"), "false_positives": F.col("_n")})
+    return c.select(*keys, "score", "true_positives", "false_positives")
+
+
 def roc_auc(rows: DataFrame, keys: Sequence[str], score: str, positive: Column) -> DataFrame:
     """``keys, positives, negatives, auc``: the area under the curve over descending ``score``; 0 without positives, 1 without negatives.
 
     Rows are counted by distinct score first; equal scores share their area, so their order doesn't matter.
     """
     c = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_s"))
-    c = c.withColumn("_before", F.sum("_p").over(w) - F.col("_p"))
-    a = c.groupBy(*keys).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum(F.col("_n") * (F.col("_before") + F.col("_p") / 2)).alias("_a"))
+    c = running_totals(c, keys, [F.desc("_s")], {"_upto": F.col("_p")})
+    half = F.col("_upto") - F.col("_p") / 2
+    a = c.groupBy(*keys).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum(F.col("_n") * half).alias("_a"))
     area = F.when(F.col("positives") == 0, 0.0).when(F.col("negatives") == 0, 1.0).otherwise(F.try_divide(F.col("_a"), F.col("positives").cast("double") * F.col("negatives")))
     return a.select(*keys, "positives", "negatives", area.alias("auc"))
-
-
-def roc_curve(rows: DataFrame, keys: Sequence[str], score: str, positive: Column) -> DataFrame:
-    """``keys, score, true_positives, false_positives``: running counts at each distinct score, the largest first."""
-    c = rows.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    return c.select(*keys, "score", F.sum("_p").over(w).alias("true_positives"), F.sum("_n").over(w).alias("false_positives"))

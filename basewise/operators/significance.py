@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewise.functions.stats import binomial_cdf, poisson_cdf
-from basewise.operators.landscape import with_neighbours  # noqa: F401
+from basewise.operators.ordered import running_totals
 
 
 def replicate_weights(totals: DataFrame, condition: str = "cond_id") -> DataFrame:
@@ -45,53 +45,70 @@ def p_value(sig: Column, ctrl: Column, total: Column, background: Column, min_fo
 def benjamini_hochberg(rows: DataFrame, keys: Sequence[str], p: str, counts: str, tie: Sequence[str], q: str = "q", monotone: bool = False) -> DataFrame:
     """``rows`` with ``q`` = min(1, p * n / rank) within ``keys``; n is all rows of the key.
 
-    The order is p, then larger ``counts``, then ``tie``. Ranks are taken in ranges of p: rows
-    are numbered within each order of magnitude of p, and the numbers before it are added, so
-    no task orders a whole key. With ``monotone`` the least q of all larger p is kept instead.
+    The order is p, then larger ``counts``, then ``tie``. Ranks are counted in ranges
+    (``running_totals``), so no task orders a whole key or all rows of one p. With
+    ``monotone`` the least q of all larger p is kept instead.
     """
-    decade = F.when(F.col(p) > 0, F.floor(F.log10(p) * 4)).otherwise(-10_000).cast("int")
-    t = rows.withColumn("_part", decade)
-    sizes = t.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    over = Window.partitionBy(*keys)
-    sizes = sizes.withColumn("_before", F.sum("_n").over(over.orderBy("_part")) - F.col("_n")).withColumn("_all", F.sum("_n").over(over)).drop("_n")
-    inner = Window.partitionBy(*keys, "_part").orderBy(F.col(p), F.col(counts).desc(), *tie)
-    t = t.withColumn("_rank", F.row_number().over(inner)).join(sizes, [*keys, "_part"])
-    t = t.withColumn(q, F.least(F.lit(1.0), F.col(p) * F.col("_all") / (F.col("_before") + F.col("_rank"))))
+    order = [F.col(p), F.col(counts).desc(), *[F.col(c) for c in tie]]
+    t = running_totals(rows, keys, order, {"_rank": F.lit(1)}, {"_rank": "_all"})
+    t = t.withColumn(q, F.least(F.lit(1.0), F.col(p) * F.col("_all") / F.col("_rank")))
     if monotone:
-        behind = t.groupBy(*keys, "_part").agg(F.min(q).alias("_least"))
-        back = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        behind = t.groupBy(*keys, "_range").agg(F.min(q).alias("_least"))
+        back = Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
         behind = behind.withColumn("_later", F.min("_least").over(back)).drop("_least")
-        t = t.join(behind, [*keys, "_part"])
-        behind_first = Window.partitionBy(*keys, "_part").orderBy(F.col(p).desc(), F.col(counts), *[F.col(c).desc() for c in tie])
-        own = F.min(q).over(behind_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        t = t.withColumn(q, F.least(own, F.coalesce("_later", F.lit(1.0))))
+        t = t.join(behind, [*keys, "_range"])
+        last_first = Window.partitionBy(*keys, "_range").orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        t = t.withColumn(q, F.least(F.min(q).over(last_first), F.coalesce("_later", F.lit(1.0))))
     return t.select(*rows.columns, q)
 
 
-def replicate_scaling(event_rep: DataFrame, event: Sequence[str]) -> DataFrame:
-    """``cond_id, rep_a, rep_b, scale``: through-origin slope of the signal of b on that of a, for all ordered pairs of replicates of a condition."""
-    a = event_rep.select(*event, "cond_id", F.col("rep_id").alias("rep_a"), F.col("sig").alias("_x"))
-    b = event_rep.select(*event, "cond_id", F.col("rep_id").alias("rep_b"), F.col("sig").alias("_y"))
-    j = a.join(b, [*event, "cond_id"]).where("rep_a <> rep_b")
-    return j.groupBy("cond_id", "rep_a", "rep_b").agg(F.try_divide(F.sum(F.col("_x") * F.col("_y")), F.sum(F.col("_x") * F.col("_x"))).alias("scale"))
+def running_ratio(windows: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
+    """``keys, at, upto_s, upto_c, upto``: signal, control and number of ``windows`` (``s, c``) up to each distinct value of ``at``."""
+    each = windows.groupBy(*keys, at.alias("at")).agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"), F.count("*").alias("_n"))
+    return running_totals(each, keys, [F.col("at")], {"upto_s": F.col("_s"), "upto_c": F.col("_c"), "upto": F.col("_n")}).select(*keys, "at", "upto_s", "upto_c", "upto")
+
 
+def replicate_scaling(event_rep: DataFrame, event: Sequence[str]) -> DataFrame:
+    """``cond_id, rep_a, rep_b, scale``: the factor that brings counts of b to those of a, for all ordered pairs of replicates of a condition.
 
-def consistent_pairs(event_rep: DataFrame, scaling: DataFrame, event: Sequence[str], q: float = 0.01) -> DataFrame:
-    """``event, cond_id, consistent``: no ordered pair of replicates differs more than scaled counts of one source would."""
-    a = event_rep.select(*event, "cond_id", F.col("rep_id").alias("rep_a"), F.col("sig").alias("_a"))
-    b = event_rep.select(*event, "cond_id", F.col("rep_id").alias("rep_b"), F.col("sig").alias("_b"))
-    j = a.join(b, [*event, "cond_id"]).where("rep_a <> rep_b").join(scaling, ["cond_id", "rep_a", "rep_b"])
-    # of _a + _b, b's share is expected to be scale / (1 + scale)
-    p = binomial_cdf(F.ceil("_b"), F.ceil(F.col("_a") + F.col("_b")), F.col("scale") / (1 + F.col("scale")))
-    return j.groupBy(*event, "cond_id").agg(F.min(F.when(F.col("_a") + F.col("_b") > 0, p).otherwise(1.0) > q).alias("consistent"))
+    For a before b it is the slope through the origin of a's signal on b's over all events,
+    an event without a count having 0; for the mirrored pair its inverse. Pairs without a
+    slope (no counts of b, or no event with counts of both) have no scale.
+    """
+    reps = event_rep.groupBy("cond_id", "rep_id").agg(F.sum(F.col("sig") * F.col("sig")).alias("_yy"))
+    # the replicates of one event and condition are as many as the design names
+    each = event_rep.groupBy(*event, "cond_id").agg(F.collect_list(F.struct("rep_id", "sig")).alias("_r"))
+    a, b = (each.select("cond_id", "_r", F.explode("_r").alias("_a")), F.filter("_r", lambda r: r["rep_id"] > F.col("_a.rep_id")))
+    both = a.select("cond_id", "_a", F.explode(b).alias("_b"))
+    xy = both.groupBy("cond_id", F.col("_a.rep_id").alias("rep_a"), F.col("_b.rep_id").alias("rep_b")).agg(F.sum(F.col("_a.sig") * F.col("_b.sig")).alias("_xy"))
+    yy = reps.select(F.col("cond_id").alias("_c"), F.col("rep_id").alias("_rep"), "_yy")
+    one = xy.join(yy, (F.col("cond_id") == F.col("_c")) & (F.col("rep_b") == F.col("_rep"))).select("cond_id", "rep_a", "rep_b", F.try_divide("_xy", "_yy").alias("scale"))
+    one = one.where("scale > 0")
+    return one.unionByName(one.select("cond_id", F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"), (1 / F.col("scale")).alias("scale")))
+
+
+def consistent_pairs(event_rep: DataFrame, scaling: DataFrame, event: Sequence[str], q: float = 0.01, min_fold: float = 1.5) -> DataFrame:
+    """``event, cond_id, consistent``: no ordered pair of replicates differs by more than ``min_fold`` significantly.
+
+    Of a's count and b's scaled count (rounded up together), b's share must not be
+    significantly under 1 / (min_fold + 1). A replicate without a count at an event has 0. An
+    event without pairs (one replicate, no scale) is consistent.
+    """
+    each = event_rep.groupBy(*event, "cond_id").agg(F.map_from_entries(F.collect_list(F.struct("rep_id", "sig"))).alias("_sig"))
+    j = each.join(scaling, "cond_id", "left")
+    a = F.coalesce(F.try_element_at("_sig", F.col("rep_a")), F.lit(0.0))
+    b = F.coalesce(F.try_element_at("_sig", F.col("rep_b")), F.lit(0.0)) * F.col("scale")
+    n = F.ceil(F.round(a + b, 9))
+    p = binomial_cdf(F.ceil(F.round(b, 9)), n, F.lit(1.0 / (min_fold + 1)))
+    return j.groupBy(*event, "cond_id").agg(F.min(F.coalesce(F.when(n > 0, p > q), F.lit(True))).alias("consistent"))
 
 
 def replication_code(n_reps: Column, found: Column, n_significant: Column, cond_q: Column, consistent: Column, q: float = 0.01) -> Column:
-    """``S`` single replicate, ``X`` not significant, ``D`` in disagreement, ``1`` one replicate or the sum only, else the number of significant replicates."""
+    """``S`` single replicate, whatever is found; ``X`` not found or not significant; the number of significant replicates from 2; else ``1`` or, in disagreement, ``D``."""
     one = (n_significant == 1) | (cond_q <= q)
     return (
-        F.when(~found, "X")
-        .when(n_reps <= 1, "S")
+        F.when(n_reps <= 1, "S")
+        .when(~found, "X")
         .when(n_significant >= 2, n_significant.cast("string"))
         .when(one & consistent, "1")
         .when(one, "D")

@@ -7,15 +7,13 @@ and swaps them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basewise.operators.intervals import small_side
-
 TINY = 1e-12
 
 
@@ -82,76 +80,137 @@ def np_weighted_pearson(q: np.ndarray, p: np.ndarray) -> np.ndarray:
         return (w * x * y).sum(axis=2) / np.sqrt((w * x * x).sum(axis=2) * (w * y * y).sum(axis=2))
 
 
-#: Scores of two cells (a1, b1 the watson and a2, b2 the crick values of a and b), summed over the length of a strand.
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, 0 where both are 0."""
+    return np.where((a == 0) & (b == 0), 0.0, a / np.where(b == 0, 1.0, b))
+
+
+def _xlog(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a ln(a / b), 0 for a of 0."""
+    return np.where(a == 0, 0.0, a * np.log(np.where(a == 0, 1.0, a) / b))
+
+
+#: Scores of two cells (x1, x2 the watson and y1, y2 the crick values of both profiles), larger for more alike ones; equal cells score 0.
+#: Each takes off the plain differences, so that it falls below 0 for cells far apart.
 CELL_SCORES = {
-    "linear": lambda a1, a2, b1, b2: abs(a1 - b1) + abs(a2 - b2),
-    "euclidean": lambda a1, a2, b1, b2: np.sqrt((a1 - b1) ** 2 + (a2 - b2) ** 2),
-    "sorensen": lambda a1, a2, b1, b2: (abs(a1 - b1) + abs(a2 - b2)) / (a1 + a2 + b1 + b2 + TINY),
-    "soergel": lambda a1, a2, b1, b2: (abs(a1 - b1) + abs(a2 - b2)) / (np.maximum(a1, b1) + np.maximum(a2, b2) + TINY),
-    "lorentzian": lambda a1, a2, b1, b2: np.log(1 + abs(a1 - b1)) + np.log(1 + abs(a2 - b2)),
-    "pce": lambda a1, a2, b1, b2: (a1 * b1 + a2 * b2) / (a1 * a1 + a2 * a2 + b1 * b1 + b2 * b2 - a1 * b1 - a2 * b2 + TINY),
-    "squared_chi": lambda a1, a2, b1, b2: ((a1 - b1) ** 2 + (a2 - b2) ** 2) / (a1 + a2 + b1 + b2 + TINY),
-    "divergence": lambda a1, a2, b1, b2: 2 * ((a1 - b1) ** 2 / ((a1 + b1) ** 2 + TINY) + (a2 - b2) ** 2 / ((a2 + b2) ** 2 + TINY)),
-    "clark": lambda a1, a2, b1, b2: np.sqrt(((a1 - b1) / (a1 + b1 + TINY)) ** 2 + ((a2 - b2) / (a2 + b2 + TINY)) ** 2),
-    "akl": lambda a1, a2, b1, b2: 10 - ((a1 - b1) * np.log((a1 + TINY) / (b1 + TINY)) + (a2 - b2) * np.log((a2 + TINY) / (b2 + TINY))) / 2,
+    "linear": lambda x1, x2, y1, y2: (x1 + x2) / 2 + (y1 + y2) / 2 - _apart(x1, x2, y1, y2),
+    "euclidean": lambda x1, x2, y1, y2: 1 - np.sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) - _apart(x1, x2, y1, y2),
+    "sorensen": lambda x1, x2, y1, y2: 1 - _ratio(_apart(x1, x2, y1, y2), x1 + x2 + y1 + y2) - _apart(x1, x2, y1, y2),
+    "soergel": lambda x1, x2, y1, y2: 1 - _ratio(_apart(x1, x2, y1, y2), np.maximum(x1, x2) + np.maximum(y1, y2)) - _apart(x1, x2, y1, y2),
+    "lorentzian": lambda x1, x2, y1, y2: 1 - np.log(1 + abs(x1 - x2)) - np.log(1 + abs(y1 - y2)) - _apart(x1, x2, y1, y2),
+    "pce": lambda x1, x2, y1, y2: _ratio(x1 * x2 + y1 * y2, x1**2 + y1**2 + x2**2 + y2**2 - x1 * x2 - y1 * y2) - _apart(x1, x2, y1, y2),
+    "squared_chi": lambda x1, x2, y1, y2: 1 - _ratio((x1 - x2) ** 2, x1 + x2) - _ratio((y1 - y2) ** 2, y1 + y2) - _apart(x1, x2, y1, y2),
+    "divergence": lambda x1, x2, y1, y2: 2 - 2 * (_ratio((x1 - x2) ** 2, (x1 + x2) ** 2) + _ratio((y1 - y2) ** 2, (y1 + y2) ** 2)) - _apart(x1, x2, y1, y2),
+    "clark": lambda x1, x2, y1, y2: 1 - np.sqrt(_ratio(x1 - x2, x1 + x2) ** 2 + _ratio(y1 - y2, y1 + y2) ** 2) - _apart(x1, x2, y1, y2),
+    "akl": lambda x1, x2, y1, y2: 2 - (_xlog(x1, x2) + _xlog(x2, x1)) / 2 + (_xlog(y1, y2) + _xlog(y2, y1)) / 2 - _apart(x1, x2, y1, y2),
+    "allr": lambda x1, x2, y1, y2: 0 * x1,
 }
 
 
+def _apart(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    return abs(x1 - x2) + abs(y1 - y2)
+
+
+def cell_score(name: str, x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((x1 == x2) & (y1 == y2), 0.0, CELL_SCORES[name](x1, x2, y1, y2))
+
+
 def np_cell_score(name: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The cells of two profiles at the same places, summed over the length of a strand."""
+
     def score(q: np.ndarray, p: np.ndarray) -> np.ndarray:
         n = q.shape[1] // 2
-        (a1, b1), (a2, b2) = _wide(q[:, :n], p[:, :n]), _wide(q[:, n:], p[:, n:])
-        return CELL_SCORES[name](a1, a2, b1, b2).sum(axis=2)
+        (x1, x2), (y1, y2) = _wide(q[:, :n], p[:, :n]), _wide(q[:, n:], p[:, n:])
+        return cell_score(name, x1, x2, y1, y2).sum(axis=2)
 
     return score
 
 
+def np_sliding_pearson(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The largest correlation of the middle half of ``q`` with any window of ``p`` of that length, in either orientation. Scaling a window to its maximum, as composites are drawn, doesn't change it."""
+    n = q.shape[1] // 2
+    w = n // 2
+    window = lambda x, s: np.concatenate([x[:, s : s + w], x[:, n + s : n + s + w]], axis=1)
+    middle, best = window(q, (n - w) // 2), None
+    for s in range(n - w + 1):
+        v = window(p, s)
+        for turned in (v, v[:, ::-1]):
+            r = np_pearson(middle, turned)
+            best = r if best is None else np.fmax(best, r)
+    return best
+
+
 def either_way(score: Callable, best: Callable) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """The better of a score with a profile and with its reverse complement."""
     return lambda q, p: best(score(q, p), score(q, p[:, ::-1]))
 
 
-def score_queries(profiles: DataFrame, scores: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]], every: int = 50, id_column: str = "vec_id", digits: int = 8, block: int = 2000) -> DataFrame:
-    """``q_id, id`` and ``scores``: each profile whose id is divisible by ``every`` against all others.
+#: Profiles and queries that meet in one task at a time.
+GROUP, BLOCK = 1024, 2048
 
-    The queries are a stated set. They go out in blocks of at most ``block``, one pass over the
-    profiles for each; within a task, Arrow batches meet the block as matrices. NaN becomes null.
+
+def meet(profiles: DataFrame, queries: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """``run(profiles, queries)`` for each group of about ``group`` profiles and block of about ``block`` queries, a stated set.
+
+    Both sides are cut by hash into parts of a size that doesn't grow, and each part is sent to
+    the tasks where it meets those of the other side; nothing goes to the driver.
     """
-    ids = profiles.where(F.col(id_column) % every == 0).select(id_column, "profile")
-    schema = "q_id bigint, id bigint, " + ", ".join(f"{n} double" for n in scores)
-    out = None
-    held: list = []
+    n_p, n_q = (max(-(-df.count() // size), 1) for df, size in ((profiles, group), (queries, block)))
+    part = lambda df, n: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")
+    p = profiles.withColumn("_g", part(profiles, n_p)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    q = queries.withColumn("_b", part(queries, n_q)).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
 
-    def one(rows: list) -> DataFrame:
-        q_ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return run(left, right) if len(left) and len(right) else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for lo in range(0, len(b), 256):
-                    part = b.iloc[lo : lo + 256]
-                    p, i = np.stack(part["profile"].to_numpy()), part[id_column].to_numpy()
-                    for k in range(0, len(q), 64):
-                        other = q_ids[k : k + 64, None] != i
-                        a, c = np.nonzero(other)
-                        columns = {n: np.round(f(q[k : k + 64], p)[other], digits) for n, f in scores.items()}
-                        yield pd.DataFrame({"q_id": q_ids[k : k + 64][a], "id": i[c], **{n: pd.Series(v).astype(object).where(~np.isnan(v), None) if np.isnan(v).any() else v for n, v in columns.items()}})
+    return p.groupBy("_g", "_b").cogroup(q.groupBy("_g", "_b")).applyInPandas(both, schema)
 
-        return profiles.select(id_column, "profile").mapInPandas(run, schema)
 
-    for r in ids.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            out, held = one(held) if out is None else out.unionByName(one(held)), []
-    if held or out is None:
-        last = one(held) if held else profiles.sparkSession.createDataFrame([], schema)
-        out = last if out is None else out.unionByName(last)
-    return out
+def _queries(profiles: DataFrame, every: int, id_column: str) -> DataFrame:
+    return profiles.where(F.col(id_column) % every == 0).select(F.col(id_column).alias("q_id"), F.col("profile").alias("q"))
 
 
-def query_pairs(profiles: DataFrame, every: int = 50, id_column: str = "vec_id") -> DataFrame:
-    """``q_id, q, id, p``: each profile whose id is divisible by ``every`` against all others. The queries are a counted block, broadcast."""
-    q = profiles.where(F.col(id_column) % every == 0).select(F.col(id_column).alias("q_id"), F.col("profile").alias("q"))
-    return profiles.select(F.col(id_column).alias("id"), F.col("profile").alias("p")).join(small_side(q, 20_000), F.col("id") != F.col("q_id"))
+def score_queries(profiles: DataFrame, scores: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]], every: int = 50, id_column: str = "vec_id", digits: int = 8) -> DataFrame:
+    """``q_id, id`` and ``scores``: each profile whose id is divisible by ``every`` against all others.
+
+    Groups of profiles meet blocks of queries as matrices (``meet``). NaN becomes null.
+    """
+    schema = "q_id bigint, id bigint, " + ", ".join(f"{n} double" for n in scores)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        p, i = np.stack(left["profile"].to_numpy()), left[id_column].to_numpy()
+        q, q_ids = np.stack(right["q"].to_numpy()), right["q_id"].to_numpy()
+        out = []
+        for lo in range(0, len(p), 256):
+            for k in range(0, len(q), 64):
+                other = q_ids[k : k + 64, None] != i[lo : lo + 256]
+                a, c = np.nonzero(other)
+                columns = {n: np.round(f(q[k : k + 64], p[lo : lo + 256])[other], digits) for n, f in scores.items()}
+                out.append(pd.DataFrame({"q_id": q_ids[k : k + 64][a], "id": i[lo : lo + 256][c], **columns}))
+        return pd.concat(out)
+
+    found = meet(profiles.select(id_column, "profile"), _queries(profiles, every, id_column), run, schema)
+    return found.select("q_id", "id", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in scores])
+
+
+def score_pairs(profiles: DataFrame, run: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, every: int = 50, id_column: str = "vec_id", at_once: int = 8192) -> DataFrame:
+    """``q_id, id`` and ``columns`` of ``run`` on rows of pairs: each profile whose id is divisible by ``every`` against all others. Pairs whose column ``_none`` is true have no row."""
+    schema = f"q_id bigint, id bigint, {columns}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        p, i = np.stack(left["profile"].to_numpy()), left[id_column].to_numpy()
+        q, q_ids = np.stack(right["q"].to_numpy()), right["q_id"].to_numpy()
+        a, c = np.nonzero(q_ids[:, None] != i)
+        out = [pd.DataFrame(columns=names)]
+        for lo in range(0, len(a), at_once):
+            x, y = a[lo : lo + at_once], c[lo : lo + at_once]
+            found = pd.DataFrame({"q_id": q_ids[x], "id": i[y], **run(q[x], p[y])})
+            out.append(found[~found["_none"]][names] if "_none" in found else found)
+        return pd.concat(out[1:] or out)
+
+    return meet(profiles.select(id_column, "profile"), _queries(profiles, every, id_column), both, schema)
 
 
 def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -165,52 +224,55 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.concatenate([x[:, :n] @ k.T, x[:, n:] @ k.T], axis=1)
 
 
-def shifted_distances(x: np.ndarray, reach: int = 25, sigma: float = 0.0) -> np.ndarray:
-    """Least squared distance of all pairs of profiles (rows), compared as in ``best_shift``; infinite where nothing overlaps."""
-    x = smooth(x, sigma)
+def shifted_matrix(x: np.ndarray, y: np.ndarray, reach: int = 25, sigma: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least squared distance of all rows of ``x`` and ``y``, compared as in ``best_shift``, with the shift and orientation of y; infinite where nothing overlaps."""
+    x, y = smooth(x, sigma), smooth(y, sigma)
     n = x.shape[1] // 2
-    best = np.full((len(x), len(x)), np.inf)
-    for d in range(-min(reach, n - 1), min(reach, n - 1) + 1):
+    best, shift, reverse = np.full((len(x), len(y)), np.inf), np.zeros((len(x), len(y)), np.int32), np.zeros((len(x), len(y)), bool)
+    for d in sorted(range(-min(reach, n - 1), min(reach, n - 1) + 1), key=lambda d: (abs(d), d)):
         k = n - abs(d)
-        cut = lambda y, s: np.concatenate([y[:, s : s + k], y[:, n + s : n + s + k]], axis=1)  # noqa: B023,E731
+        cut = lambda z, s: np.concatenate([z[:, s : s + k], z[:, n + s : n + s + k]], axis=1)  # noqa: B023,E731
         with np.errstate(divide="ignore", invalid="ignore"):
-            u = cut(x, max(d, 0))
-            u = u / u.sum(axis=1, keepdims=True)
-            for y in (x, x[:, ::-1]):
-                v = cut(y, max(-d, 0))
-                v = v / v.sum(axis=1, keepdims=True)
-                e = np.maximum((u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * u @ v.T, 0)
-                best = np.fmin(best, e)
-    return np.minimum(best, best.T)
+            v = cut(y, max(d, 0))
+            v = v / v.sum(axis=1, keepdims=True)
+            for rev, z in ((False, x), (True, x[:, ::-1])):
+                u = cut(z, max(-d, 0))
+                u = u / u.sum(axis=1, keepdims=True)
+                e = np.round(np.maximum((u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * u @ v.T, 0), 12)
+                better = e < best
+                best[better], shift[better], reverse[better] = e[better], d, rev
+    return best, shift, reverse
+
+
+def shifted_distances(x: np.ndarray, reach: int = 25, sigma: float = 0.0) -> np.ndarray:
+    """``shifted_matrix`` of all pairs of rows, in the better of both directions."""
+    d = shifted_matrix(x, x, reach, sigma)[0]
+    return np.minimum(d, d.T)
 
 
-def best_shift(pairs: DataFrame, reach: int = 25, sigma: float = 0.0) -> DataFrame:
+def best_shift(profiles: DataFrame, reach: int = 25, sigma: float = 0.0, every: int = 50) -> DataFrame:
     """``q_id, id, distance, shift, reverse``: the least squared distance over shifts of ``reach`` and both orientations, of profiles smoothed by ``sigma``.
 
     A shift moves both strands; cells that leave a strand are lost and what remains of both is
     scaled to sum 1. Ties go to the smaller shift, then the lower one, then forward. A pair
-    without overlap has no row. Pairs of a batch are compared together, one shift at a time.
+    without overlap has no row. Pairs are compared together, one shift at a time.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            q, p = smooth(np.stack(b["q"].to_numpy()), sigma), smooth(np.stack(b["p"].to_numpy()), sigma)
-            n = q.shape[1] // 2
-            best = np.full(len(b), np.inf)
-            shift, reverse = np.zeros(len(b), np.int32), np.zeros(len(b), bool)
-            for d in sorted(range(-min(reach, n - 1), min(reach, n - 1) + 1), key=lambda d: (abs(d), d)):
-                k = n - abs(d)
-                cut = lambda x, s: np.concatenate([x[:, s : s + k], x[:, n + s : n + s + k]], axis=1)  # noqa: B023,E731
-                u = cut(q, max(d, 0))
-                for rev in (False, True):
-                    v = cut(p[:, ::-1] if rev else p, max(-d, 0))
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        e = np.round(((u / u.sum(axis=1, keepdims=True) - v / v.sum(axis=1, keepdims=True)) ** 2).sum(axis=1), 12)
-                    better = e < best
-                    best[better], shift[better], reverse[better] = e[better], d, rev
-            found = np.isfinite(best)
-            yield pd.DataFrame({"q_id": b["q_id"][found], "id": b["id"][found], "distance": best[found], "shift": shift[found], "reverse": reverse[found]})
-
-    return pairs.select("q_id", "id", "q", "p").mapInPandas(run, "q_id bigint, id bigint, distance double, shift int, reverse boolean")
+    def run(q: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
+        q, p = smooth(q, sigma), smooth(p, sigma)
+        n = q.shape[1] // 2
+        best = np.full(len(q), np.inf)
+        shift, reverse = np.zeros(len(q), np.int32), np.zeros(len(q), bool)
+        for d in sorted(range(-min(reach, n - 1), min(reach, n - 1) + 1), key=lambda d: (abs(d), d)):
+            k = n - abs(d)
+            cut = lambda x, s: np.concatenate([x[:, s : s + k], x[:, n + s : n + s + k]], axis=1)  # noqa: B023,E731
+            u = cut(q, max(d, 0))
+            for rev in (False, True):
+                v = cut(p[:, ::-1] if rev else p, max(-d, 0))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    e = np.round(((u / u.sum(axis=1, keepdims=True) - v / v.sum(axis=1, keepdims=True)) ** 2).sum(axis=1), 12)
+                better = e < best
+                best[better], shift[better], reverse[better] = e[better], d, rev
+        return {"distance": best, "shift": shift, "reverse": reverse, "_none": ~np.isfinite(best)}
+
+    return score_pairs(profiles, run, "distance double, shift int, reverse boolean", every)

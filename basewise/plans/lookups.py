@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewise.functions.genome import counts_only
 from basewise.operators import intervals as iv
 from basewise.operators import landscape as ls
 from basewise.operators import reports as rp
+from basewise.operators.ordered import numbered
 from basewise.plans.data_quality import _LINES
 from basewise.plans.events import _EV, events
 from basewise.plans.profiles import _COMP, _composite
@@ -44,9 +45,9 @@ def f12_contained(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f13_large_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Conditions with at least 50 reported events and 1 % of all."""
+    """Conditions with at least 50 reported events and 5 % of all."""
     n = events(spark, folder).where(F.col("found") & (F.col("q") <= 0.01)).groupBy("cond_id").agg(F.count("*").alias("n"))
-    return n.where(F.col("n") >= F.greatest(F.lit(50.0), n.agg(F.sum("n") * 0.01).scalar()))
+    return n.where(F.col("n") >= F.greatest(F.lit(50.0), n.agg(F.sum("n") * 0.05).scalar()))
 
 
 def p05_dominant(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,16 +105,11 @@ def w09_half_height(spark: SparkSession, folder: str) -> DataFrame:
 
 def w10_numbered(spark: SparkSession, folder: str) -> DataFrame:
     """Events of each region and condition numbered along the region."""
-    n = F.row_number().over(Window.partitionBy("region_id", "cond_id").orderBy("pos", "event_id"))
-    return _placed(spark, folder).select("region_id", "cond_id", "event_id", n.alias("component"))
+    e = _placed(spark, folder).select("region_id", "cond_id", "event_id", "pos")
+    return numbered(e, ["region_id", "cond_id"], [F.col("pos"), F.col("event_id")], "component").drop("pos")
 
 
 def o04_by_location(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 1000 events along the genome, chromosomes in order of their names."""
-    return o04_all_by_location(spark, folder).limit(1000)
-
-
-def o04_all_by_location(spark: SparkSession, folder: str) -> DataFrame:
     """All events along the genome, chromosomes in order of their names."""
     return events(spark, folder).where("pos is not null").orderBy("chrom", "pos", "event_id", "cond_id").select("event_id", "cond_id", "chrom", "pos")
 
@@ -136,9 +132,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         f04_away_from_edges, f05_supported, f12_contained, f13_large_groups, p05_dominant, p07_found_in, p09_windows, p10_aligned, j09_nearest_motif, a19_distinct_bases, u03_without_events,
-        u05_distinct_points, w09_half_height, w10_numbered, o04_by_location, o04_all_by_location, k01_region_lines, k21_reads_around_regions,
+        u05_distinct_points, w09_half_height, w10_numbered, o04_by_location, k01_region_lines, k21_reads_around_regions,
     )
-}
+} | {"o04_all_by_location": o04_by_location}
 
 _PLACED = f"{_EV}, {REGIONS}, pl AS (SELECT event_id, cond_id, e.region_id, pos, rstart, rend FROM e JOIN reg ON reg.region_id = e.region_id AND reg.chrom = e.chrom WHERE pos IS NOT NULL)"
 
@@ -147,7 +143,7 @@ SQL = {
     "f04_away_from_edges": f"WITH {_PLACED} SELECT event_id, cond_id FROM pl WHERE pos - rstart > 25 AND rend - pos > 25",
     "f05_supported": f"WITH {_EV}, al AS ({REGION_SQL["m02_alphas"]}) SELECT event_id, e.cond_id FROM e JOIN al USING (cond_id) WHERE hits > 3 * alpha",
     "f12_contained": f"WITH {_EV}, {REGIONS}, d AS (SELECT DISTINCT chrom, pos FROM e WHERE pos IS NOT NULL) SELECT DISTINCT d.chrom, pos FROM d JOIN reg ON reg.chrom = d.chrom AND pos - 25 >= rstart AND pos + 25 <= rend",
-    "f13_large_groups": f"WITH {_EV}, n AS (SELECT cond_id, count(*) AS n FROM e WHERE found AND q <= 0.01 GROUP BY 1) SELECT * FROM n WHERE n >= greatest(50, (SELECT sum(n) * 0.01::DOUBLE FROM n))",
+    "f13_large_groups": f"WITH {_EV}, n AS (SELECT cond_id, count(*) AS n FROM e WHERE found AND q <= 0.01 GROUP BY 1) SELECT * FROM n WHERE n >= greatest(50, (SELECT sum(n) * 0.05::DOUBLE FROM n))",
     "p05_dominant": f"WITH {_EV} SELECT event_id, cond_id, h AS hits FROM (SELECT *, coalesce(hits, 0) AS h, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(hits, 0) DESC, cond_id) AS k FROM e) WHERE k = 1",
     "p07_found_in": f"WITH {_EV} SELECT event_id, string_agg(CASE WHEN found THEN '1' ELSE '0' END, ',' ORDER BY cond_id) AS found_in FROM e GROUP BY 1",
     "p09_windows": f"WITH {_EV}, {GENOME} SELECT event_id, cond_id, '>' || chrom || ':' || greatest(pos - 30, 1) || '-' || least(pos + 29, len) AS label FROM e JOIN gen USING (chrom) WHERE pos IS NOT NULL",
@@ -161,7 +157,7 @@ SELECT event_id, cond_id, least(pos - b.place, a.place - pos) AS distance FROM x
     "u05_distinct_points": f"WITH {_EV} SELECT DISTINCT e.chrom, e.pos, coalesce(evt.strand, '+') AS strand FROM e JOIN evt USING (event_id, cond_id) WHERE e.pos IS NOT NULL",
     "w09_half_height": f'WITH {_COMP}, t AS (SELECT *, max(value) OVER (PARTITION BY cond_id) AS top FROM cmp) SELECT cond_id, min("offset") AS first, max("offset") AS last FROM t WHERE value >= top / 2 GROUP BY 1',
     "w10_numbered": f"WITH {_PLACED} SELECT region_id, cond_id, event_id, CAST(row_number() OVER (PARTITION BY region_id, cond_id ORDER BY pos, event_id) AS INTEGER) AS component FROM pl",
-    "o04_by_location": f"WITH {_EV} SELECT event_id, cond_id, chrom, pos FROM e WHERE pos IS NOT NULL ORDER BY chrom, pos, event_id, cond_id LIMIT 1000",
+    "o04_by_location": f"WITH {_EV} SELECT event_id, cond_id, chrom, pos FROM e WHERE pos IS NOT NULL ORDER BY chrom, pos, event_id, cond_id",
     "o04_all_by_location": f"WITH {_EV} SELECT event_id, cond_id, chrom, pos FROM e WHERE pos IS NOT NULL ORDER BY chrom, pos, event_id, cond_id",
     "k01_region_lines": f"WITH {_POT} SELECT cond_id, chrom || ':' || rstart || '-' || rend AS line FROM pot",
     "k21_reads_around_regions": f"""WITH {HITS}, {REGIONS}, m AS (SELECT run_id, chrom, (rstart + rend) // 2 AS mid FROM reg)

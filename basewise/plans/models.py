@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from basewise.operators import clustering as cl
 from basewise.operators import mixture as mx
 from basewise.operators import significance as sg
-from basewise.operators import similarity as sm
 from basewise.operators import simulate
 from basewise.operators.profiles import composite
-from basewise.plans.profiles import points, stranded
-from basewise.plans.regions import m02_alphas
+from basewise.plans.profiles import label_means, points, stranded
+from basewise.plans.regions import e06_noise_shares, m02_alphas
 from basewise.session import cut_lineage
 from basewise.sources.tables import base_hits, current_regions, genome, replicate_runs
 
@@ -23,7 +22,11 @@ def _hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
-    return mx.region_counts(_hits(spark, folder), mx.bounded_parts(current_regions(spark, folder)))
+    """Counts of the parts of current regions with the share of noise of their region and condition (``e06``)."""
+    hits = _hits(spark, folder)
+    counts = mx.region_counts(hits, mx.bounded_parts(current_regions(spark, folder), hits))
+    shares = e06_noise_shares(spark, folder).withColumnRenamed("share", "_noise")
+    return counts.join(shares, ["region_id", "cond_id"], "left").withColumn("noise", F.coalesce("_noise", F.lit(0.05))).drop("_noise")
 
 
 def e01_components(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,10 +40,15 @@ def e02_subtypes(spark: SparkSession, folder: str) -> DataFrame:
     return mx.fit_regions(_counts(spark, folder), models, alpha=3.0)
 
 
+def e03_subtypes_assigned(spark: SparkSession, folder: str) -> DataFrame:
+    """Signal and control counts of the components of ``e02`` by maximum likelihood, places and tau held."""
+    models = mx.with_reverse(np.concatenate([mx.normal_model(8, 15), mx.normal_model(30, 30)]))
+    return mx.fit_regions(_counts(spark, folder), models, alpha=3.0, assigned=True)
+
+
 def e04_assigned(spark: SparkSession, folder: str) -> DataFrame:
     """Signal and control counts of the components of ``e01``."""
-    c = _counts(spark, folder)
-    return mx.assign_counts(c, mx.fit_regions(c, mx.normal_model(), alpha=3.0), mx.normal_model())
+    return mx.fit_regions(_counts(spark, folder), mx.normal_model(), alpha=3.0, assigned=True).select("region_id", "part", "cond_id", "chrom", "component", "position", "sig", "ctrl")
 
 
 def e07_rounds(spark: SparkSession, folder: str, rounds: int = 3) -> DataFrame:
@@ -59,47 +67,41 @@ def e07_rounds(spark: SparkSession, folder: str, rounds: int = 3) -> DataFrame:
     totals = signal.groupBy("cond_id").agg(F.sum("cnt").alias("total"))
     share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
 
-    def tested(components: DataFrame, model: np.ndarray, fold: float) -> DataFrame:
-        e = mx.assign_counts(counts, components, model).join(totals, "cond_id").withColumn("_share", share)
-        return cut_lineage(e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"), fold)).drop("_share", "total"))
+    def tested(components: DataFrame, fold: float) -> DataFrame:
+        e = components.join(totals, "cond_id").withColumn("_share", F.lit(share))
+        return cut_lineage(e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"), fold)).drop("_share", "total", "tau"))
 
-    model = mx.normal_model()
-    events = tested(mx.fit_regions(counts, model, alpha=None), model, 1.2 if rounds else 1.5)
+    events = tested(mx.fit_regions(counts, mx.normal_model(), alpha=None, assigned=True), 1.2 if rounds else 1.5)
     near = events.where("p <= 0.05").withColumn("strand", F.lit("+"))
     for k in range(rounds):
         at = near.select("cond_id", "chrom", F.col("position").alias("point"), F.col("strand").alias("point_strand"))
         model = mx.with_reverse(mx.model_from_profile(composite(signal, at, ["cond_id"])))
-        components = cut_lineage(mx.fit_regions(counts, model, alpha=None))
-        if k + 1 < rounds:
-            near = components.join(alphas, "cond_id").where("plus + minus > 3 * alpha").withColumn("strand", F.when(F.col("form") % 2 == 1, "-").otherwise("+"))
+        last = k + 1 == rounds
+        components = mx.fit_regions(counts, model, alpha=None, assigned=last)
+        if last:
+            events = tested(components, 1.5)
         else:
-            events = tested(components, model, 1.5)
+            near = cut_lineage(components).join(alphas, "cond_id").where("plus + minus > 3 * alpha").withColumn("strand", F.when(F.col("form") % 2 == 1, "-").otherwise("+"))
     return sg.benjamini_hochberg(events, ["cond_id"], "p", "sig", ["region_id", "part", "component"])
 
 
 def e08_exemplars(spark: SparkSession, folder: str) -> DataFrame:
-    """Affinity propagation over the 500 profiles with the highest peak."""
+    """Affinity propagation over the 500 profiles with the highest peak; every profile has the exemplar nearest to it, with its shift and orientation."""
     s = stranded(spark, folder).withColumn("peak", F.array_max("profile"))
-    return cl.cluster_top(s, "peak")
+    return cl.cluster(s, "peak")
 
 
 def j16_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Members of each exemplar and the mean of their profiles."""
-    m = e08_exemplars(spark, folder).join(stranded(spark, folder), "vec_id").select("exemplar", F.posexplode("profile").alias("place", "value"))
+    """Members of each exemplar and the mean of their profiles, each moved by its shift and turned as it fits (P11)."""
+    m = cl.aligned(stranded(spark, folder), e08_exemplars(spark, folder))
     return m.groupBy("exemplar", "place").agg(F.avg("value").alias("value"), F.count("*").alias("members"))
 
 
 def e12_merged(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels whose mean profiles are alike, merged into the larger; log divergence below -3."""
-    s = stranded(spark, folder).select("label", F.posexplode("profile").alias("place", "value"))
-    rows = s.groupBy("label", "place").agg(F.avg("value").alias("value"), F.count("*").alias("n")).orderBy("label", "place").collect()  # one mean profile a label
-    models: dict[int, list[float]] = {}
-    sizes = {}
-    for r in rows:
-        models.setdefault(r["label"], []).append(r["value"])
-        sizes[r["label"]] = r["n"]
-    into = cl.merge_models({k: np.array(v).reshape(2, -1) for k, v in models.items()}, sizes, -3.0)
-    return spark.createDataFrame(sorted(into.items()), "label int, merged_into int")
+    """Labels whose mean profiles are alike, the closest first, merged into the larger; log divergence below -10."""
+    s = stranded(spark, folder)
+    sizes = s.groupBy(F.col("label").alias("model")).agg(F.count("*").alias("size"))
+    return cl.merge_models(label_means(s), cut_lineage(sizes)).select(F.col("model").alias("label"), "merged_into")
 
 
 def e14_k_means(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +109,7 @@ def e14_k_means(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m27_alignments(spark: SparkSession, folder: str) -> DataFrame:
-    return cl.align_pairs(sm.query_pairs(stranded(spark, folder)))
+    return cl.align(stranded(spark, folder))
 
 
 def s21_simulated_reads(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,6 +118,6 @@ def s21_simulated_reads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (e01_components, e02_subtypes, e04_assigned, e07_rounds, e08_exemplars, j16_members, e12_merged, e14_k_means, m27_alignments, s21_simulated_reads)
+    f.__name__: f for f in (e01_components, e02_subtypes, e03_subtypes_assigned, e04_assigned, e07_rounds, e08_exemplars, j16_members, e12_merged, e14_k_means, m27_alignments, s21_simulated_reads)
 }
 SQL: dict[str, str] = {}

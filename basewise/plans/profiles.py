@@ -8,13 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basewise.operators import clustering as cl
 from basewise.operators import profiles as pf
 from basewise.operators import similarity as sm
-from basewise.operators.intervals import small_side
 from basewise.operators.landscape import hit_landscape, with_neighbours
 from basewise.plans.events import _EV, events
 from basewise.plans.regions import _land, event_points, signal
 from basewise.plans.sql_views import EVENTS, HITS
+from basewise.session import cut_lineage
 from basewise.sources.tables import table
 
 HALF = 100
@@ -149,7 +150,11 @@ def m24_cell_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m25_best_shift(spark: SparkSession, folder: str) -> DataFrame:
-    return sm.best_shift(sm.query_pairs(stranded(spark, folder)), 25, 1.0)
+    return sm.best_shift(stranded(spark, folder), 25, 1.0)
+
+
+def m26_sliding_pearson(spark: SparkSession, folder: str) -> DataFrame:
+    return sm.score_queries(stranded(spark, folder), {"score": sm.np_sliding_pearson})
 
 
 def m28_symmetric_kl(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,12 +168,11 @@ def m29_best_rotation(spark: SparkSession, folder: str) -> DataFrame:
 
 def m31_distances(spark: SparkSession, folder: str) -> DataFrame:
     """Correlations as distances from the largest; those at or over the 10th percentile become the largest distance."""
-    s = m22_pearson(spark, folder)
-    top = s.agg(F.max("score")).scalar()
-    d = s.select("q_id", "id", (top - F.col("score")).alias("d"))
+    s = cut_lineage(m22_pearson(spark, folder))
+    ends = s.agg(F.max("score").alias("top"), F.min("score").alias("low")).first()
+    d = s.select("q_id", "id", (F.lit(ends["top"]) - F.col("score")).alias("d"))
     cut = pf.rank_percentile(d, [], "d", 0.1).select("value").scalar()
-    most = d.agg(F.max("d")).scalar()
-    return d.select("q_id", "id", F.round(F.when(F.col("d") < cut, F.col("d")).otherwise(most), 7).alias("distance"))
+    return d.select("q_id", "id", F.round(F.when(F.col("d") < cut, F.col("d")).otherwise(F.lit(ends["top"]) - F.lit(ends["low"])), 8).alias("distance"))
 
 
 def a22_exemplars(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,22 +181,24 @@ def a22_exemplars(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("label", "place").agg(F.round(F.avg("value"), 9).alias("value"), F.count("*").alias("n"))
 
 
+def label_means(profiles: DataFrame) -> DataFrame:
+    """``model, m``: the mean profile of each label."""
+    means = profiles.select("label", F.posexplode("profile").alias("place", "value")).groupBy("label", "place").agg(F.avg("value").alias("value"))
+    each = means.groupBy(F.col("label").alias("model")).agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("m"))
+    return cut_lineage(each.select("model", F.transform("m", lambda x: x["value"]).alias("m")))
+
+
 def e17_classified(spark: SparkSession, folder: str) -> DataFrame:
     """Each profile's label by the least symmetric divergence from the mean profiles of the labels, in either orientation."""
     s = stranded(spark, folder)
-    means = s.select("label", F.posexplode("profile").alias("place", "value")).groupBy("label", "place").agg(F.avg("value").alias("value"))
-    models = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("m")).select(F.col("label").alias("model"), F.transform("m", lambda x: x["value"]).alias("m"))
-    j = s.join(small_side(models, 20_000), F.lit(True))  # the models are a stated set, counted before they are broadcast
-    both = lambda a, b: sm.kl_divergence(a, b) + sm.kl_divergence(b, a)
-    d = F.round(F.least(both(F.col("profile"), F.col("m")), both(F.reverse("profile"), F.col("m"))), 8)
-    return j.groupBy("vec_id").agg(F.min(F.struct(d.alias("d"), "model")).alias("b")).select("vec_id", F.col("b.model").alias("model"), F.col("b.d").alias("divergence"))
+    return cl.nearest_models(s.select("vec_id", "profile"), label_means(s))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         p01_offsets, a12_composite, a21_joint, a20_pseudo_counts, a26_point_profile, w03_moving_average, w04_smoothed, w07_interval, a18_mean_width, w08_interpolated, m10_probabilities,
-        m11_lookup, m09_normal_model, a16_distances, a16_weighted, a17_percentiles, m20_squared, m21_kl, m22_pearson, m23_weighted_pearson, m24_cell_scores, m25_best_shift,
+        m11_lookup, m09_normal_model, a16_distances, a16_weighted, a17_percentiles, m20_squared, m21_kl, m22_pearson, m23_weighted_pearson, m24_cell_scores, m25_best_shift, m26_sliding_pearson,
         m28_symmetric_kl, m29_best_rotation, m31_distances, a22_exemplars, e17_classified,
     )
 }
@@ -236,23 +242,31 @@ def _pearson(a: str, b: str) -> str:
 
 
 def _cells() -> str:
-    t = "1e-12"
-    a1, a2, b1, b2 = "q[i]", "q[i + len(q) // 2]", "p[i]", "p[i + len(q) // 2]"
-    d1, d2 = f"({a1} - {b1})", f"({a2} - {b2})"
+    x1, y1, x2, y2 = "q[i]", "q[i + len(q) // 2]", "p[i]", "p[i + len(q) // 2]"
+    dx, dy = f"abs({x1} - {x2})", f"abs({y1} - {y2})"
     forms = {
-        "linear": f"abs({d1}) + abs({d2})",
-        "euclidean": f"sqrt({d1} * {d1} + {d2} * {d2})",
-        "sorensen": f"(abs({d1}) + abs({d2})) / ({a1} + {a2} + {b1} + {b2} + {t})",
-        "soergel": f"(abs({d1}) + abs({d2})) / (greatest({a1}, {b1}) + greatest({a2}, {b2}) + {t})",
-        "lorentzian": f"ln(1 + abs({d1})) + ln(1 + abs({d2}))",
-        "pce": f"({a1} * {b1} + {a2} * {b2}) / ({a1} * {a1} + {a2} * {a2} + {b1} * {b1} + {b2} * {b2} - {a1} * {b1} - {a2} * {b2} + {t})",
-        "squared_chi": f"({d1} * {d1} + {d2} * {d2}) / ({a1} + {a2} + {b1} + {b2} + {t})",
-        "divergence": f"2 * ({d1} * {d1} / (({a1} + {b1}) * ({a1} + {b1}) + {t}) + {d2} * {d2} / (({a2} + {b2}) * ({a2} + {b2}) + {t}))",
-        "clark": f"sqrt(pow({d1} / ({a1} + {b1} + {t}), 2) + pow({d2} / ({a2} + {b2} + {t}), 2))",
-        "akl": f"10 - ({d1} * ln(({a1} + {t}) / ({b1} + {t})) + {d2} * ln(({a2} + {t}) / ({b2} + {t}))) / 2",
+        "linear": f"({x1} + {x2}) / 2 + ({y1} + {y2}) / 2",
+        "euclidean": f"1 - sqrt({dx} * {dx} + {dy} * {dy})",
+        "sorensen": f"1 - ({dx} + {dy}) / ({x1} + {x2} + {y1} + {y2})",
+        "soergel": f"1 - ({dx} + {dy}) / (greatest({x1}, {x2}) + greatest({y1}, {y2}))",
+        "lorentzian": f"1 - (ln(1 + {dx}) + ln(1 + {dy}))",
+        "pce": f"({x1} * {x2} + {y1} * {y2}) / ({x1} * {x1} + {y1} * {y1} + {x2} * {x2} + {y2} * {y2} - ({x1} * {x2} + {y1} * {y2}))",
+        "squared_chi": f"1 - ({dx} * {dx} / ({x1} + {x2}) + {dy} * {dy} / ({y1} + {y2}))",
+        "divergence": f"2 - 2 * ({dx} * {dx} / pow({x1} + {x2}, 2) + {dy} * {dy} / pow({y1} + {y2}, 2))",
+        "clark": f"1 - sqrt(pow({dx} / ({x1} + {x2}), 2) + pow({dy} / ({y1} + {y2}), 2))",
+        "akl": f"2 - ({x1} * ln({x1} / {x2}) + {x2} * ln({x2} / {x1})) / 2 + ({y1} * ln({y1} / {y2}) + {y2} * ln({y2} / {y1})) / 2",
     }
-    return ", ".join(f"round(list_sum(list_transform(range(1, len(q) // 2 + 1), lambda i: {e})), 7) AS {n}" for n, e in forms.items())
+    cell = lambda e: f"CASE WHEN {x1} = {x2} AND {y1} = {y2} THEN 0.0 ELSE {e} - {dx} - {dy} END"
+    sums = ", ".join(f"round(list_sum(list_transform(range(1, len(q) // 2 + 1), lambda i: {cell(e)})), 7) AS {n}" for n, e in forms.items())
+    return f"{sums}, 0.0::DOUBLE AS allr"
+
 
+_SLIDE = """
+w AS (SELECT vec_id, s, len(p) // 4 AS h, list_concat(p[s + 1 : s + len(p) // 4], p[len(p) // 2 + s + 1 : len(p) // 2 + s + len(p) // 4]) AS v
+      FROM (SELECT vec_id, p, unnest(range(0, len(p) // 2 - len(p) // 4 + 1)) AS s FROM pro)),
+c AS (SELECT vec_id, s, list_transform(v, lambda x: x - list_avg(v)) AS v FROM w),
+u AS (SELECT vec_id, s, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM c),
+m AS (SELECT vec_id AS q_id, v AS q FROM u WHERE vec_id % 50 = 0 AND s = (SELECT max(s) // 2 FROM u))"""
 
 _MEANS = """mn AS (SELECT label, i, avg(p[i]) AS v FROM (SELECT label, p, unnest(range(1, len(p) + 1)) AS i FROM pro) GROUP BY ALL),
 mdl AS (SELECT label AS model, list(v ORDER BY i) AS m FROM mn GROUP BY 1)"""
@@ -287,6 +301,25 @@ SELECT cond_id, round(any_value(hits) FILTER (WHERE k = floor(a)) + any_value(a
     "m21_kl": _two(_kl, "least"),
     "m22_pearson": _two(_pearson, "greatest"),
     "m24_cell_scores": f"WITH {_PROF} SELECT q_id, id, {_cells()} FROM prs",
+    "m23_weighted_pearson": f"""WITH {_PROF}, o AS (SELECT q_id, id, q, unnest([p, r]) AS p FROM prs),
+w AS (SELECT q_id, id, q, p, list_transform(list_zip(q, p), lambda z: (z[1] + z[2]) / 2) AS w FROM o),
+m AS (SELECT *, list_dot_product(w, q) / list_sum(w) AS mq, list_dot_product(w, p) / list_sum(w) AS mp FROM w),
+d AS (SELECT q_id, id, w, list_transform(q, lambda x: x - mq) AS a, list_transform(p, lambda x: x - mp) AS b FROM m),
+s AS (SELECT q_id, id, list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * a[i] * b[i])) / sqrt(list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * a[i] * a[i]))
+  * list_sum(list_transform(range(1, len(w) + 1), lambda i: w[i] * b[i] * b[i]))) AS s FROM d)
+SELECT q_id, id, round(max(s), 8) AS score FROM s GROUP BY ALL""",
+    "m26_sliding_pearson": f"""WITH {_PROF}, {_SLIDE}
+SELECT q_id, vec_id AS id, round(max(greatest(list_dot_product(q, v), list_dot_product(q, list_reverse(v)))), 8) AS score FROM m JOIN u ON q_id <> vec_id GROUP BY ALL""",
+    "m29_best_rotation": f"""WITH {_PROF}, l AS (SELECT q_id, id, p, len(p) // 2 AS n, list_sum(list_transform(q, lambda x: x * ln(x + 1e-12))) AS own, q FROM prs),
+t AS (SELECT q_id, id, own, q, n, list_transform(p, lambda x: ln(x + 1e-12)) AS g, unnest(range(-20, 21)) AS d FROM l),
+k AS (SELECT q_id, id, own - list_sum(list_transform(range(0, n), lambda i: q[i + 1] * g[((i - d) % n + n) % n + 1] + q[n + i + 1] * g[n + ((i - d) % n + n) % n + 1])) AS k FROM t)
+SELECT q_id, id, round(min(k), 8) AS score FROM k GROUP BY ALL""",
+    "m31_distances": f"""WITH {_PROF}, s AS (SELECT q_id, id, round(greatest({_pearson('q', 'p')}, {_pearson('q', 'r')}), 8) AS score FROM prs),
+d AS (SELECT q_id, id, (SELECT max(score) FROM s) - score AS d FROM s),
+r AS (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM d),
+a AS (SELECT any_value(least(greatest(0.1::DOUBLE * (n + 1), 1), n)) AS a FROM r),
+c AS (SELECT min(d) FILTER (WHERE k = floor(a)) + any_value(a - floor(a)) * (min(d) FILTER (WHERE k = ceil(a)) - min(d) FILTER (WHERE k = floor(a))) AS c FROM r, a)
+SELECT q_id, id, round(CASE WHEN d < (SELECT c FROM c) THEN d ELSE (SELECT max(d) FROM d) END, 8) AS distance FROM d""",
     "m28_symmetric_kl": _two(lambda a, b: f"ln({_kl(a, b)} + {_kl(b, a)})", "least"),
     "a22_exemplars": f"WITH {_PROF} SELECT label, CAST(i - 1 AS INTEGER) AS place, round(avg(p[i]), 9) AS value, count(*) AS n FROM (SELECT label, p, unnest(range(1, len(p) + 1)) AS i FROM pro) GROUP BY ALL",
     "e17_classified": f"""WITH {_PROF}, {_MEANS}, d AS (SELECT vec_id, model, round(least({_kl('p', 'm')} + {_kl('m', 'p')}, {_kl('r', 'm')} + {_kl('m', 'r')}), 8) AS d FROM (SELECT *, list_reverse(p) AS r FROM pro), mdl)

@@ -9,6 +9,7 @@ from basewise.functions.genome import plain_chrom, point_chrom, point_pos
 from basewise.operators import intervals as iv
 from basewise.operators import landscape as ls
 from basewise.plans.sql_views import EVENTS, GENOME, HITS, IGNORED, REGIONS, islands
+from basewise.session import cut_lineage
 from basewise.sources.tables import base_hits, current_events, current_regions, genome, replicate_runs, table
 
 
@@ -77,41 +78,47 @@ def j01_hits_in_regions(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("region_id").join(sums, "region_id", "left").select("region_id", F.coalesce("hits", F.lit(0.0)).alias("hits"), F.coalesce("plus", F.lit(0.0)).alias("plus"))
 
 
-def _inside(spark: SparkSession, folder: str, channel: str = "signal") -> DataFrame:
+def _inside(spark: SparkSession, folder: str, channel: str | None = "signal", potential: DataFrame | None = None) -> DataFrame:
+    """``cond_id, rep_id, channel, inside, outside``; ``potential`` are the enriched regions if they are at hand."""
     h = base_hits(spark, folder, channel).join(replicate_runs(spark, folder), "rep_id")
-    return ls.counts_in_and_out(h, _potential(spark, folder), ["cond_id"], ["cond_id", "rep_id"])
+    return ls.counts_in_and_out(h, _potential(spark, folder) if potential is None else potential, ["cond_id"], ["cond_id", "rep_id", "channel"])
 
 
 def a04_counts_inside(spark: SparkSession, folder: str) -> DataFrame:
-    return _inside(spark, folder)
+    return _inside(spark, folder).drop("channel")
 
 
 def a04_control_inside(spark: SparkSession, folder: str) -> DataFrame:
-    return _inside(spark, folder, "control")
+    return _inside(spark, folder, "control").drop("channel")
 
 
 def a05_signal_fraction(spark: SparkSession, folder: str) -> DataFrame:
     return _inside(spark, folder).select("rep_id", F.round(F.col("inside") / (F.col("inside") + F.col("outside")), 9).alias("fraction"))
 
 
+def _lengths(potential: DataFrame) -> DataFrame:
+    return potential.groupBy("cond_id").agg(F.sum(F.col("rend") - F.col("rstart") + 1).alias("bases"), F.count("*").alias("regions"))
+
+
 def a06_region_length(spark: SparkSession, folder: str) -> DataFrame:
-    return _potential(spark, folder).groupBy("cond_id").agg(F.sum(F.col("rend") - F.col("rstart") + 1).alias("bases"), F.count("*").alias("regions"))
+    return _lengths(_potential(spark, folder))
 
 
 def a07_noise_per_base(spark: SparkSession, folder: str) -> DataFrame:
     """Hits outside the regions over the bases outside them, in hits a million bases."""
     total = genome(spark, folder).agg(F.sum("len")).scalar()
-    out = _inside(spark, folder).groupBy("cond_id").agg(F.sum("outside").alias("outside"))
-    return out.join(a06_region_length(spark, folder), "cond_id", "left").select(
+    potential = cut_lineage(_potential(spark, folder))
+    out = _inside(spark, folder, potential=potential).groupBy("cond_id").agg(F.sum("outside").alias("outside"))
+    return out.join(_lengths(potential), "cond_id", "left").select(
         "cond_id", F.round(F.col("outside") * 1e6 / (total - F.coalesce("bases", F.lit(0))), 9).alias("noise")
     )
 
 
 def a08_control_noise(spark: SparkSession, folder: str) -> DataFrame:
     """Control against signal outside the regions; 1 where a condition has no control."""
-    s = _inside(spark, folder).groupBy("cond_id").agg(F.sum("outside").alias("s"))
-    c = _inside(spark, folder, "control").groupBy("cond_id").agg(F.sum("outside").alias("c"))
-    return s.join(c, "cond_id", "left").select("cond_id", F.round(F.coalesce(F.col("c") / F.nullif(F.col("s"), F.lit(0.0)), F.lit(1.0)), 9).alias("ratio"))
+    side = lambda c: F.sum(F.when(F.col("channel") == c, F.col("outside")))
+    both = _inside(spark, folder, None).groupBy("cond_id").agg(side("signal").alias("s"), side("control").alias("c")).where("s is not null")
+    return both.select("cond_id", F.round(F.coalesce(F.col("c") / F.nullif(F.col("s"), F.lit(0.0)), F.lit(1.0)), 9).alias("ratio"))
 
 
 def a27_genome(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,8 +225,12 @@ def u02_starting_points(spark: SparkSession, folder: str) -> DataFrame:
 
 def e05_components(spark: SparkSession, folder: str) -> DataFrame:
     """A component every 30 bases of each region, of equal weight."""
-    r = current_regions(spark, folder).withColumn("at", F.sequence("rstart", "rend", F.lit(30).cast("bigint")))
-    return r.select("region_id", F.size("at").alias("n"), F.explode("at").alias("position")).withColumn("pi", F.round(1 / F.col("n"), 9)).drop("n")
+    r = current_regions(spark, folder).withColumn("n", F.floor((F.col("rend") - F.col("rstart")) / 30) + 1)
+    # in steps, so no row holds the components of a whole region
+    at_once = 4096
+    r = r.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(at_once).cast("bigint"))))
+    r = r.withColumn("_k", F.explode(F.sequence("_from", F.least(F.col("_from") + at_once, "n") - 1)))
+    return r.select("region_id", (F.col("rstart") + 30 * F.col("_k")).alias("position"), F.round(1 / F.col("n"), 9).alias("pi"))
 
 
 def e06_noise_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,8 +249,11 @@ def u01_all_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s19_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """A window of 60 bases at the middle of each base-pair million of the genome that touches no ignored region."""
-    g = genome(spark, folder).where("len >= 500060").withColumn("rstart", F.explode(F.sequence(F.lit(500_000).cast("bigint"), F.col("len") - 60, F.lit(1_000_000).cast("bigint"))))
+    """A window of 60 bases at the middle of each million bases of the genome, begun ones included, that touches no ignored region."""
+    million = F.lit(1_000_000).cast("bigint")
+    g = genome(spark, folder).withColumn("_a", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest("len", F.lit(1)), million)))
+    g = g.withColumn("_wide", F.least(million, F.col("len") - F.col("_a") + 1)).where("_wide >= 60")
+    g = g.withColumn("rstart", F.col("_a") + F.floor((F.col("_wide") - 60) / 2))
     w = g.select(F.concat_ws(":", "chrom", F.col("rstart").cast("string")).alias("window_id"), "chrom", "rstart", (F.col("rstart") + 59).alias("rend"))
     hit = iv.overlapping(w, ignored(spark, folder), "rstart", "rend", "xstart", "xend")
     return w.join(hit.select("window_id").distinct(), "window_id", "left_anti")
@@ -300,6 +314,18 @@ SQL = {
     "m02_alphas": f"""WITH {HITS}, {GENOME}, c AS ({_thresholds('cond_id', '1e-7')}), r AS ({_thresholds('cond_id, rep_id', '1e-7')})
 SELECT cond_id, CAST(any_value(c.threshold) AS DOUBLE) AS alpha, CAST(min(r.threshold) AS DOUBLE) AS lenient_alpha FROM c JOIN r USING (cond_id) GROUP BY 1""",
     "w01_potential_regions": f"WITH {_POT} SELECT * FROM pot",
+    "w02_split_regions": f"""WITH RECURSIVE {_POT},
+rg AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY cond_id, chrom, rstart) AS id FROM pot),
+lev AS MATERIALIZED (SELECT id, (bin::BIGINT * 25 + 1 - rstart) // 25 AS k, sum(hits) AS h FROM rg JOIN land USING (cond_id, chrom) WHERE bin::BIGINT * 25 + 1 BETWEEN rstart AND rend GROUP BY ALL),
+walk AS (
+  SELECT id, rstart AS s, CAST(0 AS BIGINT) AS part FROM rg
+  UNION ALL
+  SELECT id, rstart + 25 * arg_min(k, (h, k)), part + 1 FROM (
+    SELECT c.id, c.rstart, c.part, c.k, coalesce(lev.h, 0) AS h
+    FROM (SELECT w.id, w.part, r.rstart, CAST(unnest(range((w.s + 250 - r.rstart) // 25, (w.s + 750 - r.rstart) // 25 + 1)) AS BIGINT) AS k FROM walk w JOIN rg r ON r.id = w.id WHERE r.rend - w.s + 1 >= 750) c
+    LEFT JOIN lev ON lev.id = c.id AND lev.k = c.k)
+  GROUP BY id, rstart, part)
+SELECT cond_id, chrom, s AS rstart, coalesce(lead(s) OVER (PARTITION BY id ORDER BY part) - 1, rend) AS rend, CAST(part AS INTEGER) AS part FROM walk JOIN rg USING (id)""",
     "j01_hits_in_regions": f"""WITH {HITS}, {REGIONS}, s AS (SELECT region_id, sum(cnt) AS hits, sum(CASE WHEN strand = '+' THEN cnt ELSE 0 END) AS plus
 FROM reg JOIN sig ON sig.run_id = reg.run_id AND sig.chrom = reg.chrom AND pos BETWEEN rstart AND rend GROUP BY 1)
 SELECT region_id, coalesce(hits, 0) AS hits, coalesce(plus, 0) AS plus FROM reg LEFT JOIN s USING (region_id)""",
@@ -351,6 +377,7 @@ n AS (SELECT cond_id, round(outside * 1e6 / ((SELECT sum(len) FROM gen) - coales
 h AS (SELECT region_id, cond_id, sum(cnt) AS hits, max(rend - rstart + 1) AS width FROM reg JOIN sig ON sig.run_id = reg.run_id AND sig.chrom = reg.chrom AND pos BETWEEN rstart AND rend GROUP BY ALL)
 SELECT region_id, cond_id, round(greatest(least(noise / 1e6 * width / hits, 0.75), 0.05), 9) AS share FROM h JOIN n USING (cond_id)""",
     "u01_all_counts": f"WITH {HITS} SELECT cond_id, chrom, pos, strand, sum(cnt) AS cnt FROM sig GROUP BY ALL",
-    "s19_windows": f"""WITH {GENOME}, {IGNORED}, w AS (SELECT chrom, unnest(range(500000, len - 59, 1000000)) AS rstart FROM gen)
+    "s19_windows": f"""WITH {GENOME}, {IGNORED}, b AS (SELECT chrom, len, unnest(range(1, len + 1, 1000000)) AS a FROM gen),
+w AS (SELECT chrom, a + (least(1000000, len - a + 1) - 60) // 2 AS rstart FROM b WHERE len - a + 1 >= 60)
 SELECT chrom || ':' || rstart AS window_id, chrom, rstart, rstart + 59 AS rend FROM w WHERE NOT EXISTS (SELECT 1 FROM ign WHERE ign.chrom = w.chrom AND rstart <= xend AND rstart + 59 >= xstart)""",
 }

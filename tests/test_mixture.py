@@ -103,12 +103,28 @@ def test_assign_against_a_loop():
     assert none == pytest.approx(p)
 
 
-def test_regions_are_cut_to_bounded_parts(spark):
-    r = spark.createDataFrame([(1, 1, "1", 1, 5000), (2, 1, "1", 7, 7), (3, 1, "1", 1, 2000)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint")
-    rows = mx.bounded_parts(r).orderBy("region_id", "part").collect()
-    assert all(x["rend"] - x["rstart"] < 2000 for x in rows)
-    assert [(x["rstart"], x["rend"]) for x in rows if x["region_id"] == 1] == [(1, 1666), (1667, 3333), (3334, 5000)]
-    assert len(rows) == 5
+def test_regions_are_cut_at_their_emptiest_bins(spark):
+    r = spark.createDataFrame([(1, 1, "1", 1, 5000), (2, 1, "1", 7, 7), (3, 1, "1", 1, 2999), (4, 2, "1", 1, 4100)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint")
+    # a hit in every bin of run 1 but one near 2,000
+    hits = spark.createDataFrame([(1, "signal", "1", 25 * b, 1.0) for b in range(0, 240) if b != 85] + [(1, "control", "1", 2130, 9.0)], "run_id int, channel string, chrom string, pos int, cnt double")
+    rows = mx.bounded_parts(r, hits).orderBy("region_id", "part").collect()
+    assert all(x["rend"] - x["rstart"] + 1 <= 3500 for x in rows)
+    got = [(x["region_id"], x["part"], x["rstart"], x["rend"], x["fit_start"], x["fit_end"]) for x in rows]
+    assert got == [(1, 0, 1, 2124, 1, 2324), (1, 1, 2125, 5000, 1925, 5000), (2, 0, 7, 7, 7, 7), (3, 0, 1, 2999, 1, 2999), (4, 0, 1, 1524, 1, 1724), (4, 1, 1525, 4100, 1325, 4100)]
+
+
+def test_an_event_at_a_cut_is_found_once_with_all_its_hits(spark):
+    """Hits everywhere but around one event that stands at the only place to cut."""
+    rng = np.random.default_rng(12)
+    x, minus, count = planted([2000], 60, rng, 1, 4000, noise=0)
+    rows = [(1, 5, "signal", "1", int(a), "-" if m else "+", float(c)) for a, m, c in zip(x, minus, count)]
+    hits = spark.createDataFrame(rows, "run_id int, cond_id int, channel string, chrom string, pos int, strand string, cnt double")
+    regions = spark.createDataFrame([(7, 1, "1", 1, 4000)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint")
+    for a in (1950, 2000, 2050):
+        parts = spark.createDataFrame([(7, 0, 1, "1", 1, a, 1, a + 200), (7, 1, 1, "1", a + 1, 4000, a - 199, 4000)], "region_id bigint, part int, run_id int, chrom string, rstart bigint, rend bigint, fit_start bigint, fit_end bigint")
+        got = mx.fit_regions(mx.region_counts(hits, parts), mx.normal_model(), alpha=5.0, assigned=True).collect()
+        assert len(got) == 1 and abs(got[0]["position"] - 2000) <= 10 and got[0]["sig"] > 0.85 * count.sum()
+    assert mx.bounded_parts(regions, hits).count() == 2
 
 
 def test_spark_equals_the_kernel(spark):
@@ -116,12 +132,12 @@ def test_spark_equals_the_kernel(spark):
     rows = []
     for region in (1, 2):
         x, minus, count = planted([300, 700], 30, rng, 1, 1000)
-        rows += [(region, 0, 5, 1, 1000, "1", int(a), "-" if m else "+", float(c), 0.0) for a, m, c in zip(x, minus, count)]
-    counts = spark.createDataFrame(rows, "region_id bigint, part int, cond_id int, rstart bigint, rend bigint, chrom string, pos int, strand string, sig double, ctrl double")
+        rows += [(region, 0, 5, 1, 1000, 1, 1000, "1", int(a), "-" if m else "+", float(c), 0.0) for a, m, c in zip(x, minus, count)]
+    counts = spark.createDataFrame(rows, "region_id bigint, part int, cond_id int, rstart bigint, rend bigint, fit_start bigint, fit_end bigint, chrom string, pos int, strand string, sig double, ctrl double")
     fitted = mx.fit_regions(counts, MODEL, 5.0)
     got = fitted.collect()
     assert {r["region_id"] for r in got} == {1, 2}
-    assigned = mx.assign_counts(counts, fitted, MODEL).collect()
+    assigned = mx.fit_regions(counts, MODEL, 5.0, assigned=True).collect()
     assert len(assigned) == len(got) and all(r["sig"] > 0 for r in assigned)
 
 
@@ -133,6 +149,7 @@ def test_parts_with_little_signal_are_fitted(spark, monkeypatch):
     regions = spark.createDataFrame([(7, 1, "1", 1, 1000)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint")
     monkeypatch.setattr(models, "_hits", lambda *_: hits)
     monkeypatch.setattr(models, "current_regions", lambda *_: regions)
+    monkeypatch.setattr(models, "e06_noise_shares", lambda *_: spark.createDataFrame([(7, 5, 0.1)], "region_id bigint, cond_id int, share double"))
     assert [(r["region_id"], r["cond_id"], r["position"]) for r in models.e01_components(spark, "").collect()] == [(7, 5, 500)]
     (r,) = models.e04_assigned(spark, "").collect()
     assert 3.0 < r["sig"] <= 4.0
@@ -148,6 +165,7 @@ def test_rounds_use_alphas_and_both_directions(spark, monkeypatch):
     hits = spark.createDataFrame(rows, "run_id int, cond_id int, channel string, chrom string, pos int, strand string, cnt double")
     monkeypatch.setattr(models, "_hits", lambda *_: hits)
     monkeypatch.setattr(models, "current_regions", lambda *_: spark.createDataFrame([(7, 1, "1", 1, 1000)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint"))
+    monkeypatch.setattr(models, "e06_noise_shares", lambda *_: spark.createDataFrame([(7, 5, 0.1), (7, 6, 0.1)], "region_id bigint, cond_id int, share double"))
     monkeypatch.setattr(models, "genome", lambda *_: spark.createDataFrame([("1", 1_000_000)], "chrom string, len bigint"))
     monkeypatch.setattr(models, "m02_alphas", lambda *_: spark.createDataFrame([(5, 4.0), (6, 9.0)], "cond_id int, alpha double"), raising=False)
     forms, fit_regions = [], mx.fit_regions

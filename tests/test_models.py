@@ -44,7 +44,7 @@ def test_step_up_by_hand(spark):
 
 
 def test_replication_codes_by_hand(spark):
-    rows = [(1, True, 0, 1.0, True, "S"), (2, True, 2, 1.0, True, "2"), (2, True, 1, 1.0, True, "1"), (2, True, 0, 0.001, True, "1"), (2, True, 1, 1.0, False, "D"), (2, True, 0, 1.0, True, "X"), (2, False, 2, 0.0, True, "X")]
+    rows = [(1, True, 0, 1.0, True, "S"), (2, True, 2, 1.0, True, "2"), (2, True, 1, 1.0, True, "1"), (2, True, 0, 0.001, True, "1"), (2, True, 1, 1.0, False, "D"), (2, True, 0, 1.0, True, "X"), (2, False, 2, 0.0, True, "X"), (1, False, 0, 1.0, True, "S"), (3, True, 0, 0.001, False, "D")]
     df = spark.createDataFrame(rows, "n int, found boolean, s int, q double, c boolean, want string")
     code = sg.replication_code(F.col("n"), F.col("found"), F.col("s"), F.col("q"), F.col("c"))
     assert all(r["code"] == r["want"] for r in df.select("want", code.alias("code")).collect())
@@ -60,24 +60,56 @@ def test_affinity_propagation_finds_clear_groups():
 
 def test_alignment_against_plain_programming(spark):
     rng = np.random.default_rng(2)
-    data = [(1, 2, rng.random(12).tolist(), rng.random(12).tolist()) for _ in range(5)]
-    got = [r["score"] for r in cl.align_pairs(spark.createDataFrame(data, "q_id bigint, id bigint, q array<double>, p array<double>").coalesce(1)).collect()]
-    want = []
-    for _, _, q, p in data:
-        q, p = np.array(q).reshape(2, -1), np.array(p).reshape(2, -1)
-        top = max(q.max(), p.max())
-        best = -1e9
-        for shift in range(-5, 6):  # no gaps: an overlap lies on one diagonal from an edge to the last row or column
-            cells = [1 - abs(q[:, i] - p[:, i - shift]).sum() / top for i in range(6) if 0 <= i - shift < 6]
-            best = max(best, sum(cells))
-        want.append(max(best, 0.0))
-    assert got == pytest.approx(want, abs=1e-6)
+    rows = [(k, rng.random(12).tolist()) for k in (50, 1, 2, 3, 4)]
+    got = {r["id"]: (r["score"], r["shift"], r["reverse"]) for r in cl.align(spark.createDataFrame(rows, "vec_id bigint, profile array<double>")).collect()}
+    q = np.array(rows[0][1])
+    for i, p in rows[1:]:
+        ways = []
+        for reverse in (False, True):
+            x, y = (z / z.max() for z in (q, np.array(p)[::-1] if reverse else np.array(p)))
+            x, y = x.reshape(2, -1), y.reshape(2, -1)
+            for shift in range(-3, 4):  # no gaps: an overlap lies on one diagonal from an edge to the second half of the last row or column
+                score = sum(1 - np.sqrt(((x[:, k] - y[:, k - shift]) ** 2).sum()) - abs(x[:, k] - y[:, k - shift]).sum() for k in range(6) if 0 <= k - shift < 6)
+                ways.append((score, shift, reverse))
+        best = max(ways)
+        assert got[i] == (pytest.approx(best[0], abs=1e-8), best[1], best[2])
+
+
+def test_cell_scores_by_hand():
+    """Equal cells, cells that are 0 on one strand, and one cell of each score worked out."""
+    for name in sm.CELL_SCORES:
+        assert sm.cell_score(name, *np.array([0.3, 0.3, 0.2, 0.2])) == 0 and sm.cell_score(name, *np.zeros(4)) == 0
+    one = lambda name, *c: float(sm.cell_score(name, *np.array(c)))
+    assert one("linear", 0.4, 0.2, 0.1, 0.1) == pytest.approx(0.3 + 0.1 - 0.2)
+    assert one("euclidean", 0.4, 0.1, 0.0, 0.4) == pytest.approx(1 - 0.5 - 0.7)
+    assert one("sorensen", 0.4, 0.2, 0.1, 0.1) == pytest.approx(1 - 0.2 / 0.8 - 0.2)
+    assert one("soergel", 0.4, 0.2, 0.1, 0.1) == pytest.approx(1 - 0.2 / 0.5 - 0.2)
+    assert one("lorentzian", 0.4, 0.2, 0.1, 0.1) == pytest.approx(1 - np.log(1.2) - 0.2)
+    assert one("pce", 0.4, 0.2, 0.1, 0.1) == pytest.approx(0.09 / (0.16 + 0.01 + 0.04 + 0.01 - 0.09) - 0.2)
+    assert one("squared_chi", 0.0, 0.0, 0.3, 0.1) == pytest.approx(1 - 0.04 / 0.4 - 0.2)
+    assert one("divergence", 0.0, 0.0, 0.3, 0.1) == pytest.approx(2 - 2 * 0.04 / 0.16 - 0.2)
+    assert one("clark", 0.3, 0.1, 0.0, 0.0) == pytest.approx(1 - 0.5 - 0.2)
+    assert one("akl", 0.4, 0.2, 0.1, 0.1) == pytest.approx(2 - (0.4 * np.log(2) - 0.2 * np.log(2)) / 2 - 0.2)
+    assert one("allr", 0.4, 0.2, 0.1, 0.1) == 0
+
+
+def test_blocks_of_queries_meet_all_profiles(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.random(8).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, profile array<double>")
+    import functools
+
+    monkeypatch.setattr(sm, "meet", functools.partial(sm.meet, group=40, block=2))
+    got = {(r["q_id"], r["id"]): r["score"] for r in sm.score_queries(df, {"score": sm.np_squared}).collect()}
+    x = dict(rows)
+    want = {(q, i): round(sum((a - b) ** 2 for a, b in zip(x[q], x[i])), 8) for q in range(0, 300, 50) for i in range(300) if i != q}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-8 for k in want)
 
 
 def test_best_shift_against_loops(spark):
     rng = np.random.default_rng(3)
     a, b = rng.random(16), rng.random(16)
-    df = spark.createDataFrame([(0, 1, a.tolist(), b.tolist())], "q_id bigint, id bigint, q array<double>, p array<double>")
+    df = spark.createDataFrame([(0, a.tolist()), (1, b.tolist())], "vec_id bigint, profile array<double>")
     r = sm.best_shift(df, 4).first()
     best = []
     for rev, y in ((False, b), (True, b[::-1])):
@@ -89,10 +121,48 @@ def test_best_shift_against_loops(spark):
     assert (r["distance"], abs(r["shift"]), r["shift"], r["reverse"]) == min(best)
 
 
-def test_merge_models():
+def test_every_profile_has_an_exemplar(spark):
+    rng = np.random.default_rng(5)
+    base = [np.roll(np.exp(-0.5 * ((np.arange(32) - 10) / w) ** 2), 0) for w in (1.0, 5.0)]
+    rows = []
+    for i in range(60):
+        x = np.concatenate([base[i % 2], np.roll(base[i % 2], 6)]) + rng.random(64) * 0.01
+        rows.append((i, float(i % 7), (x / x.sum()).tolist()))
+    df = spark.createDataFrame(rows, "vec_id bigint, w double, profile array<double>")
+    got = {r["vec_id"]: r["exemplar"] for r in cl.cluster(df, "w", most=20).collect()}
+    assert got.keys() == set(range(60)) and all(e % 2 == i % 2 for i, e in got.items())
+    assert all(got[e] == e for e in set(got.values()))
+    cells = cl.aligned(df, spark.createDataFrame([(3, 1, 2, False), (4, 2, 0, True)], "vec_id bigint, exemplar bigint, shift int, reverse boolean")).collect()
+    moved = {(r["vec_id"], r["place"]): r["value"] for r in cells}
+    assert moved[(3, 2)] == rows[3][2][0] and (3, 0) not in moved and moved[(3, 34)] == rows[3][2][32] and moved[(4, 0)] == rows[4][2][63]
+
+
+def test_merge_models(spark):
+    """Against one merge after the other, the closest pair first."""
+    rng = np.random.default_rng(6)
     x = np.exp(-0.5 * ((np.arange(40) - 20) / 3) ** 2)
-    m = lambda k: np.stack([np.roll(x, k), np.roll(x, -k)]) / (2 * x.sum())
-    assert cl.merge_models({1: m(0), 2: np.roll(m(0), 3, axis=1), 3: m(9)}, {1: 5, 2: 9, 3: 1}) == {1: 2, 2: 2, 3: 3}
+    m = lambda k: (np.concatenate([np.roll(x, k), np.roll(x, -k)]) / (2 * x.sum())).tolist()
+    data = [(1, m(0), 5), (2, np.roll(np.array(m(0)).reshape(2, -1), 3, axis=1).ravel().tolist(), 9), (3, m(9), 1)]
+    y = np.array(m(9)) + 1e-6
+    data += [(4, (y / y.sum()).tolist(), 1)]
+    for k in range(5, 14):
+        z = np.array(m(int(rng.integers(0, 3)))) + rng.random(80) * rng.choice([1e-5, 1e-3, 1e-2])
+        data.append((k, (z / z.sum()).tolist(), int(rng.integers(1, 4))))
+    df = spark.createDataFrame(data, "model int, m array<double>, size bigint")
+    threshold = -6.0
+    d = {(r["i"], r["j"]): r["d"] for r in cl.model_divergences(df.select("model", "m")).collect()}
+    assert len(d) == 13 * 12 // 2 and d[(1, 2)] < -20
+    live, into, size = {r[0] for r in data}, {r[0]: r[0] for r in data}, {r[0]: r[2] for r in data}
+    while True:
+        low = min(((v, *k) for k, v in d.items() if k[0] in live and k[1] in live), default=(0,))
+        if low[0] >= threshold:
+            break
+        _, i, j = low
+        keep, drop = (i, j) if size[i] >= size[j] else (j, i)
+        live.discard(drop)
+        into = {k: keep if v == drop else v for k, v in into.items()}
+    got = {r["model"]: r["merged_into"] for r in cl.merge_models(df.select("model", "m"), df.select("model", "size"), threshold).collect()}
+    assert got == into and len(live) < 11
 
 
 def test_motif_fit_finds_a_planted_word(spark):
@@ -109,18 +179,20 @@ def test_motif_fit_finds_a_planted_word(spark):
 def test_best_match_against_loops(spark):
     rnd = random.Random(5)
     seqs = ["".join(rnd.choice("ACGTN") for _ in range(rnd.randint(0, 20))) for _ in range(60)]
-    pwm = [[rnd.uniform(-2, 2) for _ in range(4)] for _ in range(5)]
+    pwms = {w: [[rnd.uniform(-2, 2) for _ in range(4)] for _ in range(w)] for w in (3, 5)}
     df = spark.createDataFrame(list(enumerate(seqs)), "id int, sequence string")
+    motifs = spark.createDataFrame([(w, [[min(r), *r] for r in p]) for w, p in pwms.items()], "motif int, weights array<array<double>>")
     comp = str.maketrans("ACGT", "TGCA")
-    score = lambda w: sum(pwm[k]["ACGT".index(c)] if c in "ACGT" else min(pwm[k]) for k, c in enumerate(w))
-    for r in sq.best_match(df, pwm).collect():
-        s = r["sequence"]
-        best = [(-round(score(w), 9), z, strand, w) for z in range(len(s) - 4) for strand, w in (("+", s[z : z + 5]), ("-", s[z : z + 5].translate(comp)[::-1]))]
-        if best:
-            b = min(best)
-            assert (r["score"], r["start"], r["strand"], r["kmer"]) == (-b[0], b[1], b[2], b[3])
-        else:
-            assert r["score"] is None
+    got = {(r["id"], r["motif"]): (r["score"], r["start"], r["strand"], r["kmer"]) for r in sq.best_match(df, motifs).collect()}
+    want = {}
+    for i, s in enumerate(seqs):
+        for w, pwm in pwms.items():
+            score = lambda x: sum(pwm[k]["ACGT".index(c)] if c in "ACGT" else min(pwm[k]) for k, c in enumerate(x))  # noqa: B023,E731
+            best = [(-round(score(x), 9), z, strand, x) for z in range(len(s) - w + 1) for strand, x in (("+", s[z : z + w]), ("-", s[z : z + w].translate(comp)[::-1]))]
+            if best:
+                b = min(best)
+                want[(i, w)] = (-b[0], b[1], b[2], b[3])
+    assert got == want
 
 
 def test_simulated_reads_recover_their_events(spark):
@@ -162,10 +234,10 @@ def test_full_sorts_keep_every_event(spark):
     from basewise.plans import events, lookups
 
     folder = "/root/testdata/sf0.01"
-    rows = events.o03_all_in_order(spark, folder).collect()
+    rows = events.o03_event_order(spark, folder).collect()
     assert len(rows) == events._valid_p(spark, folder).count() > 1000
     assert all((a["p"], -a["hits"]) <= (b["p"], -b["hits"]) for a, b in zip(rows, rows[1:]))
-    places = [(r["chrom"], r["pos"]) for r in lookups.o04_all_by_location(spark, folder).collect()]
+    places = [(r["chrom"], r["pos"]) for r in lookups.o04_by_location(spark, folder).collect()]
     assert len(places) > 1000 and places == sorted(places)
 
 
