@@ -39,10 +39,11 @@ def poisson_cdf(k: Column, mean: Column) -> Column:
     """P(X <= k) for a Poisson variable of ``mean`` >= 0; 0 for k < 0, 1 for mean 0."""
     top = F.greatest(k.cast("bigint"), F.lit(0))
     lo, hi = _terms(top, mean, F.sqrt(mean))
+    start = F.when(lo == 0, -mean).otherwise(-mean + lo * F.ln(mean) - _log_factorial(lo))
     acc = F.aggregate(
         F.sequence(lo, hi),
-        F.struct((-mean + lo * F.ln(mean) - _log_factorial(lo)).alias("lt"), F.lit(0.0).alias("s")),
-        lambda a, i: F.struct((a["lt"] + F.ln(mean) - F.ln(i + 1)).alias("lt"), (a["s"] + F.exp(a["lt"])).alias("s")),
+        F.struct(start.alias("lt"), F.lit(0.0).alias("s"), F.ln(mean).alias("m")),
+        lambda a, i: F.struct((a["lt"] + a["m"] - F.ln(i + 1)).alias("lt"), (a["s"] + F.exp(a["lt"])).alias("s"), a["m"].alias("m")),
         lambda a: F.least(a["s"], F.lit(1.0)),
     )
     return F.when(k < 0, F.lit(0.0)).when(mean <= 0, F.lit(1.0)).otherwise(acc)
@@ -52,15 +53,19 @@ def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
     """P(X <= k) for n trials of probability 0 < p < 1; 0 for k < 0, 1 for k >= n."""
     n, k = n.cast("bigint"), k.cast("bigint")
     top = F.least(F.greatest(k, F.lit(0)), F.greatest(n, F.lit(0)))
-    odds = F.ln(p) - F.ln(1 - p)
     lo, hi = _terms(top, n * p, F.sqrt(n * p * (1 - p)))
-    start = _log_factorial(n) - _log_factorial(lo) - _log_factorial(n - lo) + lo * F.ln(p) + (n - lo) * F.ln(1 - p)
+    start = n * F.ln(1 - p)
+    start = F.when(lo == 0, start).otherwise(_log_factorial(n) - _log_factorial(lo) - _log_factorial(n - lo) + lo * F.ln(p) + (n - lo) * F.ln(1 - p))
     acc = F.aggregate(
         F.sequence(lo, hi),
-        F.struct(start.alias("lt"), F.lit(0.0).alias("s")),
-        lambda a, i: F.struct((a["lt"] + F.coalesce(F.ln(F.nullif(n - i, F.lit(0)) / (i + 1)), F.lit(-1e9)) + odds).alias("lt"), (a["s"] + F.exp(a["lt"])).alias("s")),
+        F.struct(start.alias("lt"), F.lit(0.0).alias("s"), (F.ln(p) - F.ln(1 - p)).alias("o"), n.cast("double").alias("n")),
+        # past the last trial no term is left
+        lambda a, i: F.struct(
+            (a["lt"] + F.coalesce(F.ln(F.nullif(a["n"] - i, F.lit(0.0)) / (i + 1)), F.lit(-1e9)) + a["o"]).alias("lt"),
+            (a["s"] + F.exp(a["lt"])).alias("s"), a["o"].alias("o"), a["n"].alias("n"),
+        ),
         lambda a: F.least(a["s"], F.lit(1.0)),
-    )
+    )
     return F.when(k < 0, F.lit(0.0)).when(k >= n, F.lit(1.0)).otherwise(acc)
 
 

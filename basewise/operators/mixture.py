@@ -96,7 +96,7 @@ def _density(model: np.ndarray, minus: np.ndarray, distance: np.ndarray) -> np.n
 
 
 def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: int, model: np.ndarray, alpha: float, noise: float = 0.1, beta: float = 0.05, at: np.ndarray | None = None) -> pd.DataFrame:
-    """Components of one region: ``position, form, pi, plus, minus_, tau``.
+    """Components of one region: ``position, form, pi, plus, minus, tau, places``; the last two by form.
 
     Starts with a component every ``SPACING`` bases (or ``at``), all forms equal. Each round
     shares every hit among components and uniform noise, moves each form of a component by up
@@ -188,6 +188,7 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
     else:
         out["plus"] = out["minus"] = np.empty(0)
     out["tau"] = pd.Series([x.tolist() for x in tau], dtype=object, index=out.index)
+    out["places"] = pd.Series([x.tolist() for x in mu], dtype=object, index=out.index)
     return out.sort_values("position", kind="stable")
 
 
@@ -206,7 +207,7 @@ def assign(x: np.ndarray, minus: np.ndarray, sig: np.ndarray, ctrl: np.ndarray,
     return (share * sig).sum(axis=1), c
 
 
-COMPONENTS = "region_id bigint, part int, cond_id int, chrom string, component int, position bigint, form int, pi double, plus double, minus double, tau array<double>"
+COMPONENTS = "region_id bigint, part int, cond_id int, chrom string, component int, position bigint, form int, pi double, plus double, minus double, tau array<double>, places array<bigint>"
 
 
 def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0, noise: float = 0.1, assigned: bool = False) -> DataFrame:
@@ -239,6 +240,37 @@ def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0,
     return spread_groups(counts, names).groupBy(*names).applyInPandas(run, schema)
 
 
+def read_profiles(hits: DataFrame, counts: DataFrame, components: DataFrame, model: np.ndarray, noise: float = 0.1, half: int = 250) -> DataFrame:
+    """``region_id, part, cond_id, component, rep_id, offset, strand, value``: counts of each replicate that belong to a component, by distance from its place.
+
+    The share of a component in a base is that of its forms under the last weights, held
+    against all components of the part and the noise; a replicate's counts are shared alike.
+    ``hits``: ``cond_id, rep_id, chrom, pos, strand, cnt``.
+    """
+    names = ["region_id", "part", "cond_id"]
+    schema = "region_id bigint, part int, cond_id int, component int, at bigint, chrom string, pos int, strand string, share double"
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left[left.sig > 0] if len(left) else left
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        first, right = left.iloc[0], right.sort_values("component")
+        x, minus = left.pos.to_numpy(np.int64), (left.strand == "-").to_numpy()
+        h = _density(model, minus, x - np.stack(right.places.to_numpy())[:, :, None]) * (right.pi.to_numpy()[:, None] * np.stack(right.tau.to_numpy()))[:, :, None]
+        h = h.sum(axis=1)
+        share = h / (h.sum(axis=0) + (float(first.noise) if "noise" in left else noise) / (int(first.fit_end) - int(first.fit_start) + 1) / 2)
+        j, i = np.nonzero((share > 0) & (np.abs(x - right.position.to_numpy()[:, None]) <= half))
+        out = pd.DataFrame({"component": right.component.to_numpy()[j], "at": right.position.to_numpy()[j], "chrom": first.chrom, "pos": x[i], "strand": left.strand.to_numpy()[i], "share": share[j, i]})
+        for c in names:
+            out[c] = first[c]
+        return out
+
+    shares = spread_groups(counts, names).groupBy(*names).cogroup(components.groupBy(*names)).applyInPandas(run, schema)
+    reps = hits.groupBy("cond_id", "rep_id", "chrom", "pos", "strand").agg(F.sum("cnt").alias("cnt"))
+    j = shares.join(reps, ["cond_id", "chrom", "pos", "strand"])
+    return j.groupBy(*names, "component", "rep_id", (F.col("pos") - F.col("at")).cast("int").alias("offset"), "strand").agg(F.sum(F.col("share") * F.col("cnt")).alias("value"))
+
+
 def model_from_profile(profile: DataFrame, reach: int = 100) -> np.ndarray:
     """A stranded form from a composite (``offset, strand, value``) with a pseudo-count of 1; at most two rows an offset come to the driver."""
     m = np.ones((2, 2 * reach + 1))

@@ -65,6 +65,25 @@ def found_in(rows: DataFrame, keys: Sequence[str], condition: str, found: str, n
     return rows.groupBy(*keys).agg(found_column(condition, found).alias(name))
 
 
+def dominant_form(tau: Column) -> tuple[Column, Column, Column]:
+    """Type, strand and share of the largest of ``tau`` (for each type its plus, then its minus form); the first wins ties."""
+    k = F.array_position(tau, F.array_max(tau)).cast("int") - 1
+    return (F.floor(k / 2)).cast("int"), F.when(k % 2 == 0, "+").otherwise("-"), F.array_max(tau)
+
+
+def dominant_type(tau: Column) -> tuple[Column, Column, Column]:
+    """Type of the largest share of both strands together, the first among equals, its strand (plus only if it has more) and that share."""
+    pairs = F.transform(F.sequence(F.lit(0), (F.size(tau) / 2).cast("int") - 1), lambda t: F.get(tau, 2 * t) + F.get(tau, 2 * t + 1))
+    t = F.array_position(pairs, F.array_max(pairs)).cast("int") - 1
+    return t, F.when(F.get(tau, 2 * t) > F.get(tau, 2 * t + 1), "+").otherwise("-"), F.array_max(pairs)
+
+
+def aligned_point(pos: Column, strand: Column, offset: Column, reverse: Column) -> tuple[Column, Column]:
+    """A point moved by its motif's offset in its own direction; against it, and with the strand turned, for a reversed motif."""
+    moved = F.when((strand == "+") != reverse, pos + offset).otherwise(pos - offset)
+    return moved, F.when(reverse, F.when(strand == "+", "-").otherwise("+")).otherwise(strand)
+
+
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     """A folder of tab-separated files; an empty table still writes its header."""
     df.write.mode("overwrite").option("sep", "\t").option("header", header).option("nullValue", "").csv(path)

@@ -33,7 +33,7 @@ def condition_counts(event_rep: DataFrame, scaling: DataFrame, event: Sequence[s
 def p_value(sig: Column, ctrl: Column, total: Column, background: Column, min_fold: float = 1.5) -> Column:
     """The larger of a binomial test of signal against control and a Poisson test against the background.
 
-    ``background`` is the window over the genome, as a share. 1 where there are no counts or the ratio isn't above ``min_fold``.
+    All are columns of their own, as each is read many times. ``background`` is the window over the genome, as a share. 1 where there are no counts or the ratio isn't above ``min_fold``.
     """
     b = binomial_cdf(F.ceil(ctrl), F.ceil(sig + ctrl), F.lit(1.0 / (min_fold + 1)))
     mean = min_fold * F.greatest(ctrl, total * background)
@@ -98,8 +98,9 @@ def consistent_pairs(event_rep: DataFrame, scaling: DataFrame, event: Sequence[s
     j = each.join(scaling, "cond_id", "left")
     a = F.coalesce(F.try_element_at("_sig", F.col("rep_a")), F.lit(0.0))
     b = F.coalesce(F.try_element_at("_sig", F.col("rep_b")), F.lit(0.0)) * F.col("scale")
-    n = F.ceil(F.round(a + b, 9))
-    p = binomial_cdf(F.ceil(F.round(b, 9)), n, F.lit(1.0 / (min_fold + 1)))
+    # as columns of their own, which each step of the test reads
+    j = j.withColumn("_k", F.round(b, 9)).withColumn("_n", F.ceil(F.round(a + F.col("_k"), 9))).withColumn("_k", F.ceil("_k"))
+    p, n = binomial_cdf(F.col("_k"), F.col("_n"), F.lit(1.0 / (min_fold + 1))), F.col("_n")
     return j.groupBy(*event, "cond_id").agg(F.min(F.coalesce(F.when(n > 0, p > q), F.lit(True))).alias("consistent"))
 
 

@@ -29,15 +29,14 @@ def tiles(spark: SparkSession, folder: str) -> DataFrame:
     return h.groupBy("chrom", F.floor(F.col("pos") / 50).alias("tile"), "cond_id", "rep_id").agg(side("signal").alias("sig"), side("control").alias("ctrl"))
 
 
-def _totals(spark: SparkSession, folder: str) -> DataFrame:
-    """``cond_id, rep_id, total, ctrl_total, fraction``; the fraction is that of tiles with at least 3 signal hits."""
-    t = tiles(spark, folder)
+def _totals(t: DataFrame) -> DataFrame:
+    """``cond_id, rep_id, total, ctrl_total, fraction`` of ``tiles``; the fraction is that of tiles with at least 3 signal hits."""
     dense = F.sum(F.when(F.col("sig") >= 3, F.col("sig")).otherwise(0.0))
     return t.groupBy("cond_id", "rep_id").agg(F.sum("sig").alias("total"), F.sum("ctrl").alias("ctrl_total"), F.try_divide(dense, F.sum("sig")).alias("fraction"))
 
 
 def a09_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return sg.replicate_weights(_totals(spark, folder)).select("cond_id", "rep_id", F.round("weight", 9).alias("weight"))
+    return sg.replicate_weights(_totals(tiles(spark, folder))).select("cond_id", "rep_id", F.round("weight", 9).alias("weight"))
 
 
 def m07_scaling(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,28 +77,29 @@ def m07_scaling_methods(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("rep_id", *[F.round(c, 9).alias(c) for c in ("ncis", "median", "ses")])
 
 
-def _scaling(spark: SparkSession, folder: str) -> DataFrame:
-    w = sg.replicate_weights(_totals(spark, folder))
-    return w.select("rep_id", F.coalesce(F.col("total") / F.nullif(F.col("ctrl_total"), F.lit(0.0)), F.lit(1.0)).alias("scale"), "weight")
+def _scaling(t: DataFrame) -> DataFrame:
+    """``rep_id, scale, weight, total`` of ``tiles``."""
+    w = sg.replicate_weights(_totals(t))
+    return w.select("rep_id", F.coalesce(F.col("total") / F.nullif(F.col("ctrl_total"), F.lit(0.0)), F.lit(1.0)).alias("scale"), "weight", "total")
 
 
-def _counts(spark: SparkSession, folder: str) -> DataFrame:
-    return sg.condition_counts(tiles(spark, folder), _scaling(spark, folder), TILE)
+def _counts(t: DataFrame) -> DataFrame:
+    return sg.condition_counts(t, _scaling(t), TILE)
 
 
 def a10_condition_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return _counts(spark, folder).select(*TILE, "cond_id", "sig", F.round("ctrl", 6).alias("ctrl"), F.round("fold", 6).alias("fold"))
+    return _counts(cut_lineage(tiles(spark, folder))).select(*TILE, "cond_id", "sig", F.round("ctrl", 6).alias("ctrl"), F.round("fold", 6).alias("fold"))
 
 
-def _tested(spark: SparkSession, folder: str) -> DataFrame:
-    total = signal(spark, folder).groupBy("cond_id").agg(F.sum("cnt").alias("total"))
+def _tested(spark: SparkSession, folder: str, t: DataFrame) -> DataFrame:
+    total = t.groupBy("cond_id").agg(F.sum("sig").alias("total")).where("total > 0")
     share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
-    c = _counts(spark, folder).withColumn("ctrl", F.round("ctrl", 6)).join(total, "cond_id").withColumn("_share", share)
+    c = _counts(t).withColumn("ctrl", F.round("ctrl", 6)).join(total, "cond_id").withColumn("_share", share)
     return c.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share")))
 
 
 def m03_p_values(spark: SparkSession, folder: str) -> DataFrame:
-    return _tested(spark, folder).select(*TILE, "cond_id", F.round("p", 8).alias("p"))
+    return _tested(spark, folder, cut_lineage(tiles(spark, folder))).select(*TILE, "cond_id", F.round("p", 8).alias("p"))
 
 
 def w05_q_values(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,32 +124,35 @@ def m06_replicate_scaling(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("cond_id", "rep_a", "rep_b", F.round("scale", 9).alias("scale"))
 
 
+def _consistency(t: DataFrame) -> DataFrame:
+    return sg.consistent_pairs(t, cut_lineage(sg.replicate_scaling(t, TILE)), TILE)
+
+
 def m04_consistency(spark: SparkSession, folder: str) -> DataFrame:
-    t = tiles(spark, folder)
-    return sg.consistent_pairs(t, sg.replicate_scaling(t, TILE), TILE)
+    return _consistency(cut_lineage(tiles(spark, folder)))
 
 
 def _q_values(tested: DataFrame, keys: list[str]) -> DataFrame:
     return sg.benjamini_hochberg(tested.withColumn("p", F.round("p", 8)), keys, "p", "sig", TILE)
 
 
-def m05_replicates(spark: SparkSession, folder: str) -> DataFrame:
-    """``chrom, tile, cond_id, rep_id, sig, p, q``: each replicate's test against its scaled control, corrected by replicate."""
+def m05_replicates(spark: SparkSession, folder: str, t: DataFrame | None = None) -> DataFrame:
+    """``chrom, tile, cond_id, rep_id, sig, p, q``: each replicate's test against its scaled control, corrected by replicate; ``t`` are the tiles if they are at hand."""
+    t = cut_lineage(tiles(spark, folder)) if t is None else t
     share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
-    scale = _scaling(spark, folder)
-    total = _totals(spark, folder).select("rep_id", "total")
-    t = tiles(spark, folder).where("sig > 0 or ctrl > 0").join(scale, "rep_id").join(total, "rep_id").withColumn("_share", F.lit(share))
-    t = t.withColumn("ctrl", F.round(F.col("ctrl") * F.col("scale"), 6))
-    t = t.select(*TILE, "cond_id", "rep_id", "sig", "ctrl", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share")).alias("p"))
-    return _q_values(t, ["cond_id", "rep_id"]).select(*TILE, "cond_id", "rep_id", "sig", F.col("p"), "q")
+    r = t.where("sig > 0 or ctrl > 0").join(_scaling(t), "rep_id").withColumn("_share", share)
+    r = r.withColumn("ctrl", F.round(F.col("ctrl") * F.col("scale"), 6))
+    r = r.select(*TILE, "cond_id", "rep_id", "sig", "ctrl", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share")).alias("p"))
+    return _q_values(r, ["cond_id", "rep_id"]).select(*TILE, "cond_id", "rep_id", "sig", F.col("p"), "q")
 
 
 def _replicated(spark: SparkSession, folder: str) -> DataFrame:
     """``chrom, tile, cond_id, found, q, least_q, code``: the tests of a condition and of its replicates at each tile. A tile is found where it has signal."""
-    cond = _q_values(_tested(spark, folder), ["cond_id"]).select(*TILE, "cond_id", "sig", "q")
-    reps = m05_replicates(spark, folder).groupBy(*TILE, "cond_id").agg(F.count_if(F.col("q") <= 0.01).alias("n_sig"), F.min("q").alias("least_q"))
+    t = cut_lineage(tiles(spark, folder))  # six steps read it
+    cond = _q_values(_tested(spark, folder, t).select(*TILE, "cond_id", "sig", "p"), ["cond_id"]).select(*TILE, "cond_id", "sig", "q")
+    reps = m05_replicates(spark, folder, t).groupBy(*TILE, "cond_id").agg(F.count_if(F.col("q") <= 0.01).alias("n_sig"), F.min("q").alias("least_q"))
     n = replicate_runs(spark, folder).groupBy("cond_id").agg(F.count("*").alias("n_reps"))
-    j = cond.join(reps, [*TILE, "cond_id"], "left").join(m04_consistency(spark, folder), [*TILE, "cond_id"], "left").join(n, "cond_id")
+    j = cond.join(reps, [*TILE, "cond_id"], "left").join(_consistency(t), [*TILE, "cond_id"], "left").join(n, "cond_id")
     found = F.col("sig") > 0
     code = sg.replication_code(F.col("n_reps"), found, F.coalesce("n_sig", F.lit(0)), F.col("q"), F.coalesce("consistent", F.lit(True)))
     return j.select(*TILE, "cond_id", found.alias("found"), "q", "least_q", code.alias("code"))

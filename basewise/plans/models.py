@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basewise.operators import clustering as cl
 from basewise.operators import mixture as mx
+from basewise.operators import reports as rp
 from basewise.operators import significance as sg
 from basewise.operators import simulate
 from basewise.operators.profiles import composite
 from basewise.plans.profiles import label_means, points, stranded
 from basewise.plans.regions import e06_noise_shares, m02_alphas
+from basewise.plans.sequences import e13_motif_offsets
 from basewise.session import cut_lineage
 from basewise.sources.tables import base_hits, current_regions, genome, replicate_runs
 
 
+#: two subtypes, narrow and wide, each as given and as its reverse complement
+SUBTYPES = mx.with_reverse(np.concatenate([mx.normal_model(8, 15), mx.normal_model(30, 30)]))
+
+
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
     return base_hits(spark, folder, None).join(replicate_runs(spark, folder), "rep_id").select("run_id", "cond_id", "channel", "chrom", "pos", "strand", "cnt")
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of the parts of current regions with the share of noise of their region and condition (``e06``)."""
-    hits = _hits(spark, folder)
+    hits = cut_lineage(_hits(spark, folder))
     counts = mx.region_counts(hits, mx.bounded_parts(current_regions(spark, folder), hits))
     shares = e06_noise_shares(spark, folder).withColumnRenamed("share", "_noise")
     return counts.join(shares, ["region_id", "cond_id"], "left").withColumn("noise", F.coalesce("_noise", F.lit(0.05))).drop("_noise")
@@ -31,19 +37,69 @@ def _counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def e01_components(spark: SparkSession, folder: str) -> DataFrame:
     """Components of each part and condition under one unstranded model."""
-    return mx.fit_regions(_counts(spark, folder), mx.normal_model(), alpha=3.0).drop("tau", "form")
+    return mx.fit_regions(_counts(spark, folder), mx.normal_model(), alpha=3.0).drop("tau", "form", "places")
 
 
 def e02_subtypes(spark: SparkSession, folder: str) -> DataFrame:
     """Components with two subtypes, narrow and wide, each in both orientations."""
-    models = mx.with_reverse(np.concatenate([mx.normal_model(8, 15), mx.normal_model(30, 30)]))
-    return mx.fit_regions(_counts(spark, folder), models, alpha=3.0)
+    return mx.fit_regions(_counts(spark, folder), SUBTYPES, alpha=3.0).drop("places")
 
 
 def e03_subtypes_assigned(spark: SparkSession, folder: str) -> DataFrame:
     """Signal and control counts of the components of ``e02`` by maximum likelihood, places and tau held."""
-    models = mx.with_reverse(np.concatenate([mx.normal_model(8, 15), mx.normal_model(30, 30)]))
-    return mx.fit_regions(_counts(spark, folder), models, alpha=3.0, assigned=True)
+    return mx.fit_regions(_counts(spark, folder), SUBTYPES, alpha=3.0, assigned=True)
+
+
+def a14_read_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of each replicate around the components of ``e02`` that belong to them."""
+    counts = cut_lineage(_counts(spark, folder))
+    hits = base_hits(spark, folder).join(replicate_runs(spark, folder), "rep_id")
+    profiles = mx.read_profiles(hits, counts, cut_lineage(mx.fit_regions(counts, SUBTYPES, alpha=3.0)), SUBTYPES)
+    return profiles.withColumn("value", F.round("value", 6))
+
+
+def _reported_subtypes(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of ``e03`` with their test against the control, those with a q-value of at most 0.01."""
+    total = base_hits(spark, folder).join(replicate_runs(spark, folder), "rep_id").groupBy("cond_id").agg(F.sum("cnt").alias("total"))
+    share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
+    e = e03_subtypes_assigned(spark, folder).join(total, "cond_id").withColumn("_share", share)
+    e = e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"))).drop("total", "_share")
+    return sg.benjamini_hochberg(e, ["cond_id"], "p", "sig", ["region_id", "part", "component"]).where("q <= 0.01")
+
+
+def k06_subtype_table(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each reported event: counts, fold, q and for each subtype and strand its point and tau."""
+    e = _reported_subtypes(spark, folder)
+    cells = []
+    for k in range(len(SUBTYPES)):
+        name = f"subtype{k // 2}{'+-'[k % 2]}"
+        cells += [F.get("places", F.lit(k)).alias(f"{name}_point"), F.round(F.get("tau", F.lit(k)), 2).alias(f"{name}_tau")]
+    fold = F.when(F.col("ctrl") > 1, F.col("sig") / F.col("ctrl")).otherwise(F.col("sig"))
+    return e.select(
+        "region_id", "part", "cond_id", "component", "chrom", "position", F.round("sig", 1).alias("sig"), F.round("ctrl", 1).alias("ctrl"),
+        rp.log2_column(fold).alias("log2_fold"), rp.log2_column(F.col("q")).alias("log2_q"), *cells,
+    )
+
+
+def k04_subtype_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Reported events with the point, tau and name of their dominant subtype over types and strands (P05), and by strands together (P06)."""
+    tau = F.col("_tau")
+    t, strand, share = rp.dominant_form(tau)
+    both, both_strand, both_share = rp.dominant_type(tau)
+    return _reported_subtypes(spark, folder).withColumnRenamed("tau", "_tau").select(
+        "region_id", "part", "cond_id", "component", "chrom", F.get("places", F.array_position(tau, F.array_max(tau)).cast("int") - 1).alias("point"), strand.alias("strand"), t.alias("subtype"),
+        F.round(share, 2).alias("tau"), both.alias("summed_subtype"), both_strand.alias("summed_strand"), F.round(both_share, 2).alias("summed_tau"), "plus", "minus",
+    )
+
+
+def k07_aligned_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Dominant points of reported events moved and turned by the motif of their subtype: the motifs of ``e13`` in order, one for each subtype."""
+    e = k04_subtype_events(spark, folder).select("region_id", "part", "cond_id", "component", "chrom", "point", "strand", "subtype")
+    # one row for each length of motif; subtypes beyond them have none and stay where they are
+    motifs = e13_motif_offsets(spark, folder).withColumn("subtype", F.row_number().over(Window.orderBy("motif")) - 1)
+    j = e.join(F.broadcast(motifs.select("subtype", "offset", "reverse")), "subtype", "left")
+    pos, strand = rp.aligned_point(F.col("point"), F.col("strand"), F.coalesce("offset", F.lit(0)), F.coalesce("reverse", F.lit(False)))
+    return j.select("region_id", "part", "cond_id", "component", "chrom", pos.alias("pos"), strand.alias("strand"), F.format_string("Subtype%d", "subtype").alias("subtype"))
 
 
 def e04_assigned(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +125,7 @@ def e07_rounds(spark: SparkSession, folder: str, rounds: int = 3) -> DataFrame:
 
     def tested(components: DataFrame, fold: float) -> DataFrame:
         e = components.join(totals, "cond_id").withColumn("_share", F.lit(share))
-        return cut_lineage(e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"), fold)).drop("_share", "total", "tau"))
+        return cut_lineage(e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"), fold)).drop("_share", "total", "tau", "places"))
 
     events = tested(mx.fit_regions(counts, mx.normal_model(), alpha=None, assigned=True), 1.2 if rounds else 1.5)
     near = events.where("p <= 0.05").withColumn("strand", F.lit("+"))
@@ -118,6 +174,10 @@ def s21_simulated_reads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (e01_components, e02_subtypes, e03_subtypes_assigned, e04_assigned, e07_rounds, e08_exemplars, j16_members, e12_merged, e14_k_means, m27_alignments, s21_simulated_reads)
-}
+    f.__name__: f
+    for f in (
+        e01_components, e02_subtypes, e03_subtypes_assigned, e04_assigned, a14_read_profiles, k04_subtype_events, k06_subtype_table, k07_aligned_events, e07_rounds, e08_exemplars, j16_members,
+        e12_merged, e14_k_means, m27_alignments, s21_simulated_reads,
+    )
+}
 SQL: dict[str, str] = {}

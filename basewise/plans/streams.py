@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basewise.plans.sql_views import HITS
-from basewise.session import shared_folder
 from basewise.sources.tables import table
-from basewise.streaming.counts import run_to_table, stream_bins
+from basewise.streaming.counts import append, binned, stream_hits
 
 
 def stream_binned_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts by bin of what a stream over ``base_counts`` has brought so far."""
-    schema = table(spark, folder, "base_counts").schema
-    return spark.read.parquet(run_to_table(stream_bins(spark, f"{folder}/base_counts.parque[t]", schema), shared_folder(spark)))
+    stream = stream_hits(spark, f"{folder}/base_counts.parque[t]", table(spark, folder, "base_counts").schema)
+    return binned(spark.read.parquet(append(stream)))
 
 
 QUERIES = {"stream_binned_counts": stream_binned_counts}

@@ -2,36 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basewise.functions.genome import plain_chrom
+from basewise.session import new_path
 
 
-def stream_bins(spark: SparkSession, path: str, schema: T.StructType | str, width: int = 25) -> DataFrame:
-    """A streaming table ``rep_id, chrom, bin, hits`` of the parquet files that arrive under ``path``: signal counts above 0, repeated rows once.
-
-    The state is one row for each distinct base and one sum for each bin.
-    """
+def stream_hits(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A streaming table ``rep_id, chrom, pos, strand, cnt`` of the signal counts above 0 in the parquet files that arrive under ``path``."""
     b = spark.readStream.schema(schema).parquet(path).where((F.col("channel") == "signal") & (F.col("cnt") > 0) & ~F.isnan("cnt"))
-    b = b.select("rep_id", plain_chrom("chrom").alias("chrom"), "pos", "strand", "cnt").dropDuplicates()
-    return b.groupBy("rep_id", "chrom", F.floor((F.col("pos") - 1) / width).alias("bin")).agg(F.sum(F.col("cnt").cast("double")).alias("hits"))
+    return b.select("rep_id", plain_chrom("chrom").alias("chrom"), "pos", "strand", F.col("cnt").cast("double").alias("cnt"))
 
 
-def run_to_table(stream: DataFrame, folder: str) -> str:
-    """Take what has arrived and write the whole result as a table below ``folder``; the path of that table.
+def append(stream: DataFrame) -> str:
+    """Take what has arrived and add it to a table of the shared folder, which keeps what a repeated row is told by; the path of that table.
 
-    Each batch replaces the table under its own number, so a batch that is run again leaves one copy.
+    Nothing is held in the state of the stream. Each batch writes its own folder, so a batch
+    that is run again leaves one copy and none is written twice.
     """
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
+    out = new_path(stream.sparkSession, "stream")
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/result/batch={number}")
+        batch.distinct().write.mode("overwrite").parquet(f"{out}/hits/batch={number}")
 
-    q = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    done = q.lastProgress["batchId"] if q.lastProgress else 0
-    return f"{out}/result/batch={done}"
+    return f"{out}/hits"
+
+
+def binned(hits: DataFrame, width: int = 25) -> DataFrame:
+    """``rep_id, chrom, bin, hits`` of the table of ``append``; rows repeated within or over batches count once."""
+    each = hits.select("rep_id", "chrom", "pos", "strand", "cnt").distinct()
+    return each.groupBy("rep_id", "chrom", F.floor((F.col("pos") - 1) / width).alias("bin")).agg(F.sum("cnt").alias("hits"))
