@@ -137,16 +137,16 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
             if not len(mu):
                 break
         # move
-        place = np.clip(mu[:, :, None] + moves, start, end)
+        place = np.minimum(np.maximum(mu[:, :, None] + moves, start), end)
         if logs is None:
             d = x - place[..., None]
             score = np.where(np.abs(d) <= reach, log_model[form[:, None, None], minus.astype(int), np.clip(d + reach, 0, 2 * reach)], np.log2(TINY))
         else:
             score = logs[form[:, None], place - start]
-        best = np.argmax(np.round(np.einsum("jkci,jki->jkc", score, weighted), 9), axis=2)
-        mu = np.where(r > 0, np.take_along_axis(place, best[:, :, None], axis=2)[:, :, 0], mu)
+        best = np.argmax(np.round(score @ weighted[..., None], 9)[..., 0], axis=2)
+        mu = np.where(r > 0, place[np.arange(len(mu))[:, None], form, best], mu)
         # merge
-        key = np.rint((mu * tau).sum(axis=1)).astype(int)
+        key = mu[:, 0] if forms == 1 else np.rint((mu * tau).sum(axis=1)).astype(int)
         if len(set(key.tolist())) < len(key):
             _, first, group = np.unique(key, return_index=True, return_inverse=True)
             merged = np.zeros((len(first), forms))
@@ -173,9 +173,10 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
             tau[np.flatnonzero(out), weak[out]] = 0.0
             sums = tau.sum(axis=1, keepdims=True)
             tau = np.where(sums > 0, tau / np.where(sums > 0, sums, 1), 1.0 / forms)
-        state = (mu.tobytes(), np.round(pi, 10).tobytes(), np.round(tau, 10).tobytes())
-        equal = equal + 1 if t > ANNEALED and state == last else 0
-        last = state
+        if t >= ANNEALED:
+            state = (mu.tobytes(), np.round(pi, 10).tobytes(), np.round(tau, 10).tobytes())
+            equal = equal + 1 if t > ANNEALED and state == last else 0
+            last = state
         t += not gone
         if t > ANNEALED and equal >= EQUAL:
             break

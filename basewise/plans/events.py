@@ -225,6 +225,14 @@ def j12_by_point(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("cond_id", "chrom", "pos").agg(first.alias("event_id"), last["hits"].alias("hits"), F.count("*").alias("n"))
 
 
+def j12_consolidated(spark: SparkSession, folder: str) -> DataFrame:
+    """Points at which any condition has a found event, one event each over all conditions: the first found there, with each condition's counts (``j12_by_point``), 0 where it isn't found."""
+    each = j12_by_point(spark, folder)
+    first = F.min("event_id").over(Window.partitionBy("chrom", "pos"))  # one row for each condition
+    each = each.withColumn("hits", F.when(F.col("event_id").isNotNull(), F.col("hits")).otherwise(0.0)).withColumn("event_id", first)
+    return each.where("event_id is not null").select("chrom", "pos", "event_id", "cond_id", "hits")
+
+
 def j13_same_configurations(spark: SparkSession, folder: str) -> DataFrame:
     """Regions whose conditions share one set of found points: the sets are compared by digest."""
     e = events(spark, folder).where("found and region_id is not null and pos is not null").select("region_id", "cond_id", "chrom", "pos").distinct()
@@ -260,9 +268,12 @@ def _conditions(spark: SparkSession, folder: str) -> list[int]:
 
 def k03_all_events(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each event, with counts and logarithms of each condition and the conditions it is found in."""
-    e = events(spark, folder)
-    cells = {"sig": counts_only("sig"), "ctrl": F.col("ctrl"), "log2_fold": rp.log2_column(F.col("fold")), "log2_q": rp.log2_column(F.col("q"))}
-    return rp.wide_table(e, ["event_id"], "cond_id", _conditions(spark, folder), cells, rp.found_column("cond_id", "found").alias("found_in"))
+    conds = _conditions(spark, folder)
+    cells = {"sig": counts_only("sig"), "ctrl": F.col("ctrl"), "log2_fold": rp.log2_column(F.col("fold")), "log2_q": rp.log2_column(F.col("q")), "found": F.col("found").cast("int")}
+    # flags as cells too: numbers alone are combined in each partition
+    wide = rp.wide_table(events(spark, folder), ["event_id"], "cond_id", conds, cells)
+    flags = [f"{c}_found" for c in conds]
+    return wide.withColumn("found_in", F.concat_ws(",", *[F.col(f).cast("string") for f in flags])).drop(*flags)
 
 
 def k04_condition_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -304,7 +315,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a09_weights, m07_scaling, a10_condition_counts, m03_p_values, w05_q_values, w05_monotone_q, m06_replicate_scaling, m04_consistency, m05_replication_codes, f09_non_zero,
-        j14_shared_controls, s05_design, f06_reported, f08_round0, j11_region_events, j12_by_point, j13_same_configurations, a15_event_counts, p02_formatted, k05_bed, k03_all_events,
+        j14_shared_controls, s05_design, f06_reported, f08_round0, j11_region_events, j12_by_point, j12_consolidated, j13_same_configurations, a15_event_counts, p02_formatted, k05_bed, k03_all_events,
         k04_condition_events, k09_replicate_counts, k10_replication_table, o01_top_tiles, o03_event_order, o06_argmax,
         k08_replicate_events, m05_replicates, m07_scaling_methods,
     )
@@ -420,6 +431,9 @@ SELECT run_id, cond_id, cond, rep_id, coalesce(rep, CAST(row_number() OVER (PART
     "f08_round0": f"WITH {_EV} SELECT event_id, cond_id, region_id FROM e WHERE found AND NOT isnan(p) AND p BETWEEN 0 AND 0.05",
     "j11_region_events": f"WITH {_EV}, {REGIONS} SELECT reg.region_id, count(DISTINCT event_id) AS events, count(event_id) AS rows FROM reg LEFT JOIN (SELECT * FROM e WHERE found) f USING (region_id) GROUP BY 1",
     "j12_by_point": f"""WITH {_EV} SELECT cond_id, chrom, pos, min(event_id) FILTER (WHERE found) AS event_id, last(hits ORDER BY event_id) FILTER (WHERE found) AS hits, count(*) AS n FROM e WHERE pos IS NOT NULL GROUP BY ALL""",
+    "j12_consolidated": f"""WITH {_EV}, p AS (SELECT cond_id, chrom, pos, min(event_id) FILTER (WHERE found) AS ev, last(hits ORDER BY event_id) FILTER (WHERE found) AS hits FROM e WHERE pos IS NOT NULL GROUP BY ALL),
+f AS (SELECT *, min(ev) OVER (PARTITION BY chrom, pos) AS event_id FROM p)
+SELECT chrom, pos, event_id, cond_id, CASE WHEN ev IS NOT NULL THEN hits ELSE 0 END AS hits FROM f WHERE event_id IS NOT NULL""",
     "j13_same_configurations": f"""WITH {_EV}, d AS (SELECT DISTINCT region_id, cond_id, chrom, pos FROM e WHERE found AND region_id IS NOT NULL AND pos IS NOT NULL),
 s AS (SELECT region_id, cond_id, list(chrom || ':' || pos ORDER BY chrom, pos) AS l FROM d GROUP BY ALL), c AS (SELECT region_id, l, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1)
 SELECT region_id, count(*) AS configurations, CAST(sum(n) AS BIGINT) AS conditions FROM c GROUP BY 1""",

@@ -11,6 +11,7 @@ from basewise.operators import mixture as mx
 from basewise.operators import reports as rp
 from basewise.operators import significance as sg
 from basewise.operators import simulate
+from basewise.operators.ordered import numbered
 from basewise.operators.profiles import composite
 from basewise.plans.profiles import label_means, points, stranded
 from basewise.plans.regions import e06_noise_shares, m02_alphas
@@ -107,6 +108,15 @@ def e04_assigned(spark: SparkSession, folder: str) -> DataFrame:
     return mx.fit_regions(_counts(spark, folder), mx.normal_model(), alpha=3.0, assigned=True).select("region_id", "part", "cond_id", "chrom", "component", "position", "sig", "ctrl")
 
 
+def o05_component_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of ``e02`` with their places in three orders of their condition: along the genome, by their counts and by the share of their dominant form."""
+    e = cut_lineage(e02_subtypes(spark, folder).select("region_id", "part", "cond_id", "component", "chrom", "position", (F.col("plus") + F.col("minus")).alias("_n"), F.array_max("tau").alias("_tau")))
+    tie = [F.col(c) for c in ("chrom", "position", "region_id", "part", "component")]
+    e = numbered(e, ["cond_id"], tie, "by_location")
+    e = numbered(e, ["cond_id"], [F.desc("_n"), *tie], "by_counts")
+    return numbered(e, ["cond_id"], [F.desc("_tau"), *tie], "by_share").drop("_n", "_tau")
+
+
 def e07_rounds(spark: SparkSession, folder: str, rounds: int = 3) -> DataFrame:
     """Events after round 0 and ``rounds`` more, with the sparseness of each condition.
 
@@ -176,7 +186,7 @@ def s21_simulated_reads(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        e01_components, e02_subtypes, e03_subtypes_assigned, e04_assigned, a14_read_profiles, k04_subtype_events, k06_subtype_table, k07_aligned_events, e07_rounds, e08_exemplars, j16_members,
+        e01_components, e02_subtypes, e03_subtypes_assigned, e04_assigned, a14_read_profiles, k04_subtype_events, k06_subtype_table, k07_aligned_events, o05_component_order, e07_rounds, e08_exemplars, j16_members,
         e12_merged, e14_k_means, m27_alignments, s21_simulated_reads,
     )
 }

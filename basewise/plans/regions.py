@@ -189,6 +189,19 @@ def j06_shared_peaks(spark: SparkSession, folder: str) -> DataFrame:
     return iv.points_in_intervals(right, near, ["first_cond", "chrom"]).select("event_id", "cond_id").distinct()
 
 
+def j06_peak_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a condition and its run's first one whose events lie within 30 bases of each other: distinct events of either side, where more than 25 of the condition do."""
+    pairs = _pairs_of_conditions(spark, folder)
+    e = cut_lineage(event_points(spark, folder).select("event_id", "cond_id", "chrom", "pos"))
+    first = e.join(pairs.select(F.col("first_cond").alias("cond_id")).distinct(), "cond_id", "left_semi")
+    right = j06_shared_peaks(spark, folder).join(pairs, "cond_id").groupBy("cond_id", "first_cond").agg(F.count("*").alias("events"))
+    near = e.join(pairs, "cond_id").select("cond_id", "first_cond", "chrom", (F.col("pos") - 30).alias("rstart"), (F.col("pos") + 30).alias("rend"))
+    near = iv.merge_overlapping(near, ["cond_id", "first_cond", "chrom"]).select(F.col("cond_id").alias("other"), F.col("first_cond").alias("cond_id"), "chrom", "rstart", "rend")
+    left = iv.points_in_intervals(first, near, ["cond_id", "chrom"]).select("other", F.col("cond_id").alias("first_cond"), "event_id").distinct()
+    left = left.groupBy(F.col("other").alias("cond_id"), "first_cond").agg(F.count("*").alias("first_events"))
+    return right.where("events > 25").join(left, ["cond_id", "first_cond"]).select("cond_id", "first_cond", "events", "first_events")
+
+
 def j07_nearest_event(spark: SparkSession, folder: str) -> DataFrame:
     """Distance from each event to the nearest other one of its condition; null for the only one on a chromosome."""
     n = ls.with_neighbours(event_points(spark, folder), ["cond_id", "chrom"])
@@ -265,7 +278,7 @@ QUERIES = {
         a01_landscape, a01_landscape_plus, a02_landscape_by_replicate, a03_binned_starts, m01_thresholds, m02_alphas, w01_potential_regions, w02_split_regions,
         j01_hits_in_regions, a04_counts_inside, a04_control_inside, a05_signal_fraction, a06_region_length, a07_noise_per_base, a08_control_noise, a27_genome,
         f01_without_ignored, f02_clamped, j02_fragments, j03_regions_by_chrom, j04_complement, u04_merged, j05_hits_near_events, j17_regions_with_peaks,
-        j06_shared_peaks, j07_nearest_event, j08_nearest_in_first, j10_nearest_region, u02_starting_points, e05_components, e06_noise_shares, u01_all_counts, s19_windows,
+        j06_shared_peaks, j06_peak_groups, j07_nearest_event, j08_nearest_in_first, j10_nearest_region, u02_starting_points, e05_components, e06_noise_shares, u01_all_counts, s19_windows,
     )
 }
 
@@ -359,6 +372,9 @@ FROM reg JOIN des ON des.run_id = reg.run_id JOIN hits ON hits.rep_id = des.rep_
     "j17_regions_with_peaks": f"WITH {_POINTS}, {REGIONS}, d AS (SELECT DISTINCT chrom, pos FROM pts) SELECT DISTINCT region_id FROM reg JOIN d ON d.chrom = reg.chrom AND pos BETWEEN rstart AND rend",
     "j06_shared_peaks": f"""WITH {_POINTS}, {_FIRST}, a AS (SELECT DISTINCT cond_id AS first_cond, chrom, pos AS place FROM pts)
 SELECT DISTINCT event_id, pts.cond_id FROM pts JOIN prs USING (cond_id) JOIN a ON a.first_cond = prs.first_cond AND a.chrom = pts.chrom AND pos BETWEEN place - 30 AND place + 30""",
+    "j06_peak_groups": f"""WITH {_POINTS}, {_FIRST}, a AS (SELECT DISTINCT cond_id AS first_cond, event_id AS fe, chrom, pos AS place FROM pts),
+m AS (SELECT pts.cond_id, prs.first_cond, event_id, fe FROM pts JOIN prs USING (cond_id) JOIN a ON a.first_cond = prs.first_cond AND a.chrom = pts.chrom AND pos BETWEEN place - 30 AND place + 30)
+SELECT cond_id, first_cond, count(DISTINCT event_id) AS events, count(DISTINCT fe) AS first_events FROM m GROUP BY ALL HAVING count(DISTINCT event_id) > 25""",
     "j07_nearest_event": f"""WITH {_POINTS} SELECT event_id, cond_id,
 least(pos - lag(pos) OVER (PARTITION BY cond_id, chrom ORDER BY pos), lead(pos) OVER (PARTITION BY cond_id, chrom ORDER BY pos) - pos) AS distance FROM pts""",
     "j08_nearest_in_first": f"""WITH {_POINTS}, {_FIRST}, f AS (SELECT DISTINCT cond_id AS fc, chrom, pos AS at FROM pts),

@@ -178,6 +178,26 @@ def read_genes(spark: SparkSession, path: str) -> DataFrame:
     return g.select(at(1).alias("gene"), plain_chrom(at(2)).alias("chrom"), F.when(at(3) == "-", e).otherwise(s + 1).alias("tss"), at(3).alias("strand")).where("tss is not null")
 
 
+def read_point_lists(spark: SparkSession, path: str) -> DataFrame:
+    """``cluster, chrom, pos, strand`` of the files of points (``chrom:pos`` or ``chrom:pos:strand``, then any columns) that a file names, one a line; clusters count from 0 in its order.
+
+    Only names come to the driver. A blank line names no file; a line that is no point is left out.
+    """
+    names = [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
+    out = None
+    for k, name in enumerate(names):
+        place = F.split(F.split_part("value", F.lit("\t"), F.lit(1)), ":")
+        at = lambda i: F.get(place, F.lit(i))  # noqa: B023,E731
+        p = spark.read.text(name).select(F.lit(k).alias("cluster"), plain_chrom(at(0)).alias("chrom"), at(1).try_cast("bigint").alias("pos"), at(2).alias("strand")).where("pos is not null")
+        out = p if out is None else out.unionByName(p)
+    return spark.createDataFrame([], "cluster int, chrom string, pos bigint, strand string") if out is None else out
+
+
+def write_sequences(rows: DataFrame, path: str, label: str = "label", sequence: str = "sequence") -> None:
+    """A folder of text files with two lines for each row: ``>label`` and its sequence."""
+    rows.select(F.concat(F.lit(">"), F.col(label), F.lit("\n"), F.col(sequence)).alias("value")).write.mode("overwrite").text(path)
+
+
 def save_model(path: str, model: np.ndarray) -> None:
     """A model (forms, strands, distances) as lines of comma-separated numbers under one heading a form."""
     parts = []

@@ -92,3 +92,14 @@ def test_sinks(spark, tmp_path):
     r = spark.createDataFrame([("a/b", "1", 5)], "cond string, rep string, n int")
     rp.write_by_replicate(r, str(tmp_path / "rep"))
     assert (tmp_path / "rep" / "cond=a-b" / "rep=1").is_dir()
+
+
+def test_point_lists_and_sequences(spark, tmp_path):
+    (tmp_path / "a").write_text("chr1:5:+\tx\n#no point\n2:7\n")
+    (tmp_path / "b").write_text("chr3:9:-\n")
+    (tmp_path / "list").write_text(f"{tmp_path / 'a'}\n\n{tmp_path / 'b'}\n")
+    assert sorted(map(tuple, fl.read_point_lists(spark, str(tmp_path / "list")).collect())) == [(0, "1", 5, "+"), (0, "2", 7, None), (1, "3", 9, "-")]
+    (tmp_path / "none").write_text("")
+    assert fl.read_point_lists(spark, str(tmp_path / "none")).count() == 0
+    fl.write_sequences(spark.createDataFrame([("1:1-4", "ACGT"), ("1:5-6", "NN")], "label string, sequence string"), str(tmp_path / "seq"))
+    assert {r["value"] for r in spark.read.text(str(tmp_path / "seq")).collect()} == {">1:1-4", "ACGT", ">1:5-6", "NN"}

@@ -30,6 +30,21 @@ def test_tails(spark):
         assert got == want
 
 
+def test_tails_of_deep_counts(spark):
+    """Millions of counts take thousands of terms, not millions."""
+    rows = [(k, n, m) for m, n in ((1_000_000.0, 3_000_000), (40_000.0, 90_000)) for k in (int(m) - 2500, int(m), int(m) + 1500)]
+    df = spark.createDataFrame(rows, "k int, n int, m double")
+
+    def tail(term, k, centre):
+        return math.fsum(math.exp(term(i)) for i in range(max(0, int(centre) - 40_000), k + 1))
+
+    for r in df.select("*", stats.poisson_cdf(F.col("k"), F.col("m")).alias("p"), stats.binomial_cdf(F.col("k"), F.col("n"), F.lit(1 / 3)).alias("b")).collect():
+        k, n, m = r["k"], r["n"], r["m"]
+        assert r["p"] == pytest.approx(tail(lambda i: -m + i * math.log(m) - math.lgamma(i + 1), k, m), rel=1e-6)
+        choose = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)  # noqa: B023,E731
+        assert r["b"] == pytest.approx(tail(lambda i: choose(i) + i * math.log(1 / 3) + (n - i) * math.log(2 / 3), min(k, n), n / 3), rel=1e-6)  # noqa: B023
+
+
 def test_hit_landscape_by_hand(spark):
     """Position 61 counts for bins 1 and 2; position 11 for bin 0 only, since division truncates toward 0."""
     h = spark.createDataFrame([("1", 61, 1.0, "+"), ("1", 11, 2.0, "-")], "chrom string, pos int, cnt double, strand string")
