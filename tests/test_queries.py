@@ -33,11 +33,16 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
             return None
 
     class Session:
-        sparkContext, conf = Context(), spark.conf  # noqa: N815
+        def __init__(self, **settings):
+            self.sparkContext, self.conf = Context(), settings
 
     monkeypatch.setattr(session, "_temporary_folder", lambda: pytest.fail("a folder of this machine"))
     with pytest.raises(RuntimeError):
         session.shared_folder(Session())
+    named = []
+    monkeypatch.setattr(Context, "setCheckpointDir", lambda _, folder: named.append(folder), raising=False)
+    session.shared_folder(Session(**{"spark.checkpoint.dir": "hdfs://shared/work"}))
+    assert named == ["hdfs://shared/work"]
 
 
 def test_entry_without_a_library_of_the_subpackage(monkeypatch):
