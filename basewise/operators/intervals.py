@@ -81,15 +81,18 @@ def running_max(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return j.select(*rows.columns, F.greatest("_inner", "_carried").alias(name))
 
 
-def merge_overlapping(intervals: DataFrame, keys: Sequence[str] = ("chrom",), start: str = "rstart", end: str = "rend", touching: int = 0) -> DataFrame:
+def merge_overlapping(intervals: DataFrame, keys: Sequence[str] = ("chrom",), start: str = "rstart", end: str = "rend", touching: int = 0, repeated: bool = True) -> DataFrame:
     """Islands of intervals that share a base; ``touching`` bases of distance still merge. ``keys, start, end, n``. Intervals with a null key or bound are in none.
 
-    Equal intervals are counted before they move, and each tile makes islands of those that
-    begin in it. Only these are written and joined over tiles: an island begins where one lies
-    behind the reach of all before it, and both this reach and the last beginning are running maxima.
+    Equal intervals are counted before they move, unless the caller knows that none is
+    ``repeated``, and each tile makes islands of those that begin in it. Only these are written
+    and joined over tiles: an island begins where one lies behind the reach of all before it,
+    and both this reach and the last beginning are running maxima.
     """
     known = [F.col(c).isNotNull() for c in (*keys, start, end)]
-    each = intervals.where(functools.reduce(Column.__and__, known)).groupBy(*keys, start, end).agg(F.count("*").alias("_n")).withColumn("_tile", F.floor(F.col(start) / TILE))
+    each = intervals.where(functools.reduce(Column.__and__, known))
+    each = each.groupBy(*keys, start, end).agg(F.count("*").alias("_n")) if repeated else each.withColumn("_n", F.lit(1).cast("bigint"))
+    each = each.withColumn("_tile", F.floor(F.col(start) / TILE))
     inner = Window.partitionBy(*keys, "_tile").orderBy(start, end)
     begins = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + touching), F.col(start))
     each = each.withColumn("_reach", F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1)))

@@ -50,7 +50,7 @@ def potential_regions(landscape: DataFrame, thresholds: DataFrame, genome: DataF
     passing = landscape.join(thresholds.select(*keys, "threshold"), list(keys)).where("hits >= threshold").join(genome, "chrom")
     i = F.col("bin").cast("bigint") * step + 1
     wide = passing.select(*keys, "chrom", F.greatest(i - window, F.lit(1)).alias("rstart"), F.least(i - 1 + window, F.col("len")).alias("rend"))
-    return merge_overlapping(wide, [*keys, "chrom"])
+    return merge_overlapping(wide, [*keys, "chrom"], repeated=False)
 
 
 def counts_in_and_out(hits: DataFrame, regions: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
