@@ -7,7 +7,7 @@ and swaps them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -127,20 +127,38 @@ def np_cell_score(name: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return score
 
 
-def np_sliding_pearson(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The largest correlation of the middle half of ``q`` with any window of ``p`` of that length, in either orientation. Scaling a window to its maximum, as composites are drawn, doesn't change it."""
+def _slides(q: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The middle half of ``q`` with each window of ``p`` of that length, as it is and turned."""
     n = q.shape[1] // 2
     w = n // 2
     window = lambda x, s: np.concatenate([x[:, s : s + w], x[:, n + s : n + s + w]], axis=1)
-    middle, best = window(q, (n - w) // 2), None
+    middle = window(q, (n - w) // 2)
     for s in range(n - w + 1):
         v = window(p, s)
-        for turned in (v, v[:, ::-1]):
-            r = np_pearson(middle, turned)
-            best = r if best is None else np.fmax(best, r)
+        yield middle, v
+        yield middle, v[:, ::-1]
+
+
+def np_sliding_pearson(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The largest correlation of the middle half of ``q`` with any window of ``p`` of that length, in either orientation. Scaling a window to its maximum, as composites are drawn, doesn't change it."""
+    best = None
+    for a, v in _slides(q, p):
+        r = np_pearson(a, v)
+        best = r if best is None else np.fmax(best, r)
     return best
 
 
+def np_sliding_log_kl(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log of the least symmetric divergence of the middle half of ``q`` and any window of ``p`` of that length, in either orientation, each scaled to sum 1."""
+    best = None
+    with np.errstate(divide="ignore"):
+        for a, v in _slides(q, p):
+            a, v = a / a.sum(axis=1, keepdims=True), v / v.sum(axis=1, keepdims=True)
+            d = np_kl(a, v) + np_kl(v, a).T
+            best = d if best is None else np.fmin(best, d)
+        return np.log(best)
+
+
 def either_way(score: Callable, best: Callable) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """The better of a score with a profile and with its reverse complement."""
     return lambda q, p: best(score(q, p), score(q, p[:, ::-1]))

@@ -162,6 +162,11 @@ def m28_symmetric_kl(spark: SparkSession, folder: str) -> DataFrame:
     return sm.score_queries(stranded(spark, folder), {"score": sm.either_way(sm.np_log_symmetric_kl, np.minimum)})
 
 
+def m28_sliding_kl(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``m28_symmetric_kl``, sliding the middle half of one profile over the other."""
+    return sm.score_queries(stranded(spark, folder), {"score": sm.np_sliding_log_kl})
+
+
 def m29_best_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return sm.score_queries(stranded(spark, folder), {"score": sm.np_rotated_kl})
 
@@ -199,7 +204,7 @@ QUERIES = {
     for f in (
         p01_offsets, a12_composite, a21_joint, a20_pseudo_counts, a26_point_profile, w03_moving_average, w04_smoothed, w07_interval, a18_mean_width, w08_interpolated, m10_probabilities,
         m11_lookup, m09_normal_model, a16_distances, a16_weighted, a17_percentiles, m20_squared, m21_kl, m22_pearson, m23_weighted_pearson, m24_cell_scores, m25_best_shift, m26_sliding_pearson,
-        m28_symmetric_kl, m29_best_rotation, m31_distances, a22_exemplars, e17_classified,
+        m28_symmetric_kl, m28_sliding_kl, m29_best_rotation, m31_distances, a22_exemplars, e17_classified,
     )
 }
 
@@ -310,6 +315,11 @@ s AS (SELECT q_id, id, list_sum(list_transform(range(1, len(w) + 1), lambda i: w
 SELECT q_id, id, round(max(s), 8) AS score FROM s GROUP BY ALL""",
     "m26_sliding_pearson": f"""WITH {_PROF}, {_SLIDE}
 SELECT q_id, vec_id AS id, round(max(greatest(list_dot_product(q, v), list_dot_product(q, list_reverse(v)))), 8) AS score FROM m JOIN u ON q_id <> vec_id GROUP BY ALL""",
+    "m28_sliding_kl": f"""WITH {_PROF}, {_SLIDE},
+n AS (SELECT vec_id, s, list_transform(v, lambda x: x / list_sum(v)) AS v FROM w),
+a AS (SELECT vec_id AS q_id, v AS q FROM n WHERE vec_id % 50 = 0 AND s = (SELECT max(s) // 2 FROM n)),
+b AS (SELECT q_id, vec_id AS id, q, unnest([v, list_reverse(v)]) AS v FROM a JOIN n ON q_id <> vec_id)
+SELECT q_id, id, round(ln(min({_kl('q', 'v')} + {_kl('v', 'q')})), 8) AS score FROM b GROUP BY ALL""",
     "m29_best_rotation": f"""WITH {_PROF}, l AS (SELECT q_id, id, p, len(p) // 2 AS n, list_sum(list_transform(q, lambda x: x * ln(x + 1e-12))) AS own, q FROM prs),
 t AS (SELECT q_id, id, own, q, n, list_transform(p, lambda x: ln(x + 1e-12)) AS g, unnest(range(-20, 21)) AS d FROM l),
 k AS (SELECT q_id, id, own - list_sum(list_transform(range(0, n), lambda i: q[i + 1] * g[((i - d) % n + n) % n + 1] + q[n + i + 1] * g[n + ((i - d) % n + n) % n + 1])) AS k FROM t)
