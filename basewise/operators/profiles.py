@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,49 @@ def smoothed(profile: DataFrame, keys: Sequence[str], half: int, sigma: float =
     return moved.where(F.col("offset").between(-half, half)).groupBy(*keys, "offset", "strand").agg(F.sum("value").alias("value"))
 
 
+def spline_weights(knots: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The weight of each knot's value (columns) at each of ``places`` (rows) under the natural cubic spline; at least three knots, evenly spaced."""
+    n, step = len(knots), knots[1] - knots[0]
+    # second derivatives from values: those of the inner knots solve a band of 1, 4, 1
+    second = np.zeros((n, n))
+    band = 4 * np.eye(n - 2) + np.eye(n - 2, k=1) + np.eye(n - 2, k=-1)
+    second[1:-1] = np.linalg.solve(band, (np.eye(n)[:-2] - 2 * np.eye(n)[1:-1] + np.eye(n)[2:]) * 6 / step**2)
+    k = np.clip((places - knots[0]) // step, 0, n - 2).astype(int)
+    b = ((places - knots[k]) / step)[:, None]
+    a = 1 - b
+    return a * np.eye(n)[k] + b * np.eye(n)[k + 1] + ((a**3 - a) * second[k] + (b**3 - b) * second[k + 1]) * step**2 / 6
+
+
+def splined(profile: DataFrame, keys: Sequence[str], half: int, step: int = 10, average: int = 2) -> DataFrame:
+    """A filled ``profile`` on a natural cubic spline through every ``step``-th offset from ``-half``, each the mean of ``average`` offsets to both sides; no value under 0.
+
+    The weights of the knots depend on the width of a profile only and are a few rows.
+    """
+    if not 0 <= 2 * average < step or 2 * half < 2 * step:
+        raise ValueError("a step is longer than what is averaged and fits twice into a profile")
+    knots = np.arange(-half, half + 1, step)
+    weights = spline_weights(knots, np.arange(-half, half + 1))
+    table = profile.sparkSession.createDataFrame([(int(k), w.tolist()) for k, w in zip(knots, weights.T)], "_knot int, _weights array<double>")
+    at = F.floor((F.col("offset") + half + step // 2) / step) * step - half
+    v = profile.withColumn("_knot", at.cast("int")).where(F.abs(F.col("offset") - F.col("_knot")) <= average).groupBy(*keys, "strand", "_knot").agg(F.avg("value").alias("_v"))
+    j = v.join(F.broadcast(table), "_knot").select(*keys, "strand", "_v", F.posexplode("_weights").alias("_at", "_w"))
+    return j.groupBy(*keys, (F.col("_at") - half).alias("offset"), "strand").agg(F.greatest(F.sum(F.col("_v") * F.col("_w")), F.lit(0.0)).alias("value"))
+
+
+def flattened(models: DataFrame, components: DataFrame, densities: DataFrame) -> DataFrame:
+    """``model, offset, strand, value``: the densities of all components with weight around their places, each strand times its responsibility, summed over the width of the model.
+
+    Tables as of ``read_composite_models``. Offsets count from the middle; places outside the
+    width are left out, those no component reaches have no row.
+    """
+    c = components.where("pi > 0").join(densities, ["model", "density"]).join(models, "model")
+    sides = [F.struct(F.lit(s).alias("strand"), F.col(f"{n}_density").alias("p"), F.col(n).alias("r")) for s, n in (("+", "plus"), ("-", "minus"))]
+    c = c.select("model", "position", "width", F.explode(F.array(*sides)).alias("_s")).select("model", "position", "width", F.size("_s.p").alias("_n"), "_s.strand", F.col("_s.r").alias("_r"), F.posexplode("_s.p").alias("_at", "_p"))
+    place = F.col("position") - F.floor(F.col("_n") / 2) + F.col("_at")
+    c = c.withColumn("_place", place).where((F.col("_place") >= 0) & (F.col("_place") < F.col("width")))
+    return c.groupBy("model", (F.col("_place") - F.floor(F.col("width") / 2)).cast("int").alias("offset"), "strand").agg(F.sum(F.col("_p") * F.col("_r")).alias("value"))
+
+
 def moving_average(rows: DataFrame, keys: Sequence[str], order: str, value: str, before: int, after: int) -> DataFrame:
     """``rows`` with ``value`` averaged over the rows around each one."""
     return rows.withColumn(value, F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-before, after)))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from basewise.operators.intervals import small_side
 from basewise.operators.ordered import running_totals
+from basewise.operators.profiles import rank_percentile
+from basewise.session import cut_lineage
 
 BASES = "ACGT"
 
@@ -173,9 +175,12 @@ def random_sequences(ids: DataFrame, model: DataFrame, length: int, seed: int =
     return ids.select(id_column).mapInPandas(run, f"{id_column} bigint, sequence string")
 
 
-def fit_motif(sequences: DataFrame, width: int = 10, iterations: int = 100, epsilon: float = 0.01, seed_word: str | None = None, sequence: str = "sequence") -> tuple[list[list[float]], int]:
+def fit_motif(sequences: DataFrame, width: int = 10, iterations: int = 100, epsilon: float = 0.01, seed_word: str | None = None, sequence: str = "sequence", occupied: float | None = None) -> tuple[list[list[float]], int]:
     """A motif that occurs once in each sequence, by expectation maximisation: probabilities by position, and the rounds taken.
 
+    With ``occupied`` it may also be absent: that is the share of sequences that have it at
+    first, which each round sets anew; absence is as likely as equal bases.
+
     Each round is one pass: partitions sum expected counts under the current matrix and only
     ``width`` times 4 numbers a partition come back. Ends when no probability moves by
     ``epsilon`` or more.
@@ -190,8 +195,8 @@ def fit_motif(sequences: DataFrame, width: int = 10, iterations: int = 100, epsi
     for turn in range(1, iterations + 1):
         table = np.log(np.column_stack([p, np.full(width, 0.25)]))
 
-        def run(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
-            total = np.zeros((width, 5))
+        def run(batches: Iterator[pd.DataFrame], table=table, occupied=occupied) -> Iterator[pd.DataFrame]:
+            total, held = np.zeros((width, 5)), np.zeros(2)
             place = np.arange(width)
             lookup = np.full(128, 4)
             for i, b in enumerate(BASES):
@@ -207,16 +212,25 @@ def fit_motif(sequences: DataFrame, width: int = 10, iterations: int = 100, epsi
                     windows = np.lib.stride_tricks.sliding_window_view(lookup[np.minimum(text, 127)], width, axis=1)
                     ll = table[place, windows].sum(axis=2)
                     ll[np.arange(ll.shape[1]) > (n - width)[:, None]] = -np.inf
-                    z = np.exp(ll - ll.max(axis=1, keepdims=True))
-                    z /= z.sum(axis=1, keepdims=True)
+                    if occupied is None:
+                        z = np.exp(ll - ll.max(axis=1, keepdims=True))
+                        z /= z.sum(axis=1, keepdims=True)
+                    else:
+                        z = np.exp(ll - width * np.log(0.25)) * (occupied / (n - width + 1))[:, None]
+                        z /= 1 - occupied + z.sum(axis=1, keepdims=True)
+                    held += [z.sum(), len(z)]
                     for k in range(width):
                         total[k] += np.bincount(windows[:, :, k].ravel(), z.ravel(), 5)
-            yield pd.DataFrame({"k": np.repeat(place, 4), "b": np.tile(np.arange(4), width), "n": total[:, :4].ravel()})
+            # behind the positions one more: sequences that have the motif, and all
+            yield pd.DataFrame({"k": np.r_[np.repeat(place, 4), width, width], "b": np.r_[np.tile(np.arange(4), width), 0, 1], "n": np.r_[total[:, :4].ravel(), held]})
 
         sums = kept.mapInPandas(run, "k int, b int, n double").groupBy("k", "b").agg(F.sum("n").alias("n")).collect()
-        new = np.full((width, 4), 0.01)
+        new = np.full((width + 1, 4), 0.01)
         for r in sums:
             new[r["k"], r["b"]] += r["n"]
+        if occupied is not None:
+            occupied = min(new[width, 0] / new[width, 1], 0.99)
+        new = new[:width]
         new /= new.sum(axis=1, keepdims=True)
         moved = np.abs(new - p).max()
         p = new
@@ -243,3 +257,51 @@ def roc_auc(rows: DataFrame, keys: Sequence[str], score: str, positive: Column)
     a = c.groupBy(*keys).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum(F.col("_n") * half).alias("_a"))
     area = F.when(F.col("positives") == 0, 0.0).when(F.col("negatives") == 0, 1.0).otherwise(F.try_divide(F.col("_a"), F.col("positives").cast("double") * F.col("negatives")))
     return a.select(*keys, "positives", "negatives", area.alias("auc"))
+
+
+def common_core(sequences: DataFrame, length: int = 6, sequence: str = "sequence") -> str | None:
+    """The word of ``length`` bases that most sequences have, the first in order among equals."""
+    s = F.upper(sequence)
+    words = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(sequence) - length + 1), lambda i: F.substr(s, i, F.lit(length))))
+    w = sequences.where(F.length(sequence) >= length).select(F.explode(words).alias("word")).where(F.col("word").rlike("^[ACGT]+$"))
+    top = w.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").first()
+    return top and top["word"]
+
+
+def discover_motifs(
+    sequences: DataFrame, id_column: str = "line_id", width: int = 10, least_auc: float = 0.7, found_share: float = 0.05, removed_share: float = 0.1, least: int = 25, repeats: float = 0.2, sequence: str = "sequence"
+) -> list[dict]:
+    """Motifs found one after the other: ``p`` (probabilities by position), ``auc``, ``references``, ``removed``.
+
+    Each round fits a motif that sequences may or may not have on the low-repeat sequences left,
+    beginning with their ``common_core`` in its middle, and scores all that are left, and random ones of the same lengths from their Markov model. A motif is kept if its area under
+    the curve is at least ``least_auc`` and more than ``least`` sequences (its references) score
+    over all but ``found_share`` of the random ones; sequences over all but ``removed_share``
+    leave. Ends with the first motif that isn't kept, or with fewer than ``least`` left.
+    Sequences shorter than ``width``, or null, take no part. What a round leaves is written once.
+    """
+    left = cut_lineage(sequences.where(F.length(sequence) >= width).select(F.col(id_column).alias("id"), F.col(sequence).alias("sequence")))
+    n, longest = left.agg(F.count("*"), F.max(F.length("sequence"))).first()
+    if n < least:
+        return []
+    lengths = left.groupBy("id").agg(F.max(F.length("sequence")).alias("_n"))
+    random = random_sequences(lengths, markov_model(left), longest).join(lengths, "id").select(F.substr("sequence", F.lit(1), F.col("_n")).alias("sequence"))
+    random = cut_lineage(random)
+    out = []
+    while n >= least:
+        fitted = left.where(repeat_fraction(F.col("sequence")) <= repeats)
+        core = common_core(fitted, min(6, width))
+        p, _ = fit_motif(fitted, width, seed_word=core and core.center(width, "N"), occupied=0.5)
+        odds = np.log2(np.array(p) / 0.25)
+        motif = left.sparkSession.createDataFrame([(width, np.column_stack([odds.min(axis=1), odds]).tolist())], "motif int, weights array<array<double>>")
+        own = cut_lineage(best_match(left, motif).select("id", "sequence", "motif", "score"))
+        other = cut_lineage(best_match(random, motif).select("motif", "score"))
+        both = own.select("motif", "score", F.lit(True).alias("own")).unionByName(other.withColumn("own", F.lit(False)))
+        auc = roc_auc(both, ["motif"], "score", F.col("own")).first()["auc"]
+        bounds = [rank_percentile(other, ["motif"], "score", 1 - share).first()["value"] for share in (found_share, removed_share)]
+        references, removed = own.agg(F.count_if(F.col("score") >= bounds[0]), F.count_if(F.col("score") >= bounds[1])).first()
+        if auc < least_auc or references <= least:
+            break
+        out.append({"p": p, "auc": auc, "references": references, "removed": removed})
+        left, n = own.where(F.col("score") < bounds[1]).select("id", "sequence"), n - removed
+    return out

@@ -13,7 +13,7 @@ from basewise.operators import significance as sg
 from basewise.operators import simulate
 from basewise.operators.ordered import numbered
 from basewise.operators.profiles import composite
-from basewise.plans.profiles import label_means, points, stranded
+from basewise.plans.profiles import label_means, m25_best_shift, points, stranded
 from basewise.plans.regions import e06_noise_shares, m02_alphas
 from basewise.plans.sequences import e13_motif_offsets
 from basewise.session import cut_lineage
@@ -163,6 +163,21 @@ def j16_members(spark: SparkSession, folder: str) -> DataFrame:
     return m.groupBy("exemplar", "place").agg(F.avg("value").alias("value"), F.count("*").alias("members"))
 
 
+def k12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each exemplar with its members, those turned, the range of their shifts and those of another label than its own."""
+    s = stranded(spark, folder).select("vec_id", "label")
+    m = e08_exemplars(spark, folder).join(s, "vec_id").join(s.select(F.col("vec_id").alias("exemplar"), F.col("label").alias("_own")), "exemplar")
+    return m.groupBy("exemplar").agg(
+        F.count("*").alias("members"), F.count_if("reverse").alias("turned"), F.min("shift").alias("least_shift"), F.max("shift").alias("most_shift"),
+        F.count_if(~F.col("label").eqNullSafe(F.col("_own"))).alias("other_label"),
+    )
+
+
+def k23_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each shift and orientation is the best of a pair (M25)."""
+    return m25_best_shift(spark, folder).groupBy("shift", "reverse").agg(F.count("*").alias("pairs"))
+
+
 def e12_merged(spark: SparkSession, folder: str) -> DataFrame:
     """Labels whose mean profiles are alike, the closest first, merged into the larger; log divergence below -10."""
     s = stranded(spark, folder)
@@ -186,7 +201,7 @@ def s21_simulated_reads(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        e01_components, e02_subtypes, e03_subtypes_assigned, e04_assigned, a14_read_profiles, k04_subtype_events, k06_subtype_table, k07_aligned_events, o05_component_order, e07_rounds, e08_exemplars, j16_members,
+        e01_components, e02_subtypes, e03_subtypes_assigned, e04_assigned, a14_read_profiles, k04_subtype_events, k06_subtype_table, k07_aligned_events, o05_component_order, e07_rounds, e08_exemplars, j16_members, k12_clusters, k23_offsets,
         e12_merged, e14_k_means, m27_alignments, s21_simulated_reads,
     )
 }

@@ -67,6 +67,11 @@ def w04_smoothed(spark: SparkSession, folder: str) -> DataFrame:
     return pf.smoothed(_composite(spark, folder), ["cond_id"], HALF).withColumn("value", F.round("value", 9))
 
 
+def w04_spline(spark: SparkSession, folder: str) -> DataFrame:
+    """Composites on a cubic spline through the mean of five offsets, every ten."""
+    return pf.splined(pf.filled(_composite(spark, folder), ["cond_id"], HALF), ["cond_id"], HALF).withColumn("value", F.round("value", 9))
+
+
 def w07_interval(spark: SparkSession, folder: str) -> DataFrame:
     return pf.central_interval(_composite(spark, folder), ["cond_id"])
 
@@ -202,7 +207,7 @@ def e17_classified(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p01_offsets, a12_composite, a21_joint, a20_pseudo_counts, a26_point_profile, w03_moving_average, w04_smoothed, w07_interval, a18_mean_width, w08_interpolated, m10_probabilities,
+        p01_offsets, a12_composite, a21_joint, a20_pseudo_counts, a26_point_profile, w03_moving_average, w04_smoothed, w04_spline, w07_interval, a18_mean_width, w08_interpolated, m10_probabilities,
         m11_lookup, m09_normal_model, a16_distances, a16_weighted, a17_percentiles, m20_squared, m21_kl, m22_pearson, m23_weighted_pearson, m24_cell_scores, m25_best_shift, m26_sliding_pearson,
         m28_symmetric_kl, m28_sliding_kl, m29_best_rotation, m31_distances, a22_exemplars, e17_classified,
     )

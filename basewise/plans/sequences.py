@@ -93,6 +93,13 @@ def e16_motif(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(k, *row) for k, row in enumerate(p)], "position int, a double, c double, g double, t double")
 
 
+def e09_motifs(spark: SparkSession, folder: str) -> DataFrame:
+    """Motifs found one after the other among the sequences that no motif before explains, by position."""
+    found = sq.discover_motifs(motif_sequences(spark, folder))
+    rows = [(m, k, *row, d["auc"], d["references"], d["removed"]) for m, d in enumerate(found) for k, row in enumerate(d["p"])]
+    return spark.createDataFrame(rows, "motif int, position int, a double, c double, g double, t double, auc double, references bigint, removed bigint")
+
+
 def e13_motif_offsets(spark: SparkSession, folder: str) -> DataFrame:
     """Offset and orientation of the motif of each length against the shortest one (M30)."""
     return sq.align_motifs(sq.motif_frequencies(motif_sequences(spark, folder)))
@@ -125,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f11_low_repeat, o02_first_low_repeat, t05_reverse_complement, t07_base_index, a25_frequencies, a24_information, t06_consensus, t01_best_match, t02_matched_words, t04_threshold,
-        t03_over_threshold, s03_markov, s20_random_sequences, e13_motif_offsets, j18_motif_scores, e16_motif, a23_auc, w06_roc,
+        t03_over_threshold, s03_markov, s20_random_sequences, e09_motifs, e13_motif_offsets, j18_motif_scores, e16_motif, a23_auc, w06_roc,
     )
 } | {"a25_all_frequencies": a25_frequencies, "a24_all_information": a24_information, "t06_whole_consensus": t06_consensus}
 

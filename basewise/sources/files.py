@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from pathlib import Path
 
@@ -198,6 +199,42 @@ def write_sequences(rows: DataFrame, path: str, label: str = "label", sequence:
     rows.select(F.concat(F.lit(">"), F.col(label), F.lit("\n"), F.col(sequence)).alias("value")).write.mode("overwrite").text(path)
 
 
+# How lines of a saved composite model begin.
+MODEL_LINE, COMPONENT_LINE, DENSITY_LINE = "#ProteinDNAInteractionModel", "#CompositeModelComponent", "#TagProbabilityDensity"
+
+
+def read_composite_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved composite models, one a file: ``model, width, centre``; ``model, component, label, position, pi, density, plus, minus``; ``model, density, left, right, plus_density, minus_density``.
+
+    ``model`` is the name of the file. A density is two lines behind its heading, for plus and
+    minus: its values, or the offset and deviation of a normal curve, which is taken from
+    ``left`` on. Lines of another kind are passed by; one with a wrong number of fields is an error.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("model"), F.split("value", "\\r?\\n").alias("lines"))
+    lines = whole.select("model", "lines", F.posexplode("lines").alias("_at", "_line")).withColumn("_f", F.split("_line", ","))
+
+    def of(kind: str, fields: int) -> DataFrame:
+        d = lines.where(F.get("_f", F.lit(0)) == kind)
+        return d.withColumn("_f", F.when(F.size("_f") == fields, F.col("_f")).otherwise(F.raise_error(F.concat(F.lit("unexpected fields: "), F.col("_line"))).cast("array<string>")))
+
+    at = lambda k, kind: F.get("_f", F.lit(k)).cast(kind)
+    models = of(MODEL_LINE, 4).select("model", at(1, "int").alias("width"), at(2, "int").alias("centre"))
+    components = of(COMPONENT_LINE, 10).select(
+        "model", at(1, "int").alias("component"), at(2, "string").alias("label"), at(3, "int").alias("position"), at(4, "double").alias("pi"), at(5, "int").alias("density"), at(8, "double").alias("plus"), at(9, "double").alias("minus")
+    )
+
+    def values(behind: int) -> Column:
+        f = F.split(F.get("lines", F.col("_at") + behind), ",")
+        given = F.transform(F.slice(f, 2, F.col("_n")), lambda v: v.cast("double"))
+        middle, sigma = F.get(f, F.lit(1)).cast("double"), F.get(f, F.lit(2)).cast("double")
+        curve = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.exp(-0.5 * F.pow((F.col("left") + i - middle) / sigma, F.lit(2.0))) / (sigma * math.sqrt(2 * math.pi)))
+        return F.when(F.get(f, F.lit(0)).startswith("Gaussian"), curve).otherwise(given)
+
+    densities = of(DENSITY_LINE, 5).withColumn("left", at(2, "int")).withColumn("_n", at(4, "int"))
+    densities = densities.select("model", at(1, "int").alias("density"), "left", at(3, "int").alias("right"), values(1).alias("plus_density"), values(2).alias("minus_density"))
+    return models, components, densities
+
+
 def save_model(path: str, model: np.ndarray) -> None:
     """A model (forms, strands, distances) as lines of comma-separated numbers under one heading a form."""
     parts = []

@@ -103,3 +103,45 @@ def test_point_lists_and_sequences(spark, tmp_path):
     assert fl.read_point_lists(spark, str(tmp_path / "none")).count() == 0
     fl.write_sequences(spark.createDataFrame([("1:1-4", "ACGT"), ("1:5-6", "NN")], "label string, sequence string"), str(tmp_path / "seq"))
     assert {r["value"] for r in spark.read.text(str(tmp_path / "seq")).collect()} == {">1:1-4", "ACGT", ">1:5-6", "NN"}
+
+
+SAVED = """#ProteinDNAInteractionModel,9,4,3
+#CompositeWatson,9,1,2,3
+#CompositeModelComponent,0,CS,4,0.5,0,true,true,2.0,3.0
+#CompositeModelComponent,1,Back,4,0.0,0,false,true,1.0,1.0
+#CompositeModelComponent,2,XL,1,0.5,1,false,true,1.0,4.0
+#TagProbabilityDensity,0,-1,1,3
+EmpiricalW,0.1,0.7,0.2
+EmpiricalC,0.3,0.3,0.4
+#TagProbabilityDensity,1,-2,2,5
+GaussianW,0,1
+GaussianC,1,2
+"""
+
+
+def test_saved_composite_models(spark, tmp_path):
+    from basewise.operators.profiles import flattened
+
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.model").write_text(SAVED)
+    (tmp_path / "m" / "b.model").write_text(SAVED.replace("\n", "\r\n").replace("0.5,1,false", "0,1,false"))
+    models, components, densities = fl.read_composite_models(spark, str(tmp_path / "m"))
+    assert {tuple(r) for r in models.collect()} == {("a.model", 9, 4), ("b.model", 9, 4)}
+    assert components.count() == 6 and densities.count() == 4
+    normal = lambda d, m, s: np.exp(-0.5 * ((d - m) / s) ** 2) / (s * np.sqrt(2 * np.pi))
+    d = np.arange(-2, 3)
+    table = {0: ([0.1, 0.7, 0.2], [0.3, 0.3, 0.4]), 1: (normal(d, 0, 1), normal(d, 1, 2))}
+    got = {(r["model"], r["offset"], r["strand"]): r["value"] for r in flattened(models, components, densities).collect()}
+    want = {}
+    for name, parts in (("a.model", [(4, 0, 2.0, 3.0), (1, 1, 1.0, 4.0)]), ("b.model", [(4, 0, 2.0, 3.0)])):
+        for position, k, plus, minus in parts:
+            for strand, p, r in zip("+-", table[k], (plus, minus)):
+                for i, x in enumerate(p):
+                    place = position - len(p) // 2 + i
+                    if 0 <= place < 9:
+                        key = name, place - 4, strand
+                        want[key] = want.get(key, 0) + x * r
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    (tmp_path / "bad.model").write_text(SAVED.replace("2.0,3.0", "2.0"))
+    with pytest.raises(Exception, match="unexpected fields"):
+        fl.read_composite_models(spark, str(tmp_path / "bad.model"))[1].collect()

@@ -183,7 +183,7 @@ def test_merge_models(spark):
 def test_motif_fit_finds_a_planted_word(spark):
     rnd = random.Random(4)
     rows = []
-    for i in range(200):
+    for i in range(210):
         s = "".join(rnd.choice("ACGT") for _ in range(30))
         k = rnd.randint(0, 22)
         rows.append((i, s[:k] + "TTGACGCA" + s[k + 8 :]))
@@ -272,3 +272,57 @@ def test_shifts_of_up_to_25_are_found(spark):
     assert abs(r["shift"]) == 18 and not r["reverse"] and r["distance"] < 1e-3
     d = sm.shifted_distances(np.array([one(4), one(22)]), 25, 1.0)
     assert d[0, 1] < 1e-3 and (d == d.T).all()
+
+
+def test_motifs_are_found_one_after_the_other(spark):
+    rng = np.random.default_rng(21)
+    planted = ["TTGACTCAGC", "GGCCAATCTA"]
+    rows = []
+    for i in range(210):
+        t = "".join(rng.choice(list("ACGT"), 30))
+        if i < 200:
+            at = int(rng.integers(0, 20))
+            t = t[:at] + planted[i >= 150] + t[at + 10 :]
+        rows.append((i, t))
+    rows += [(300, None), (301, "ACG"), (302, ""), (303, "NNNNNNNNNNNNN"), (304, "acgtnacgtnacgtn")]
+    found = sq.discover_motifs(spark.createDataFrame(rows, "line_id bigint, sequence string"))
+    words = ["".join("ACGT"[int(np.argmax(r))] for r in d["p"]) for d in found]
+    # each planted motif by at least its eight middle bases, the commoner one first
+    assert any(planted[0][k : k + 8] in words[0] for k in range(3)) and any(planted[1][k : k + 8] in words[1] for k in range(3))
+    assert found[0]["references"] >= 140 and found[1]["references"] >= 40 and all(d["auc"] >= 0.7 and d["removed"] >= d["references"] for d in found)
+    assert sq.discover_motifs(spark.createDataFrame(rows[-5:], "line_id bigint, sequence string")) == []
+
+
+def test_common_core(spark):
+    df = spark.createDataFrame([("ACGTAC",), ("acgtac",), ("TTTTTTTT",), ("NNNNNN",), (None,), ("",)], "sequence string")
+    assert sq.common_core(df, 4) == "ACGT" and sq.common_core(df, 9) is None
+
+
+def test_spline(spark):
+    from basewise.operators import profiles as pf
+
+    places = np.arange(-100, 101)
+    knots = np.arange(-100, 101, 10)
+    w = pf.spline_weights(knots, places)
+    y = np.random.default_rng(2).random(len(knots))
+    curve = w @ y
+    assert np.allclose(curve[::10], y) and np.allclose(w @ (3 * knots + 7.0), 3 * places + 7.0)
+    # first and second derivatives agree on both sides of a knot, and the second is 0 at the ends
+    fine = lambda x: (pf.spline_weights(knots.astype(float), np.asarray(x, float)) @ y)
+    e = 1e-3
+    for k in knots[1:-1].astype(float):
+        left, right = fine([k - 2 * e, k - e, k]), fine([k, k + e, k + 2 * e])
+        assert abs((left[2] - left[1]) - (right[1] - right[0])) < 1e-5
+        assert abs((left[0] - 2 * left[1] + left[2]) - (right[0] - 2 * right[1] + right[2])) < 1e-8
+    ends = fine([-100, -100 + e, -100 + 2 * e])
+    assert abs(ends[0] - 2 * ends[1] + ends[2]) < 1e-8
+    v = {(o, s): float(i % 7) for i, (o, s) in enumerate((o, s) for o in range(-30, 31) for s in "+-")}
+    df = spark.createDataFrame([(1, o, s, x) for (o, s), x in v.items()], "k int, offset int, strand string, value double")
+    got = {(r["offset"], r["strand"]): r["value"] for r in pf.splined(df, ["k"], 30).collect()}
+    k = np.arange(-30, 31, 10)
+    for s in "+-":
+        means = [np.mean([v[o, s] for o in range(a - 2, a + 3) if abs(o) <= 30]) for a in k]
+        want = np.maximum(pf.spline_weights(k, np.arange(-30, 31)) @ means, 0)
+        assert np.allclose([got[o, s] for o in range(-30, 31)], want)
+    with pytest.raises(ValueError):
+        pf.splined(df, ["k"], 30, step=4, average=2)

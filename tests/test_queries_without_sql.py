@@ -88,6 +88,48 @@ def test_s20(spark):
     assert sorted(rows) == sorted(query(spark, "s20_random_sequences").collect())
 
 
+@checks("e09_motifs")
+def test_e09(spark):
+    """Motifs are whole matrices; each explains its references, and together no more sequences than there are."""
+    rows = query(spark, "e09_motifs").collect()
+    n = sequences.motif_sequences(spark, FOLDER).where("length(sequence) >= 10").count()
+    each = {}
+    for r in rows:
+        assert r["a"] + r["c"] + r["g"] + r["t"] == pytest.approx(1) and r["auc"] >= 0.7 and 25 < r["references"] <= r["removed"]
+        each.setdefault(r["motif"], []).append(r)
+    assert sorted(each) == list(range(len(each))) and all(sorted(r["position"] for r in m) == list(range(10)) for m in each.values())
+    assert sum(m[0]["removed"] for m in each.values()) <= n
+
+
+@checks("w04_spline")
+def test_w04_spline(spark):
+    """Every condition has the whole profile of both strands, through the means at its knots."""
+    rows = query(spark, "w04_spline").collect()
+    given = {(r["cond_id"], r["offset"], r["strand"]): r["value"] for r in profiles._composite(spark, FOLDER).collect()}
+    got = {(r["cond_id"], r["offset"], r["strand"]): r["value"] for r in rows}
+    conds = {c for c, _, _ in given}
+    assert got.keys() == {(c, o, s) for c in conds for o in range(-100, 101) for s in "+-"}
+    for (c, o, s), x in got.items():
+        if o % 10 == 0:
+            near = [given.get((c, q, s), 0.0) for q in range(o - 2, o + 3) if abs(q) <= 100]
+            assert x == pytest.approx(np.mean(near), abs=1e-8)
+
+
+@checks("k12_clusters")
+def test_k12(spark, vectors):
+    rows = query(spark, "k12_clusters").collect()
+    assert sum(r["members"] for r in rows) == len(vectors[0])
+    assert all(r["other_label"] < r["members"] and r["turned"] < r["members"] and r["least_shift"] <= 0 <= r["most_shift"] for r in rows)
+
+
+@checks("k23_offsets")
+def test_k23(spark):
+    rows = query(spark, "k23_offsets").collect()
+    pairs = query(spark, "m25_best_shift").groupBy("shift", "reverse").count().collect()
+    assert {(r["shift"], r["reverse"]): r["pairs"] for r in rows} == {(r["shift"], r["reverse"]): r["count"] for r in pairs}
+    assert all(abs(r["shift"]) <= 25 for r in rows)
+
+
 @checks("e16_motif")
 def test_e16(spark):
     rows = query(spark, "e16_motif").orderBy("position").collect()
