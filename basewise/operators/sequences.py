@@ -271,13 +271,14 @@ def common_core(sequences: DataFrame, length: int = 6, sequence: str = "sequence
 def discover_motifs(
     sequences: DataFrame, id_column: str = "line_id", width: int = 10, least_auc: float = 0.7, found_share: float = 0.05, removed_share: float = 0.1, least: int = 25, repeats: float = 0.2, sequence: str = "sequence"
 ) -> list[dict]:
-    """Motifs found one after the other: ``p`` (probabilities by position), ``auc``, ``references``, ``removed``.
+    """Motifs tried one after the other: ``p`` (probabilities by position), ``auc``, ``references``, ``removed``, ``kept``.
 
     Each round fits a motif that sequences may or may not have on the low-repeat sequences left,
     beginning with their ``common_core`` in its middle, and scores all that are left, and random ones of the same lengths from their Markov model. A motif is kept if its area under
     the curve is at least ``least_auc`` and more than ``least`` sequences (its references) score
     over all but ``found_share`` of the random ones; sequences over all but ``removed_share``
-    leave. Ends with the first motif that isn't kept, or with fewer than ``least`` left.
+    leave. Ends with the first motif that isn't kept, which is the last one told, or with fewer
+    than ``least`` left.
     Sequences shorter than ``width``, or null, take no part. What a round leaves is written once.
     """
     left = cut_lineage(sequences.where(F.length(sequence) >= width).select(F.col(id_column).alias("id"), F.col(sequence).alias("sequence")))
@@ -300,8 +301,9 @@ def discover_motifs(
         auc = roc_auc(both, ["motif"], "score", F.col("own")).first()["auc"]
         bounds = [rank_percentile(other, ["motif"], "score", 1 - share).first()["value"] for share in (found_share, removed_share)]
         references, removed = own.agg(F.count_if(F.col("score") >= bounds[0]), F.count_if(F.col("score") >= bounds[1])).first()
-        if auc < least_auc or references <= least:
+        kept = auc >= least_auc and references > least
+        out.append({"p": p, "auc": auc, "references": references, "removed": removed if kept else 0, "kept": kept})
+        if not kept:
             break
-        out.append({"p": p, "auc": auc, "references": references, "removed": removed})
         left, n = own.where(F.col("score") < bounds[1]).select("id", "sequence"), n - removed
     return out

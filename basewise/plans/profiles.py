@@ -281,7 +281,14 @@ m AS (SELECT vec_id AS q_id, v AS q FROM u WHERE vec_id % 50 = 0 AND s = (SELECT
 _MEANS = """mn AS (SELECT label, i, avg(p[i]) AS v FROM (SELECT label, p, unnest(range(1, len(p) + 1)) AS i FROM pro) GROUP BY ALL),
 mdl AS (SELECT label AS model, list(v ORDER BY i) AS m FROM mn GROUP BY 1)"""
 
+# The weights of a spline are constants of its width; tests hold them against the conditions that make a spline.
+_KNOTS = np.arange(-HALF, HALF + 1, 10)
+_SPLINE = ", ".join(f"({k}, [{', '.join(f'{x:.17e}' for x in w)}])" for k, w in zip(_KNOTS, pf.spline_weights(_KNOTS, np.arange(-HALF, HALF + 1)).T))
+
 SQL = {
+    "w04_spline": f"""WITH {_COMP}, kn AS (SELECT * FROM (VALUES {_SPLINE}) AS t(knot, ws)),
+kv AS (SELECT cond_id, strand, knot, avg(value) AS v, any_value(ws) AS ws FROM fil JOIN kn ON abs("offset" - knot) <= 2 GROUP BY cond_id, strand, knot)
+SELECT cond_id, CAST(i - 1 - {HALF} AS INTEGER) AS "offset", strand, round(greatest(sum(v * ws[i]), 0), 9) AS value FROM (SELECT *, unnest(range(1, {2 * HALF + 2})) AS i FROM kv) GROUP BY ALL""",
     "p01_offsets": f"WITH {_COMP} SELECT * FROM cmp",
     "a12_composite": f'WITH {_COMP} SELECT cond_id, "offset", strand, round(value / sum(value) OVER (PARTITION BY cond_id, strand), 9) AS value FROM cmp',
     "a21_joint": f'WITH {_COMP} SELECT cond_id, "offset", strand, round(greatest(value, 1e-20) / sum(greatest(value, 1e-20)) OVER (PARTITION BY cond_id), 9) AS value FROM fil',

@@ -94,10 +94,10 @@ def e16_motif(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def e09_motifs(spark: SparkSession, folder: str) -> DataFrame:
-    """Motifs found one after the other among the sequences that no motif before explains, by position."""
+    """Motifs found one after the other among the sequences that no motif before explains, by position; the last one tried may not be kept."""
     found = sq.discover_motifs(motif_sequences(spark, folder))
-    rows = [(m, k, *row, d["auc"], d["references"], d["removed"]) for m, d in enumerate(found) for k, row in enumerate(d["p"])]
-    return spark.createDataFrame(rows, "motif int, position int, a double, c double, g double, t double, auc double, references bigint, removed bigint")
+    rows = [(m, k, *row, d["auc"], d["references"], d["removed"], d["kept"]) for m, d in enumerate(found) for k, row in enumerate(d["p"])]
+    return spark.createDataFrame(rows, "motif int, position int, a double, c double, g double, t double, auc double, references bigint, removed bigint, kept boolean")
 
 
 def e13_motif_offsets(spark: SparkSession, folder: str) -> DataFrame:

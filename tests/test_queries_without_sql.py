@@ -89,19 +89,21 @@ def test_s20(spark):
 
 
 @checks("e09_motifs")
-def test_e09(spark):
-    """Motifs are whole matrices; each explains its references, and together no more sequences than there are."""
-    rows = query(spark, "e09_motifs").collect()
-    n = sequences.motif_sequences(spark, FOLDER).where("length(sequence) >= 10").count()
-    each = {}
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_e09(spark, folder):
+    """Motifs are whole matrices, all but the last tried are kept, and together they remove no more sequences than there are; fewer than 25 sequences have none."""
+    rows = QUERIES["e09_motifs"](spark, folder).collect()
+    n = sequences.motif_sequences(spark, folder).where("length(sequence) >= 10").count()
+    assert bool(rows) == (n >= 25)
+    each, last = {}, max((r["motif"] for r in rows), default=None)
     for r in rows:
-        assert r["a"] + r["c"] + r["g"] + r["t"] == pytest.approx(1) and r["auc"] >= 0.7 and 25 < r["references"] <= r["removed"]
+        assert r["a"] + r["c"] + r["g"] + r["t"] == pytest.approx(1)
+        assert r["auc"] >= 0.7 and 25 < r["references"] <= r["removed"] if r["kept"] else r["motif"] == last and (r["auc"] < 0.7 or r["references"] <= 25)
         each.setdefault(r["motif"], []).append(r)
     assert sorted(each) == list(range(len(each))) and all(sorted(r["position"] for r in m) == list(range(10)) for m in each.values())
     assert sum(m[0]["removed"] for m in each.values()) <= n
 
 
-@checks("w04_spline")
 def test_w04_spline(spark):
     """Every condition has the whole profile of both strands, through the means at its knots."""
     rows = query(spark, "w04_spline").collect()
