@@ -13,8 +13,14 @@ with subtypes each has two, as given and as its reverse complement.
 
 from __future__ import annotations
 
+import dataclasses
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +32,8 @@ MARGIN = 200
 #: iterations without sparseness, until it is fully on, and at most; equal states that end a fit
 PLAIN, ANNEALED, MOST, EQUAL = 50, 100, 2000, 3
 TINY = 1e-300
-#: numbers of a region's table of densities that are kept at most; a denser region computes them each round
-KEPT = 4_000_000
+#: scores of moves that are held at once, but at least those of one form of a component; pairs of a hit and a form with which a round has work enough
+KEPT, PAIRS = 250000, 200_000
 
 
 def normal_model(sigma: float = 20.0, shift: float = 0.0, reach: int = 100) -> np.ndarray:
@@ -95,6 +101,311 @@ def _density(model: np.ndarray, minus: np.ndarray, distance: np.ndarray) -> np.n
     return np.where(inside, model[form, minus.astype(int), np.clip(distance + reach, 0, 2 * reach)], 0.0)
 
 
+@dataclasses.dataclass
+class Parts:
+    """Counts of several parts side by side, sorted by part and place: ``x, minus, sig, ctrl`` of each hit and its part in ``of``; of each part its number in ``part``, ``start``, ``end``, ``noise`` and ``alpha``."""
+
+    of: np.ndarray
+    x: np.ndarray
+    minus: np.ndarray
+    sig: np.ndarray
+    ctrl: np.ndarray
+    part: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    noise: np.ndarray
+    alpha: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.part)
+
+    def hits(self, keep: np.ndarray) -> Parts:
+        each = {f: getattr(self, f)[keep] for f in ("of", "x", "minus", "sig", "ctrl")}
+        return dataclasses.replace(self, **each)
+
+    def parts(self, keep: np.ndarray) -> Parts:
+        """The parts that a mask keeps, numbered anew."""
+        number = np.cumsum(keep) - 1
+        inside = keep[self.of]
+        each = {f: getattr(self, f)[inside] for f in ("x", "minus", "sig", "ctrl")}
+        return Parts(of=number[self.of[inside]], **each, **{f: getattr(self, f)[keep] for f in ("part", "start", "end", "noise", "alpha")})
+
+    @staticmethod
+    def joined(all_: list[Parts]) -> Parts:
+        shift = np.cumsum([0] + [len(p) for p in all_[:-1]])
+        rest = {f.name: np.concatenate([getattr(p, f.name) for p in all_]) for f in dataclasses.fields(Parts) if f.name != "of"}
+        return Parts(of=np.concatenate([p.of + s for p, s in zip(all_, shift)]), **rest)
+
+
+#: keys of places: far more than the bases of a part
+_APART = 1 << 33
+
+
+class _Reach:
+    """Finds the hits within reach of places; hits and places count from the start of their part."""
+
+    def __init__(self, p: Parts, model: np.ndarray) -> None:
+        self.reach, self.span = model.shape[2] // 2, model.shape[2]
+        at = p.x - p.start[p.of]
+        self.key = p.of * _APART + at
+        self.code = at + p.minus * self.span
+        self.flat = np.ascontiguousarray(model).ravel()
+
+    def pairs(self, of: np.ndarray, form: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, hit and cell of the model for every pair within reach, ordered by place."""
+        k = of * _APART + place
+        low = np.searchsorted(self.key, k - self.reach)
+        n = np.searchsorted(self.key, k + self.reach, "right") - low
+        row = np.repeat(np.arange(len(k)), n)
+        hit = np.arange(len(row)) + (low - np.cumsum(n) + n)[row]
+        return row, hit, self.code[hit] + (form * 2 * self.span + self.reach - place)[row]
+
+
+class _Fits:
+    """Fits of many parts at once, each as ``fit`` has it: one ``step`` is a round of every part that is not done."""
+
+    def __init__(self, model: np.ndarray, beta: float) -> None:
+        self.model, self.beta, self.forms = model, beta, len(model)
+        reach, span = model.shape[2] // 2, model.shape[2]
+        # log density of a hit at each distance after each move
+        far = np.full((*model.shape[:2], span + 2 * MOVE), np.log2(TINY))
+        far[:, :, MOVE : MOVE + span] = np.log2(np.maximum(model, TINY))
+        moved = np.lib.stride_tricks.sliding_window_view(far, 2 * MOVE + 1, axis=2)[..., ::-1]
+        self.scores = np.ascontiguousarray(moved).reshape(-1, 2 * MOVE + 1)
+        self.pairs_before = 0
+        self.p = self.reach = None
+
+    def add(self, p: Parts, at: np.ndarray | None = None) -> None:
+        """Start to fit ``p``, parts with signal only, from a component every ``SPACING`` bases or ``at`` places of the only part."""
+        n = np.maximum((p.end - p.start) // SPACING + 1, 0) if at is None else np.array([len(at)])
+        n = np.where(np.bincount(p.of, p.sig, len(p)) <= p.alpha, 0, n)  # all would go, one by one
+        of = np.repeat(np.arange(len(p)), n)
+        place = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * SPACING if at is None else (at - p.start[0])[: len(of)]
+        new = {
+            "of": of, "mu": np.repeat(place[:, None], self.forms, axis=1), "pi": ((1 - p.noise) / np.maximum(n, 1))[of], "tau": np.full((len(of), self.forms), 1.0 / self.forms),
+            "t": np.zeros(len(p), np.int64), "equal": np.zeros(len(p), np.int64), "rounds": np.zeros(len(p), np.int64),
+        }
+        new["was"] = (new["mu"], np.full(len(of), np.nan), new["tau"])
+        if self.p is not None and len(self.p):
+            new["of"] = of + len(self.p)
+            p = Parts.joined([self.p, p])
+            new = {k: tuple(np.concatenate(z) for z in zip(getattr(self, k), v)) if k == "was" else np.concatenate([getattr(self, k), v]) for k, v in new.items()}
+        self.__dict__.update(new)
+        self._place(p)
+
+    def _place(self, p: Parts) -> None:
+        self.p = p
+        own = p.hits(p.sig > 0)
+        self.hit_of, self.count = own.of, own.sig
+        self.reach = _Reach(own, self.model)
+        self.width = p.end - p.start + 1
+        self.floor = (p.noise / self.width / 2)[own.of]
+
+    def _take(self, keep: np.ndarray) -> None:
+        self.of, self.mu, self.pi, self.tau = self.of[keep], self.mu[keep], self.pi[keep], self.tau[keep]
+        self.was = tuple(x[keep] for x in self.was)
+
+    def done(self) -> tuple[Parts, tuple[np.ndarray, ...]] | None:
+        """Parts that have ended, with ``of, mu, pi, tau`` of their components; they are let go."""
+        live = np.bincount(self.of, minlength=len(self.p)) > 0
+        ended = ~live | (self.rounds >= MOST) | ((self.t > ANNEALED) & (self.equal >= EQUAL))
+        if not ended.any():
+            return None
+        mine = ended[self.of]
+        out = self.p.parts(ended), ((np.cumsum(ended) - 1)[self.of[mine]], self.mu[mine], self.pi[mine], self.tau[mine])
+        self._take(~mine)
+        self.of = (np.cumsum(~ended) - 1)[self.of]
+        self.t, self.equal, self.rounds = self.t[~ended], self.equal[~ended], self.rounds[~ended]
+        self._place(self.p.parts(~ended))
+        return out
+
+    def _best_moves(self, row: np.ndarray, cell: np.ndarray, weighted: np.ndarray, place: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The best move for each row, of ``place`` in a part of ``width``; no move for rows without pairs. Scores of at most ``KEPT`` numbers are held at once, or of one row."""
+        best = np.full(len(place), MOVE)
+        n = np.bincount(row, minlength=len(place))
+        first = np.cumsum(n) - n
+        rows = np.argsort(n, kind="stable")
+        rows = rows[np.searchsorted(n[rows], 1) :]
+        moves, i = 2 * MOVE + 1, 0
+        while i < len(rows):
+            # rows of about as many pairs; those of fewer have a weight of 0 for the rest
+            k = i + max(KEPT // (int(n[rows[i]]) * moves), 1)
+            k = i + max(KEPT // (int(n[rows[min(k, len(rows)) - 1]]) * moves), 1)
+            r = rows[i:k]
+            place_in = np.arange(n[r[-1]])
+            own = place_in < n[r, None]
+            at = np.where(own, first[r, None] + place_in, 0)
+            score = np.matmul(np.where(own, weighted[at], 0.0)[:, None], self.scores.take(cell[at], axis=0))[:, 0]
+            score *= 1e9
+            np.rint(score, out=score)
+            edge = np.flatnonzero((place[r] < MOVE) | (place[r] >= width[r] - MOVE))
+            to = place[r[edge], None] + np.arange(-MOVE, MOVE + 1)
+            score[edge] = np.where((to < 0) | (to >= width[r[edge], None]), -np.inf, score[edge])
+            best[r] = np.argmax(score, axis=1)
+            i = k
+        return best - MOVE
+
+    def step(self) -> None:
+        """One round; every part has a component."""
+        forms, parts = self.forms, len(self.p)
+        noise, alpha = self.p.noise, self.p.alpha
+        ease = np.clip((self.t - PLAIN) / (ANNEALED - PLAIN), 0.0, 1.0)
+        sizes = np.bincount(self.of, minlength=parts)
+        self.rounds += 1
+        # share hits
+        live = np.flatnonzero(self.tau.ravel() > 0)
+        c, form = live // forms, live % forms
+        place = self.mu[c, form]
+        row, hit, cell = self.reach.pairs(self.of[c], form, place)
+        self.pairs_before = len(row)
+        h = self.reach.flat[cell] * (self.pi[c] * self.tau[c, form])[row]
+        weighted = h / (np.bincount(hit, h, len(self.count)) + self.floor)[hit] * self.count[hit]
+        r = np.zeros(self.mu.size)
+        r[live] = np.bincount(row, weighted, len(live))
+        # move
+        held = np.flatnonzero(weighted > 0)
+        self.mu[c, form] = place + self._best_moves(row[held], cell[held], weighted[held], place, self.width[self.of[c]])
+        r = r.reshape(-1, forms)
+        reached = r.sum(axis=1) > 0
+        if not reached.all():  # no hit within reach, now or later
+            self._take(reached)
+            r = r[reached]
+        if not len(self.of):
+            return
+        # merge
+        key = self.of * _APART + (self.mu[:, 0] if forms == 1 else np.rint(((self.mu + self.p.start[self.of][:, None]) * self.tau).sum(axis=1)).astype(np.int64))
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, np.diff(key[order]) > 0)
+        if not new.all():
+            r = self._merge(r, order, new)
+        total = r.sum(axis=1)
+        # weights
+        first = np.flatnonzero(np.append(True, np.diff(self.of) > 0))
+        there = self.of[first]  # parts that have components left
+        least = np.zeros(parts)
+        least[there] = np.minimum.reduceat(total, first)
+        gone = np.zeros(parts, bool)
+        gone[there] = least[there] <= (alpha * ease)[there]
+        weakest = np.flatnonzero((total == least[self.of]) & gone[self.of])
+        weakest = weakest[np.append(True, np.diff(self.of[weakest]) > 0)] if len(weakest) else weakest
+        if len(weakest):
+            keep = np.ones(len(total), bool)
+            keep[weakest] = False
+            self._take(keep)
+            r, total = r[keep], total[keep]
+        pi = np.where(gone[self.of], total, total - (alpha * ease)[self.of])
+        self.pi = pi / np.bincount(self.of, pi, parts)[self.of] * (1 - noise)[self.of]
+        # forms
+        if forms > 1 and len(self.of):
+            shares = np.where(self.tau > 0, r, np.inf)
+            weak, each = np.argmin(shares, axis=1), np.arange(len(self.of))
+            thin = self.beta * total * ease[self.of]
+            out = (shares[each, weak] <= thin) & ((self.tau > 0).sum(axis=1) > 1)
+            tau = np.where(self.tau > 0, np.where(out[:, None], r, np.maximum(r - thin[:, None], 0)), 0.0)
+            tau[np.flatnonzero(out), weak[out]] = 0.0
+            sums = tau.sum(axis=1, keepdims=True)
+            self.tau = np.where(sums > 0, tau / np.where(sums > 0, sums, 1), 1.0 / forms)
+        # states
+        state = self.mu, np.round(self.pi, 10), np.round(self.tau, 10)
+        same = (state[0] == self.was[0]).all(axis=1) & (state[1] == self.was[1]) & (state[2] == self.was[2]).all(axis=1)
+        same = (np.bincount(self.of, minlength=parts) == sizes) & (np.bincount(self.of, ~same, parts) == 0)
+        self.equal = np.where((self.t > ANNEALED) & same, self.equal + 1, 0)
+        self.was = (state[0].copy(), *state[1:])
+        self.t += ~gone
+
+    def _merge(self, r: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Components at one place become the strongest of them, with the hits of all; those of a part in which some merge are ordered by place."""
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        merged = np.zeros((int(new.sum()), self.forms))
+        np.add.at(merged, number, r)
+        ranked = np.lexsort((-r.sum(axis=1), number))  # stable: the first among equals
+        strongest = ranked[new]
+        whole = np.bincount(self.of[strongest], minlength=len(self.p)) == np.bincount(self.of, minlength=len(self.p))
+        old = whole[self.of[strongest]]
+        # parts without a merger keep the order they have
+        strongest[old] = np.sort(strongest[old])
+        self._take(strongest)
+        return merged[number[strongest]]
+
+
+def _fitted(p: Parts, found: tuple[np.ndarray, ...], model: np.ndarray) -> dict[str, np.ndarray]:
+    """``of, position, form, pi, plus, minus, tau, places`` of the components ``of, mu, pi, tau``, by part and position."""
+    of, mu, pi, tau = found
+    own = p.hits(p.sig > 0)
+    near = _Reach(own, model)
+    live = np.flatnonzero(tau.ravel() > 0)
+    c, form = live // len(model), live % len(model)
+    row, hit, cell = near.pairs(of[c], form, mu[c, form])
+    h = near.flat[cell] * (pi[c] * tau[c, form])[row]
+    w = h / (np.bincount(hit, h, len(own.x)) + (p.noise / (p.end - p.start + 1) / 2)[own.of])[hit] * own.sig[hit]
+    minus = own.minus[hit]
+    chosen = tau.argmax(axis=1)
+    places = mu + p.start[of][:, None]
+    position = places[np.arange(len(of)), chosen]
+    out = {
+        "of": of, "position": position, "form": chosen, "pi": pi, "plus": np.bincount(c[row[~minus]], w[~minus], len(of)), "minus": np.bincount(c[row[minus]], w[minus], len(of)),
+        "tau": tau, "places": places,
+    }
+    order = np.lexsort((position, of))
+    return {k: v[order] for k, v in out.items()}
+
+
+def _assigned(p: Parts, of: np.ndarray, position: np.ndarray, pi: np.ndarray, tau: np.ndarray, model: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """``assign`` for the components of many parts."""
+    near = _Reach(p, model)
+    c, hit, cell = near.pairs(of, np.zeros(len(of), np.int64), position - p.start[of])
+    h = np.zeros(len(c))
+    for k in range(len(model)):
+        h += near.flat[cell + k * 2 * near.span] * tau[c, k]
+    floor = (p.noise / (p.end - p.start + 1) / 2)[p.of]
+    sig = p.sig[hit]
+
+    def shares(pi: np.ndarray) -> np.ndarray:
+        w = h * pi[c]
+        return w / (np.bincount(hit, w, len(p.x)) + floor)[hit]
+
+    for _ in range(rounds):
+        s = np.bincount(c, shares(pi) * sig, len(of))
+        total = np.bincount(of, s, len(p))[of]
+        pi = np.where(total > 0, s / np.where(total > 0, total, 1) * (1 - p.noise[of]), pi)
+    share = shares(pi)
+    held = np.bincount(p.of, p.ctrl, len(p))[of] > 0
+    return np.bincount(c, share * sig, len(of)), np.where(held, np.bincount(c, share * p.ctrl[hit], len(of)), pi)
+
+
+def fit_many(source: Iterator[Parts], model: np.ndarray, beta: float = 0.05, at: np.ndarray | None = None) -> Iterator[tuple[Parts, tuple[np.ndarray, ...]]]:
+    """Parts with ``of, mu, pi, tau`` of their components, as they end. New parts join as others end, so that a round has work enough; ``source`` gives few hits at a time."""
+    fits, more = _Fits(model, beta), True
+    while more or len(fits.p):
+        while more and (fits.p is None or not len(fits.p) or fits.pairs_before < PAIRS // 2):
+            p = next(source, None)
+            more = p is not None
+            if more:
+                fits.add(p, at)
+                # about as many pairs as the first round will have
+                fits.pairs_before += int((p.sig > 0).sum()) * (2 * fits.reach.reach // SPACING + 1) * len(model)
+        if fits.p is None:
+            return
+        if ended := fits.done():
+            yield ended
+        if len(fits.p):
+            fits.step()
+
+
+def _together(ended: Iterator[tuple[Parts, tuple[np.ndarray, ...]]], least: int = 200) -> Iterator[tuple[Parts, tuple[np.ndarray, ...]]]:
+    """What ends round by round, at least ``least`` parts at a time."""
+    kept: list[tuple[Parts, tuple[np.ndarray, ...]]] = []
+    for e in itertools.chain(ended, [None]):
+        if e is not None:
+            kept.append(e)
+        if kept and (e is None or sum(len(p) for p, _ in kept) >= least):
+            shift = np.cumsum([0] + [len(p) for p, _ in kept[:-1]])
+            of = np.concatenate([f[0] + s for (_, f), s in zip(kept, shift)])
+            yield Parts.joined([p for p, _ in kept]), (of, *(np.concatenate([f[k] for _, f in kept]) for k in (1, 2, 3)))
+            kept = []
+
+
 def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: int, model: np.ndarray, alpha: float, noise: float = 0.1, beta: float = 0.05, at: np.ndarray | None = None) -> pd.DataFrame:
     """Components of one region: ``position, form, pi, plus, minus, tau, places``; the last two by form.
 
@@ -106,106 +417,21 @@ def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: in
     are thinned alike by ``beta`` of its share. Both are off for ``PLAIN`` rounds and full
     after ``ANNEALED``. Counts of no more than ``alpha`` in all leave no component.
     """
-    forms = len(model)
-    if count.sum() <= alpha:  # as all would go, one by one
-        at = np.empty(0, np.int64)
-    mu = np.repeat((np.arange(start, end + 1, SPACING) if at is None else np.asarray(at))[:, None], forms, axis=1)
-    pi = np.full(len(mu), (1 - noise) / max(len(mu), 1))
-    tau = np.full((len(mu), forms), 1.0 / forms)
-    log_model = np.log2(np.maximum(model, TINY))
-    moves = np.arange(-MOVE, MOVE + 1)
-    width, t, equal, last = end - start + 1, 0, 0, None
-    reach, form = model.shape[2] // 2, np.arange(forms)
-    # density of every hit at every place, if that is small enough to keep
-    dense = logs = None
-    if len(mu) and forms * width * len(x) <= KEPT:
-        dense = _density(model, minus, np.broadcast_to(x - np.arange(start, end + 1)[:, None, None], (width, forms, len(x)))).transpose(1, 0, 2).copy()
-        logs = np.log2(np.maximum(dense, TINY))
-    for _ in range(MOST):
-        if not len(mu):
-            break
-        ease = min(max((t - PLAIN) / (ANNEALED - PLAIN), 0.0), 1.0)
-        # share hits
-        h = _density(model, minus, x - mu[:, :, None]) if dense is None else dense[form, mu - start]
-        h = h * (pi[:, None] * tau)[:, :, None]
-        share = h / (h.sum(axis=(0, 1)) + noise / width / 2)
-        weighted = share * count
-        r = weighted.sum(axis=2)
-        reached = r.sum(axis=1) > 0
-        if not reached.all():  # no hit within reach, now or later
-            mu, pi, tau, weighted, r = mu[reached], pi[reached], tau[reached], weighted[reached], r[reached]
-            if not len(mu):
-                break
-        # move
-        place = np.minimum(np.maximum(mu[:, :, None] + moves, start), end)
-        if logs is None:
-            d = x - place[..., None]
-            score = np.where(np.abs(d) <= reach, log_model[form[:, None, None], minus.astype(int), np.clip(d + reach, 0, 2 * reach)], np.log2(TINY))
-        else:
-            score = logs[form[:, None], place - start]
-        best = np.argmax(np.round(score @ weighted[..., None], 9)[..., 0], axis=2)
-        mu = np.where(r > 0, place[np.arange(len(mu))[:, None], form, best], mu)
-        # merge
-        key = mu[:, 0] if forms == 1 else np.rint((mu * tau).sum(axis=1)).astype(int)
-        if len(set(key.tolist())) < len(key):
-            _, first, group = np.unique(key, return_index=True, return_inverse=True)
-            merged = np.zeros((len(first), forms))
-            np.add.at(merged, group, r)
-            ranked = np.lexsort((-r.sum(axis=1), group))  # stable: the first among equals
-            strongest = ranked[np.searchsorted(group[ranked], np.arange(len(first)))]
-            mu, tau, r = mu[strongest], tau[strongest], merged
-        total = r.sum(axis=1)
-        # weights
-        weakest = int(np.argmin(total))
-        gone = total[weakest] <= alpha * ease
-        if gone:
-            keep = np.arange(len(mu)) != weakest
-            mu, tau, r, total = mu[keep], tau[keep], r[keep], total[keep]
-        pi = total if gone else total - alpha * ease
-        pi = pi / pi.sum() * (1 - noise) if len(pi) else pi
-        # forms
-        if forms > 1:
-            live = np.where(tau > 0, r, np.inf)
-            weak = np.argmin(live, axis=1)
-            thin = beta * total * ease
-            out = (live[np.arange(len(mu)), weak] <= thin) & ((tau > 0).sum(axis=1) > 1)
-            tau = np.where(tau > 0, np.where(out[:, None], r, np.maximum(r - thin[:, None], 0)), 0.0)
-            tau[np.flatnonzero(out), weak[out]] = 0.0
-            sums = tau.sum(axis=1, keepdims=True)
-            tau = np.where(sums > 0, tau / np.where(sums > 0, sums, 1), 1.0 / forms)
-        if t >= ANNEALED:
-            state = (mu.tobytes(), np.round(pi, 10).tobytes(), np.round(tau, 10).tobytes())
-            equal = equal + 1 if t > ANNEALED and state == last else 0
-            last = state
-        t += not gone
-        if t > ANNEALED and equal >= EQUAL:
-            break
-    chosen = tau.argmax(axis=1) if len(mu) else np.empty(0, int)
-    out = pd.DataFrame({"position": mu[np.arange(len(mu)), chosen], "form": chosen, "pi": pi})
-    if len(mu):
-        h = _density(model, minus, x - mu[:, :, None]) * (pi[:, None] * tau)[:, :, None]
-        w = (h / (h.sum(axis=(0, 1)) + noise / width / 2) * count).sum(axis=1)
-        out["plus"], out["minus"] = w[:, ~minus].sum(axis=1), w[:, minus].sum(axis=1)
-    else:
-        out["plus"] = out["minus"] = np.empty(0)
-    out["tau"] = pd.Series([x.tolist() for x in tau], dtype=object, index=out.index)
-    out["places"] = pd.Series([x.tolist() for x in mu], dtype=object, index=out.index)
-    return out.sort_values("position", kind="stable")
+    order = np.argsort(x, kind="stable")
+    one = lambda v: np.array([v])
+    p = Parts(np.zeros(len(x), np.int64), x[order], minus[order], count[order], np.zeros(len(x)), one(0), one(start), one(end), one(noise), one(float(alpha)))
+    ((p, found),) = fit_many(iter([p]), model, beta, None if at is None else np.asarray(at))
+    out = _fitted(p, found, model)
+    lists = {k: pd.Series(out.pop(k).tolist(), dtype=object) for k in ("tau", "places")}
+    return pd.DataFrame({k: v for k, v in out.items() if k != "of"}).assign(**lists)
 
 
 def assign(x: np.ndarray, minus: np.ndarray, sig: np.ndarray, ctrl: np.ndarray, mu: np.ndarray, pi: np.ndarray, tau: np.ndarray, model: np.ndarray, width: int, noise: float = 0.1, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Signal and control counts of components at fixed places: ``rounds`` of weights from the signal, then the control by the last weights; without control a count of 1 is shared by weight."""
-    h = _density(model, minus, x - np.repeat(mu[:, None], len(model), axis=1)[:, :, None])
-    h = (h * tau[:, :, None]).sum(axis=1)
-    for _ in range(rounds):
-        w = h * pi[:, None]
-        share = w / (w.sum(axis=0) + noise / width / 2)
-        s = (share * sig).sum(axis=1)
-        pi = s / s.sum() * (1 - noise) if s.sum() > 0 else pi
-    w = h * pi[:, None]
-    share = w / (w.sum(axis=0) + noise / width / 2)
-    c = (share * ctrl).sum(axis=1) if ctrl.sum() > 0 else pi.copy()
-    return (share * sig).sum(axis=1), c
+    order = np.argsort(x, kind="stable")
+    one = lambda v: np.array([v])
+    p = Parts(np.zeros(len(x), np.int64), x[order], minus[order], sig[order], ctrl[order], one(0), one(0), one(width - 1), one(noise), one(0.0))
+    return _assigned(p, np.zeros(len(mu), np.int64), mu, pi, tau, model, rounds)
 
 
 COMPONENTS = "region_id bigint, part int, cond_id int, chrom string, component int, position bigint, form int, pi double, plus double, minus double, tau array<double>, places array<bigint>"
@@ -221,24 +447,53 @@ def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0,
     names = ["region_id", "part", "cond_id"]
     schema = COMPONENTS + (", sig double, ctrl double" if assigned else "")
     columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "strand"])
-        x, minus, sig, ctrl = pdf.pos.to_numpy(np.int64), (pdf.strand == "-").to_numpy(), pdf.sig.to_numpy(float), pdf.ctrl.to_numpy(float)
-        first, own = pdf.iloc[0], sig > 0
-        if not own.any():
-            return pd.DataFrame(columns=columns)
-        start, end, share = int(first.fit_start), int(first.fit_end), float(first.noise) if "noise" in pdf else noise
-        out = fit(x[own], minus[own], sig[own], start, end, model, float(first.alpha) if alpha is None else alpha, share)
-        if assigned and len(out):
-            out["sig"], out["ctrl"] = assign(x, minus, sig, ctrl, out.position.to_numpy(np.int64), out.pi.to_numpy(float), np.stack(out.tau.to_numpy()), model, end - start + 1, share)
-        out = out[(out.position >= first.rstart) & (out.position <= first.rend)].copy()
-        for c in (*names, "chrom"):
-            out[c] = first[c]
-        out["component"] = range(len(out))
-        return out.reindex(columns=columns)
-
-    return spread_groups(counts, names).groupBy(*names).applyInPandas(run, schema)
+    own = [*names, "chrom", "rstart", "rend"]
+    values = {"noise": None if "noise" in counts.columns else noise, "alpha": alpha}
+
+    def parts(batches: Iterator[pa.RecordBatch], about: dict[int, tuple]) -> Iterator[Parts]:
+        """Whole parts; the last of a batch waits for the next. ``about``: what a part's components carry, by its number."""
+        rest, number = None, 0
+        for b in itertools.chain(batches, [None]):
+            t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if t is None or not t.num_rows:
+                continue
+            keys = np.stack([t[c].fill_null(-1).to_numpy().astype(np.int64) for c in names])
+            first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            upto = t.num_rows if b is None else int(first[-1])
+            rest, t, first = t.slice(upto), t.slice(0, upto), first[first < upto]
+            if not upto:
+                continue
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, upto)))
+            n = lambda c: t[c].to_numpy().astype(float)  # noqa: E731,B023
+            each = {k: np.full(len(first), v) if (v := values.get(k)) is not None else n(k)[first] for k in ("noise", "alpha")}  # noqa: B023
+            sig = n("sig")
+            p = Parts(of, t["pos"].to_numpy().astype(np.int64), pc.equal(t["strand"], "-").to_numpy(), sig, n("ctrl"), number + np.arange(len(first)), t["fit_start"].to_numpy()[first].astype(np.int64), t["fit_end"].to_numpy()[first].astype(np.int64), **each)
+            p = p if assigned else p.hits(sig > 0)
+            p = p.parts(np.bincount(p.of, p.sig > 0, len(p)) > 0)
+            about.update(zip(p.part.tolist(), zip(*[t[c].take(pa.array(first[p.part - number])).to_pylist() for c in own])))
+            number += len(first)
+            yield p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        about: dict[int, tuple] = {}
+        for p, found in _together(fit_many(parts(batches, about), model)):
+            out = _fitted(p, found, model)
+            of = out.pop("of")
+            if assigned:
+                out["sig"], out["ctrl"] = _assigned(p, of, out["position"], out["pi"], out["tau"], model)
+            given = [about.pop(k) for k in p.part.tolist()]
+            rstart, rend = (np.array([g[k] for g in given], np.int64) for k in (4, 5))
+            keep = np.flatnonzero((out["position"] >= rstart[of]) & (out["position"] <= rend[of]))
+            of, out = of[keep], {k: v[keep] for k, v in out.items()}
+            first = np.append(True, np.diff(of) > 0)[: len(of)]
+            out["component"] = np.arange(len(of)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(of) else of
+            out |= {c: pa.array([given[k][i] for k in of.tolist()], kind) for i, (c, kind) in enumerate(zip(own, (pa.int64(), pa.int32(), pa.int32(), pa.string())))}
+            lists = pa.array(np.arange(len(of) + 1) * len(model), pa.int32())
+            out |= {k: pa.ListArray.from_arrays(lists, pa.array(out[k].ravel())) for k in ("tau", "places")}
+            out |= {k: pa.array(out[k], pa.int32()) for k in ("component", "form")}
+            yield pa.RecordBatch.from_arrays([out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in columns], names=columns)
+
+    return spread_groups(counts, names).sortWithinPartitions(*names, "pos", "strand").mapInArrow(run, schema)
 
 
 def read_profiles(hits: DataFrame, counts: DataFrame, components: DataFrame, model: np.ndarray, noise: float = 0.1, half: int = 250) -> DataFrame:

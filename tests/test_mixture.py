@@ -174,3 +174,57 @@ def test_rounds_use_alphas_and_both_directions(spark, monkeypatch):
     assert forms == [1, 2, 2, 2]
     assert {r["cond_id"] for r in got} == {5}  # 6 counts are over a constant 3, not over the alpha of condition 6
     assert any(abs(r["position"] - 400) <= 10 for r in got)
+
+
+def test_parts_side_by_side_equal_each_alone():
+    """Parts share rounds but nothing else, whatever their size, noise and alpha; one without enough signal has no component."""
+    rng = np.random.default_rng(21)
+    models = mx.with_reverse(np.concatenate([mx.normal_model(8, 15), mx.normal_model(25)]))
+    given = []
+    for k, (places, n) in enumerate([([200, 600], 30), ([50], 8), ([120, 160, 900], 20), ([400], 1), ([700], 60)]):
+        x, minus, count = planted(places, n, rng, 1, 1000, noise=3 * k)
+        given.append((x, minus, count, 1, 1000, 3.0 + k, 0.05 + 0.02 * k))
+    one = lambda v: np.array([v])
+    parts = [mx.Parts(np.zeros(len(x), int), x, m, c, c * 0, one(i), one(a), one(z), one(noise), one(alpha)) for i, (x, m, c, a, z, alpha, noise) in enumerate(given)]
+    seen = []
+    for p, found in mx.fit_many(iter([mx.Parts.joined(parts[:3]), mx.Parts.joined(parts[3:])]), models):
+        out = mx._fitted(p, found, models)
+        for j, k in enumerate(p.part.tolist()):
+            x, m, c, a, z, alpha, noise = given[k]
+            alone, mine = mx.fit(x, m, c, a, z, models, alpha, noise), out["of"] == j
+            assert out["position"][mine].tolist() == alone.position.tolist() and out["form"][mine].tolist() == alone.form.tolist()
+            assert np.allclose(out["pi"][mine], alone.pi) and np.allclose(out["plus"][mine], alone.plus) and np.allclose(out["tau"][mine], np.array(alone.tau.tolist()).reshape(-1, 4))
+            seen.append(k)
+    assert sorted(seen) == [0, 1, 2, 3, 4]
+
+
+def _many_parts(spark, n):
+    rng = np.random.default_rng(22)
+    rows, given = [], {}
+    for k in range(n):
+        x, minus, count = planted([300, 700], 15, rng, 1, 1000)
+        given[k] = (x, minus, count)
+        rows += [(k, 0, 5, 1, 600, 1, 1000, "1", int(a), "-" if m else "+", float(c), 1.0) for a, m, c in zip(x, minus, count)]
+        rows += [(k, 0, 5, 1, 600, 1, 1000, "1", 990, "+", 0.0, 2.0)]  # control only
+    return given, spark.createDataFrame(rows, "region_id bigint, part int, cond_id int, rstart bigint, rend bigint, fit_start bigint, fit_end bigint, chrom string, pos int, strand string, sig double, ctrl double")
+
+
+def test_parts_are_fitted_in_batches_and_not_one_by_one(spark):
+    """No group of its own for each part, also where a part lies over two batches; margins are left out."""
+    given, counts = _many_parts(spark, 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        fitted = mx.fit_regions(counts, MODEL, 5.0, assigned=True)
+        assert "InPandas" not in fitted._jdf.queryExecution().toString()
+        got = fitted.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, (x, minus, count) in given.items():
+        alone = mx.fit(x, minus, count, 1, 1000, MODEL, 5.0)
+        rows = sorted((r for r in got if r["region_id"] == k), key=lambda r: r["component"])
+        assert [r["position"] for r in rows] == alone[alone.position <= 600].position.tolist() and [r["component"] for r in rows] == list(range(len(rows)))
+        order = np.argsort(np.append(x, 990), kind="stable")
+        x, minus, sig, ctrl = np.append(x, 990)[order], np.append(minus, False)[order], np.append(count, 0.0)[order], np.append(np.ones(len(count)), 2.0)[order]
+        s, c = mx.assign(x, minus, sig, ctrl, alone.position.to_numpy(), alone.pi.to_numpy(), np.stack(alone.tau.to_numpy()), MODEL, 1000)
+        inside = (alone.position <= 600).to_numpy()
+        assert [r["sig"] for r in rows] == pytest.approx(s[inside]) and [r["ctrl"] for r in rows] == pytest.approx(c[inside])
