@@ -505,23 +505,31 @@ def read_profiles(hits: DataFrame, counts: DataFrame, components: DataFrame, mod
     """
     names = ["region_id", "part", "cond_id"]
     schema = "region_id bigint, part int, cond_id int, component int, at bigint, chrom string, pos int, strand string, share double"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left[left.sig > 0] if len(left) else left
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        first, right = left.iloc[0], right.sort_values("component")
-        x, minus = left.pos.to_numpy(np.int64), (left.strand == "-").to_numpy()
-        h = _density(model, minus, x - np.stack(right.places.to_numpy())[:, :, None]) * (right.pi.to_numpy()[:, None] * np.stack(right.tau.to_numpy()))[:, :, None]
-        h = h.sum(axis=1)
-        share = h / (h.sum(axis=0) + (float(first.noise) if "noise" in left else noise) / (int(first.fit_end) - int(first.fit_start) + 1) / 2)
-        j, i = np.nonzero((share > 0) & (np.abs(x - right.position.to_numpy()[:, None]) <= half))
-        out = pd.DataFrame({"component": right.component.to_numpy()[j], "at": right.position.to_numpy()[j], "chrom": first.chrom, "pos": x[i], "strand": left.strand.to_numpy()[i], "share": share[j, i]})
-        for c in names:
-            out[c] = first[c]
-        return out
-
-    shares = spread_groups(counts, names).groupBy(*names).cogroup(components.groupBy(*names)).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = b["_held"].flatten()
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b["_held"]).to_numpy())
+            n = lambda c: each.field(c).to_numpy()  # noqa: E731,B023
+            wide = lambda c: each.field(c).flatten().to_numpy().reshape(len(row), -1)  # noqa: E731,B023
+            x, minus = b["pos"].to_numpy().astype(np.int64), pc.equal(b["strand"], "-").to_numpy(zero_copy_only=False)
+            # densities by form, then hit
+            h = _density(model, minus[row], (x[row, None] - wide("places")).T).T * wide("tau")
+            h = h.sum(axis=1) * n("pi")
+            share = h / (np.bincount(row, h, b.num_rows) + b["_floor"].to_numpy())[row]
+            keep = np.flatnonzero((share > 0) & (np.abs(x[row] - n("position")) <= half))
+            at = pa.array(row[keep])
+            out = {c: b[c].take(at) for c in (*names, "chrom", "pos", "strand")} | {"component": each.field("component").take(pa.array(keep)), "at": each.field("position").take(pa.array(keep)), "share": pa.array(share[keep])}
+            yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
+
+    # a hit meets the components of its part, and goes on with those that reach it
+    held = components.groupBy(*names).agg(F.collect_list(F.struct("component", "position", "pi", "tau", "places")).alias("_all"))
+    reaches = lambda c: F.exists(c["places"], lambda p: F.abs(F.col("pos") - p) <= model.shape[2] // 2)
+    floor = (F.col("noise") if "noise" in counts.columns else F.lit(noise)) / (F.col("fit_end") - F.col("fit_start") + 1) / 2
+    own = counts.where("sig > 0").select(*names, "chrom", "pos", "strand", floor.alias("_floor"))
+    j = own.join(held, names).withColumn("_held", F.filter("_all", reaches)).drop("_all").where(F.size("_held") > 0)
+    shares = j.mapInArrow(run, schema)
     reps = hits.groupBy("cond_id", "rep_id", "chrom", "pos", "strand").agg(F.sum("cnt").alias("cnt"))
     j = shares.join(reps, ["cond_id", "chrom", "pos", "strand"])
     return j.groupBy(*names, "component", "rep_id", (F.col("pos") - F.col("at")).cast("int").alias("offset"), "strand").agg(F.sum(F.col("share") * F.col("cnt")).alias("value"))

@@ -228,3 +228,21 @@ def test_parts_are_fitted_in_batches_and_not_one_by_one(spark):
         s, c = mx.assign(x, minus, sig, ctrl, alone.position.to_numpy(), alone.pi.to_numpy(), np.stack(alone.tau.to_numpy()), MODEL, 1000)
         inside = (alone.position <= 600).to_numpy()
         assert [r["sig"] for r in rows] == pytest.approx(s[inside]) and [r["ctrl"] for r in rows] == pytest.approx(c[inside])
+
+
+def test_read_profiles_share_rows_and_not_groups(spark):
+    """The share of a hit is that of a plain loop over the components; no group of its own for each part."""
+    given, counts = _many_parts(spark, 2)
+    components = mx.fit_regions(counts, MODEL, 5.0)
+    hits = counts.where("sig > 0 and region_id = 0").selectExpr("cond_id", "3 as rep_id", "chrom", "pos", "strand", "sig as cnt")
+    profiles = mx.read_profiles(hits, counts, components, MODEL, noise=0.1)
+    assert "InPandas" not in profiles._jdf.queryExecution().toString()
+    kept = [r for r in components.collect() if r["region_id"] == 0]
+    got = {(r["component"], r["offset"], r["strand"]): r["value"] for r in profiles.collect() if r["region_id"] == 0}
+    want = {}
+    for x, minus, count in zip(*given[0]):
+        h = [r["pi"] * (MODEL[0, int(minus), x - r["position"] + 100] if abs(x - r["position"]) <= 100 else 0.0) for r in kept]
+        for r, v in zip(kept, h):
+            if v > 0:
+                want[r["component"], int(x - r["position"]), "-" if minus else "+"] = v / (sum(h) + 0.1 / 1000 / 2) * count
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
