@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import dataclasses
 import itertools
+import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basewise.operators import compiled
 from basewise.operators.intervals import points_in_intervals
 
 LONGEST, SPACING, MOVE = 2000, 30, 30
@@ -32,6 +35,8 @@ MARGIN = 200
 #: iterations without sparseness, until it is fully on, and at most; equal states that end a fit
 PLAIN, ANNEALED, MOST, EQUAL = 50, 100, 2000, 3
 TINY = 1e-300
+#: share of a component by which its forms are thinned
+BETA = 0.05
 #: scores of moves that are held at once, but at least those of one form of a component; pairs of a hit and a form with which a round has work enough
 KEPT, PAIRS = 250000, 200_000
 
@@ -161,16 +166,17 @@ class _Reach:
         return row, hit, self.code[hit] + (form * 2 * self.span + self.reach - place)[row]
 
 
+def _log_density(model: np.ndarray) -> np.ndarray:
+    """Log density of a hit at each distance, of up to ``MOVE`` beyond the reach too."""
+    return np.log2(np.maximum(np.pad(model, [(0, 0), (0, 0), (MOVE, MOVE)]), TINY))
+
+
 class _Fits:
     """Fits of many parts at once, each as ``fit`` has it: one ``step`` is a round of every part that is not done."""
 
     def __init__(self, model: np.ndarray, beta: float) -> None:
         self.model, self.beta, self.forms = model, beta, len(model)
-        reach, span = model.shape[2] // 2, model.shape[2]
-        # log density of a hit at each distance after each move
-        far = np.full((*model.shape[:2], span + 2 * MOVE), np.log2(TINY))
-        far[:, :, MOVE : MOVE + span] = np.log2(np.maximum(model, TINY))
-        moved = np.lib.stride_tricks.sliding_window_view(far, 2 * MOVE + 1, axis=2)[..., ::-1]
+        moved = np.lib.stride_tricks.sliding_window_view(_log_density(model), 2 * MOVE + 1, axis=2)[..., ::-1]
         self.scores = np.ascontiguousarray(moved).reshape(-1, 2 * MOVE + 1)
         self.pairs_before = 0
         self.p = self.reach = None
@@ -374,7 +380,7 @@ def _assigned(p: Parts, of: np.ndarray, position: np.ndarray, pi: np.ndarray, ta
     return np.bincount(c, share * sig, len(of)), np.where(held, np.bincount(c, share * p.ctrl[hit], len(of)), pi)
 
 
-def fit_many(source: Iterator[Parts], model: np.ndarray, beta: float = 0.05, at: np.ndarray | None = None) -> Iterator[tuple[Parts, tuple[np.ndarray, ...]]]:
+def fit_many(source: Iterator[Parts], model: np.ndarray, beta: float = BETA, at: np.ndarray | None = None) -> Iterator[tuple[Parts, tuple[np.ndarray, ...]]]:
     """Parts with ``of, mu, pi, tau`` of their components, as they end. New parts join as others end, so that a round has work enough; ``source`` gives few hits at a time."""
     fits, more = _Fits(model, beta), True
     while more or len(fits.p):
@@ -406,7 +412,31 @@ def _together(ended: Iterator[tuple[Parts, tuple[np.ndarray, ...]]], least: int
             kept = []
 
 
-def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: int, model: np.ndarray, alpha: float, noise: float = 0.1, beta: float = 0.05, at: np.ndarray | None = None) -> pd.DataFrame:
+def _settings(model: np.ndarray, beta: float) -> bytes:
+    """What ``MixtureRounds`` knows besides the parts."""
+    numbers = struct.pack("<5q3d", len(model), model.shape[2] // 2, MOST, EQUAL, SPACING, PLAIN, ANNEALED, beta)
+    return numbers + model.astype("<f8").tobytes() + _log_density(model).astype("<f8").tobytes()
+
+
+def _packed(p: Parts) -> bytes:
+    """Parts for ``MixtureRounds``, which reads them up to ``sig``."""
+    first = np.append(0, np.cumsum(np.bincount(p.of, minlength=len(p))))
+    all_ = [[len(p), len(p.x)], p.alpha, p.noise, p.start, p.end, first, p.x, p.minus, p.sig, p.ctrl]
+    return b"".join(np.asarray(x, "<f8" if k in (1, 2, 8, 9) else "<i8").tobytes() for k, x in enumerate(all_))
+
+
+def _unpacked(packed: bytes, fits: bytes, forms: int) -> tuple[Parts, tuple[np.ndarray, ...]]:
+    """Parts, numbered from 0, with ``of, mu, pi, tau`` of the components that ``MixtureRounds`` gives."""
+    n, hits = np.frombuffer(packed, "<i8", 2).tolist()
+    ends = np.cumsum([2, n, n, n, n, n + 1, hits, hits, hits, hits])
+    words = np.split(np.frombuffer(packed, "<i8"), ends[:-1])
+    alpha, noise, sig, ctrl = (words[k].view("<f8") for k in (1, 2, 8, 9))
+    p = Parts(np.repeat(np.arange(n), np.diff(words[5])), words[6], words[7] > 0, sig, ctrl, np.arange(n), words[3], words[4], noise, alpha)
+    found = np.frombuffer(fits, [("pi", "<f8"), ("mu", "<i8", (forms,)), ("tau", "<f8", (forms,))], offset=8 * n)
+    return p, (np.repeat(np.arange(n), np.frombuffer(fits, "<i8", n)), *(np.ascontiguousarray(found[c]) for c in ("mu", "pi", "tau")))
+
+
+def fit(x: np.ndarray, minus: np.ndarray, count: np.ndarray, start: int, end: int, model: np.ndarray, alpha: float, noise: float = 0.1, beta: float = BETA, at: np.ndarray | None = None) -> pd.DataFrame:
     """Components of one region: ``position, form, pi, plus, minus, tau, places``; the last two by form.
 
     Starts with a component every ``SPACING`` bases (or ``at``), all forms equal. Each round
@@ -474,26 +504,46 @@ def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0,
             number += len(first)
             yield p
 
+    def rows(p: Parts, found: tuple[np.ndarray, ...], given: list[tuple]) -> pa.RecordBatch:
+        out = _fitted(p, found, model)
+        of = out.pop("of")
+        if assigned:
+            out["sig"], out["ctrl"] = _assigned(p, of, out["position"], out["pi"], out["tau"], model)
+        rstart, rend = (np.array([g[k] for g in given], np.int64) for k in (4, 5))
+        keep = np.flatnonzero((out["position"] >= rstart[of]) & (out["position"] <= rend[of]))
+        of, out = of[keep], {k: v[keep] for k, v in out.items()}
+        first = np.append(True, np.diff(of) > 0)[: len(of)]
+        out["component"] = np.arange(len(of)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(of) else of
+        out |= {c: pa.array([given[k][i] for k in of.tolist()], kind) for i, (c, kind) in enumerate(zip(own, (pa.int64(), pa.int32(), pa.int32(), pa.string())))}
+        lists = pa.array(np.arange(len(of) + 1) * len(model), pa.int32())
+        out |= {k: pa.ListArray.from_arrays(lists, pa.array(out[k].ravel())) for k in ("tau", "places")}
+        out |= {k: pa.array(out[k], pa.int32()) for k in ("component", "form")}
+        out["position"] = pa.array(out["position"], pa.int64())
+        # sums of no components at all are whole numbers to numpy
+        return pa.RecordBatch.from_arrays([out[c] if isinstance(out[c], pa.Array) else pa.array(out[c], pa.float64()) for c in columns], names=columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about: dict[int, tuple] = {}
         for p, found in _together(fit_many(parts(batches, about), model)):
-            out = _fitted(p, found, model)
-            of = out.pop("of")
-            if assigned:
-                out["sig"], out["ctrl"] = _assigned(p, of, out["position"], out["pi"], out["tau"], model)
-            given = [about.pop(k) for k in p.part.tolist()]
-            rstart, rend = (np.array([g[k] for g in given], np.int64) for k in (4, 5))
-            keep = np.flatnonzero((out["position"] >= rstart[of]) & (out["position"] <= rend[of]))
-            of, out = of[keep], {k: v[keep] for k, v in out.items()}
-            first = np.append(True, np.diff(of) > 0)[: len(of)]
-            out["component"] = np.arange(len(of)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(of) else of
-            out |= {c: pa.array([given[k][i] for k in of.tolist()], kind) for i, (c, kind) in enumerate(zip(own, (pa.int64(), pa.int32(), pa.int32(), pa.string())))}
-            lists = pa.array(np.arange(len(of) + 1) * len(model), pa.int32())
-            out |= {k: pa.ListArray.from_arrays(lists, pa.array(out[k].ravel())) for k in ("tau", "places")}
-            out |= {k: pa.array(out[k], pa.int32()) for k in ("component", "form")}
-            yield pa.RecordBatch.from_arrays([out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in columns], names=columns)
-
-    return spread_groups(counts, names).sortWithinPartitions(*names, "pos", "strand").mapInArrow(run, schema)
+            yield rows(p, found, [about.pop(k) for k in p.part.tolist()])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        about: dict[int, tuple] = {}
+        for p in parts(batches, about):
+            given = pickle.dumps([about.pop(k) for k in p.part.tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(p)], pa.binary()), pa.array([given], pa.binary())], names=["parts", "about"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, about, fits in zip(b["parts"], b["about"], b["fits"]):
+                yield rows(*_unpacked(p.as_py(), fits.as_py(), len(model)), pickle.loads(about.as_py()))
+
+    grouped = spread_groups(counts, names).sortWithinPartitions(*names, "pos", "strand")
+    rounds = compiled.registered(counts.sparkSession)
+    if rounds is None:
+        return grouped.mapInArrow(run, schema)
+    fits = grouped.mapInArrow(packed, "parts binary, about binary")
+    return fits.withColumn("fits", F.call_function(rounds, "parts", F.lit(_settings(model, BETA)))).mapInArrow(unpacked, schema)
 
 
 def read_profiles(hits: DataFrame, counts: DataFrame, components: DataFrame, model: np.ndarray, noise: float = 0.1, half: int = 250) -> DataFrame:

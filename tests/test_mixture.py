@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from basewise.operators import compiled
 from basewise.operators import mixture as mx
 
 
@@ -246,3 +247,22 @@ def test_read_profiles_share_rows_and_not_groups(spark):
             if v > 0:
                 want[r["component"], int(x - r["position"]), "-" if minus else "+"] = v / (sum(h) + 0.1 / 1000 / 2) * count
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("model", [MODEL, mx.with_reverse(np.concatenate([mx.normal_model(8, 15), mx.normal_model(30, 30)]))])
+def test_rounds_of_the_jvm_are_those_of_numpy(spark, model):
+    rng = np.random.default_rng(11)
+    given = [planted(rng.integers(50, 900, rng.integers(1, 5)), int(rng.integers(1, 40)), rng, 1, 1000, noise=int(rng.integers(0, 30))) for _ in range(60)] + [planted([], 0, rng, 1, 1000, noise=2)]
+    rows = [(k, 0, 5, 1, 1000, 1, 1000, "1", int(a), "-" if m else "+", float(c), 0.0, 0.1) for k, g in enumerate(given) for a, m, c in zip(*g)]
+    counts = spark.createDataFrame(rows, "region_id bigint, part int, cond_id int, rstart int, rend int, fit_start int, fit_end int, chrom string, pos int, strand string, sig double, ctrl double, noise double")
+    fitted = mx.fit_regions(counts, model, alpha=3.0)
+    assert compiled.NAME in fitted._jdf.queryExecution().toString()
+    got = sorted((r.region_id, r.position, r.form, round(r.pi, 9), *np.round(r.tau, 9)) for r in fitted.collect())
+    want = sorted((k, r.position, r.form, round(r.pi, 9), *np.round(r.tau, 9)) for k, g in enumerate(given) for r in mx.fit(*g, 1, 1000, model, 3.0).itertuples())
+    assert got == want and len(want) > 60
+
+
+def test_parts_without_components_beside_others(spark):
+    rows = [(k, 0, 5, 1, 1000, 1, 1000, "1", 500, "+", 1.0, 0.0) for k in range(3)]
+    counts = spark.createDataFrame(rows, "region_id bigint, part int, cond_id int, rstart int, rend int, fit_start int, fit_end int, chrom string, pos int, strand string, sig double, ctrl double")
+    assert mx.fit_regions(counts, MODEL, alpha=3.0, assigned=True).collect() == []
