@@ -28,11 +28,11 @@ def _hits(spark: SparkSession, folder: str) -> DataFrame:
     return base_hits(spark, folder, None).join(replicate_runs(spark, folder), "rep_id").select("run_id", "cond_id", "channel", "chrom", "pos", "strand", "cnt")
 
 
-def _counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of the parts of current regions with the share of noise of their region and condition (``e06``)."""
-    hits = cut_lineage(_hits(spark, folder))
+def _counts(spark: SparkSession, folder: str, hits: DataFrame | None = None) -> DataFrame:
+    """Counts of the parts of current regions with the share of noise of their region and condition (``e06``); ``hits`` are the written ones if they are at hand."""
+    hits = cut_lineage(_hits(spark, folder)) if hits is None else hits
     counts = mx.region_counts(hits, mx.bounded_parts(current_regions(spark, folder), hits))
-    shares = e06_noise_shares(spark, folder).withColumnRenamed("share", "_noise")
+    shares = e06_noise_shares(spark, folder, hits.where("channel = 'signal'")).withColumnRenamed("share", "_noise")
     return counts.join(shares, ["region_id", "cond_id"], "left").withColumn("noise", F.coalesce("_noise", F.lit(0.05))).drop("_noise")
 
 
@@ -63,8 +63,9 @@ def _reported_subtypes(spark: SparkSession, folder: str) -> DataFrame:
     """Components of ``e03`` with their test against the control, those with a q-value of at most 0.01."""
     total = base_hits(spark, folder).join(replicate_runs(spark, folder), "rep_id").groupBy("cond_id").agg(F.sum("cnt").alias("total"))
     share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
-    e = e03_subtypes_assigned(spark, folder).join(total, "cond_id").withColumn("_share", share)
-    e = e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"))).drop("total", "_share")
+    e = e03_subtypes_assigned(spark, folder).join(F.broadcast(total), "cond_id").withColumn("_share", share)
+    # written, as ranks by ranges look at their rows twice, and each time is a fit
+    e = cut_lineage(e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"))).drop("total", "_share"))
     return sg.benjamini_hochberg(e, ["cond_id"], "p", "sig", ["region_id", "part", "component"]).where("q <= 0.01")
 
 
@@ -126,10 +127,10 @@ def e07_rounds(spark: SparkSession, folder: str, rounds: int = 3) -> DataFrame:
     next model. The last round is assigned by its tau and tested. What a round finds is written
     once; the next round and its model read it there.
     """
-    hits = _hits(spark, folder)
+    hits = cut_lineage(_hits(spark, folder))
     signal = hits.where("channel = 'signal'").select("cond_id", "chrom", "pos", "strand", "cnt")
     alphas = m02_alphas(spark, folder).select("cond_id", "alpha")
-    counts = cut_lineage(_counts(spark, folder).join(F.broadcast(alphas), "cond_id"))
+    counts = cut_lineage(_counts(spark, folder, hits).join(F.broadcast(alphas), "cond_id"))
     totals = signal.groupBy("cond_id").agg(F.sum("cnt").alias("total"))
     share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
 

@@ -56,8 +56,9 @@ def m02_alphas(spark: SparkSession, folder: str) -> DataFrame:
     return ls.scan_thresholds(h, ["cond_id"], g, -7.0).join(rep, "cond_id").select("cond_id", F.col("threshold").cast("double").alias("alpha"), F.col("lenient").cast("double").alias("lenient_alpha"))
 
 
-def _potential(spark: SparkSession, folder: str) -> DataFrame:
-    h, g = signal(spark, folder), genome(spark, folder)
+def _potential(spark: SparkSession, folder: str, h: DataFrame | None = None) -> DataFrame:
+    """Enriched regions of each condition; ``h`` is its signal if it is at hand."""
+    h, g = signal(spark, folder) if h is None else h, genome(spark, folder)
     return ls.potential_regions(ls.hit_landscape(h, ["cond_id"]), ls.scan_thresholds(h, ["cond_id"], g), g, ["cond_id"])
 
 
@@ -104,11 +105,12 @@ def a06_region_length(spark: SparkSession, folder: str) -> DataFrame:
     return _lengths(_potential(spark, folder))
 
 
-def a07_noise_per_base(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits outside the regions over the bases outside them, in hits a million bases."""
+def a07_noise_per_base(spark: SparkSession, folder: str, h: DataFrame | None = None) -> DataFrame:
+    """Hits outside the regions over the bases outside them, in hits a million bases; ``h`` is the signal if it is at hand."""
     total = genome(spark, folder).agg(F.sum("len")).scalar()
-    potential = cut_lineage(_potential(spark, folder))
-    out = _inside(spark, folder, potential=potential).groupBy("cond_id").agg(F.sum("outside").alias("outside"))
+    h = signal(spark, folder) if h is None else h
+    potential = cut_lineage(_potential(spark, folder, h))
+    out = ls.counts_in_and_out(h, potential, ["cond_id"], ["cond_id"])
     return out.join(_lengths(potential), "cond_id", "left").select(
         "cond_id", F.round(F.col("outside") * 1e6 / (total - F.coalesce("bases", F.lit(0))), 9).alias("noise")
     )
@@ -246,12 +248,12 @@ def e05_components(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("region_id", (F.col("rstart") + 30 * F.col("_k")).alias("position"), F.round(1 / F.col("n"), 9).alias("pi"))
 
 
-def e06_noise_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """The share of noise among the signal of each current region: expected hits of its width over its hits, within 0.05 and 0.75."""
+def e06_noise_shares(spark: SparkSession, folder: str, h: DataFrame | None = None) -> DataFrame:
+    """The share of noise among the signal of each current region: expected hits of its width over its hits, within 0.05 and 0.75; ``h`` is the signal if it is at hand."""
     r = current_regions(spark, folder)
-    h = signal(spark, folder).select("run_id", "cond_id", "chrom", "pos", "cnt")
+    h = (signal(spark, folder) if h is None else h).select("run_id", "cond_id", "chrom", "pos", "cnt")
     held = iv.points_in_intervals(h, r, ["run_id", "chrom"]).groupBy("region_id", "cond_id").agg(F.sum("cnt").alias("hits"), F.max(F.col("rend") - F.col("rstart") + 1).alias("width"))
-    noise = a07_noise_per_base(spark, folder)
+    noise = a07_noise_per_base(spark, folder, h)
     share = F.col("noise") / 1e6 * F.col("width") / F.col("hits")
     return held.join(noise, "cond_id").select("region_id", "cond_id", F.round(F.greatest(F.least(share, F.lit(0.75)), F.lit(0.05)), 9).alias("share"))
 

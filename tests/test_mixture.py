@@ -266,3 +266,43 @@ def test_parts_without_components_beside_others(spark):
     rows = [(k, 0, 5, 1, 1000, 1, 1000, "1", 500, "+", 1.0, 0.0) for k in range(3)]
     counts = spark.createDataFrame(rows, "region_id bigint, part int, cond_id int, rstart int, rend int, fit_start int, fit_end int, chrom string, pos int, strand string, sig double, ctrl double")
     assert mx.fit_regions(counts, MODEL, alpha=3.0, assigned=True).collect() == []
+
+
+def test_moves_are_scored_again_only_where_weights_changed(spark):
+    """Most places stay where they are for most rounds; the components are those of numpy all the same."""
+    rng = np.random.default_rng(31)
+    x, minus, count = planted([200, 330, 700], 60, rng, 1, 1000, noise=20)
+    order = np.argsort(x, kind="stable")
+    one = lambda v: np.array([v])
+    p = mx.Parts(np.zeros(len(x), int), x[order], minus[order], count[order], np.zeros(len(x)), one(0), one(1), one(1000), one(0.1), one(3.0))
+    loader, given = compiled._object(spark).getClass().getClassLoader(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.Object, 1)
+    given[0] = mx._settings(MODEL, mx.BETA)
+    work = loader.loadClass(f"{compiled.CLASS}$Work").getConstructors()[0].newInstance(given)
+    _, (_, mu, pi, _) = mx._unpacked(mx._packed(p), bytes(work.fit(mx._packed(p))), 1)
+    alone = mx.fit(x, minus, count, 1, 1000, MODEL, 3.0, 0.1)
+    assert sorted((mu[:, 0] + 1).tolist()) == alone.position.tolist() and sorted(pi.round(9)) == sorted(alone.pi.round(9))
+    count_of = lambda name: work.getClass().getField(name).get(work)
+    assert 0 < count_of("scored") < 0.5 * count_of("looked")
+
+
+def test_reported_subtypes_are_fitted_once(spark, monkeypatch, tmp_path):
+    """Ranks by ranges read the tested components twice; the fit must not run for each."""
+    from basewise.plans import models
+
+    seen = tmp_path / "fits"
+
+    def fitted(*_):
+        def run(batches):
+            with seen.open("a") as f:
+                f.write("x")
+            yield from batches
+
+        rows = spark.createDataFrame([(1, 0, 5, k, 30.0, 0.0) for k in range(4)], "region_id bigint, part int, cond_id int, component int, sig double, ctrl double")
+        return rows.coalesce(1).mapInArrow(run, rows.schema)
+
+    monkeypatch.setattr(models, "e03_subtypes_assigned", fitted)
+    monkeypatch.setattr(models, "base_hits", lambda *_: spark.sql("SELECT 1 AS rep_id, 100D AS cnt"))
+    monkeypatch.setattr(models, "replicate_runs", lambda *_: spark.sql("SELECT 1 AS rep_id, 1 AS run_id, 5 AS cond_id"))
+    monkeypatch.setattr(models, "genome", lambda *_: spark.createDataFrame([("1", 1_000_000)], "chrom string, len bigint"))
+    assert len(models._reported_subtypes(spark, "").collect()) == 4
+    assert seen.read_text() == "x"
