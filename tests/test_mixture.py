@@ -306,3 +306,30 @@ def test_reported_subtypes_are_fitted_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(models, "genome", lambda *_: spark.createDataFrame([("1", 1_000_000)], "chrom string, len bigint"))
     assert len(models._reported_subtypes(spark, "").collect()) == 4
     assert seen.read_text() == "x"
+
+
+def test_rounds_read_the_hits_once(spark, monkeypatch, tmp_path):
+    """Counts, totals, noise and the models of all rounds come from hits that are written once."""
+    from basewise.plans import models
+
+    x, minus, count = planted([400], 60, np.random.default_rng(11), 1, 1000, noise=0)
+    rows = [(1, 5, "signal", "1", int(a), "-" if m else "+", float(c)) for a, m, c in zip(x, minus, count)]
+    seen = tmp_path / "reads"
+
+    def hits(*_):
+        def run(batches):
+            with seen.open("a") as f:
+                f.write("x")
+            yield from batches
+
+        h = spark.createDataFrame(rows, "run_id int, cond_id int, channel string, chrom string, pos int, strand string, cnt double")
+        return h.coalesce(1).mapInArrow(run, h.schema)
+
+    given = []
+    monkeypatch.setattr(models, "_hits", hits)
+    monkeypatch.setattr(models, "current_regions", lambda *_: spark.createDataFrame([(7, 1, "1", 1, 1000)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint"))
+    monkeypatch.setattr(models, "e06_noise_shares", lambda *a: given.append(a[2].count()) or spark.createDataFrame([(7, 5, 0.1)], "region_id bigint, cond_id int, share double"))
+    monkeypatch.setattr(models, "genome", lambda *_: spark.createDataFrame([("1", 1_000_000)], "chrom string, len bigint"))
+    monkeypatch.setattr(models, "m02_alphas", lambda *_: spark.createDataFrame([(5, 4.0)], "cond_id int, alpha double"))
+    assert any(abs(r["position"] - 400) <= 10 for r in models.e07_rounds(spark, "").collect())
+    assert seen.read_text() == "x" and given == [len(rows)]
