@@ -17,7 +17,7 @@ import dataclasses
 import itertools
 import pickle
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basewise.operators import compiled
-from basewise.operators.intervals import points_in_intervals
+from basewise.operators.intervals import points_in_intervals, small_side
 
 LONGEST, SPACING, MOVE = 2000, 30, 30
+#: what names a part of a condition
+PART = ["region_id", "part", "cond_id"]
 #: bases over a cut that are fitted with a part: twice the reach of a model
 MARGIN = 200
 #: iterations without sparseness, until it is fully on, and at most; equal states that end a fit
@@ -66,7 +68,10 @@ def bounded_parts(regions: DataFrame, hits: DataFrame, longest: int = LONGEST, s
     cuts = r.where(width >= 1.5 * longest).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.floor((width - 1 - longest // 2) / longest))))
     at = F.col("rstart") + F.col("_k") * longest
     bins = cuts.withColumn("_bin", F.explode(F.sequence(F.ceil((at - longest // 4) / step), F.floor((at + longest // 4) / step))))
-    level = hits.where("channel = 'signal'").groupBy(F.col("run_id").alias("_run"), F.col("chrom").alias("_chrom"), F.floor(F.col("pos") / step).alias("_at")).agg(F.sum("cnt").alias("_hits"))
+    level = hits.where("channel = 'signal'").select("run_id", "chrom", F.floor(F.col("pos") / step).alias("_bin"), "cnt")
+    # only counts near a cut are summed
+    level = level.join(small_side(bins.select("run_id", "chrom", "_bin").distinct()), ["run_id", "chrom", "_bin"], "left_semi")
+    level = level.groupBy(F.col("run_id").alias("_run"), F.col("chrom").alias("_chrom"), F.col("_bin").alias("_at")).agg(F.sum("cnt").alias("_hits"))
     on = (bins["run_id"] == level["_run"]) & (bins["chrom"] == level["_chrom"]) & (bins["_bin"] == level["_at"])
     best = bins.join(level, on, "left").groupBy("region_id", "_k").agg(F.min(F.struct(F.coalesce("_hits", F.lit(0.0)).alias("h"), F.col("_bin").alias("b"))).alias("_best"))
     starts = best.select("region_id", "_k", (F.col("_best.b") * step).alias("_a")).unionByName(r.select("region_id", F.lit(0).cast("bigint").alias("_k"), F.col("rstart").alias("_a")))
@@ -80,22 +85,29 @@ def bounded_parts(regions: DataFrame, hits: DataFrame, longest: int = LONGEST, s
     ).withColumnsRenamed({"_a": "rstart", "_e": "rend"})
 
 
-def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` in a fixed number of partitions by ``keys``: groups are few bytes but long work, so AQE must not pack them by size."""
+def spread_groups(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` in a fixed number of partitions by ``keys``, without them row by row: groups are few bytes but long work, so AQE must not pack them by size."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
 
 
-def region_counts(hits: DataFrame, parts: DataFrame) -> DataFrame:
-    """``region_id, part, cond_id, rstart, rend, fit_start, fit_end, chrom, pos, strand, sig, ctrl``: counts of each base of the fitted stretch of each part.
+def region_counts(hits: DataFrame, parts: DataFrame, shares: DataFrame | None = None) -> DataFrame:
+    """``region_id, part, cond_id, rstart, rend, fit_start, fit_end, chrom, pos, strand, sig, ctrl``: counts of each base of the fitted stretch of each part, those of a part in one partition.
 
     ``hits``: ``run_id, cond_id, channel, chrom, pos, strand, cnt``; ``parts`` as ``bounded_parts``.
+    With ``shares`` (``region_id, cond_id, share``), which are written, ``noise`` is that share, 0.05 where there is none.
     """
     side = lambda c: F.sum(F.when(F.col("channel") == c, F.col("cnt")).otherwise(0.0))
-    base = hits.groupBy("run_id", "cond_id", "chrom", "pos", "strand").agg(side("signal").alias("sig"), side("control").alias("ctrl"))
-    held = points_in_intervals(base, parts, ["run_id", "chrom"], start="fit_start", end="fit_end", width=LONGEST)
-    return held.select("region_id", "part", "cond_id", "rstart", "rend", "fit_start", "fit_end", "chrom", "pos", "strand", "sig", "ctrl")
+    own = hits.select("run_id", "cond_id", "channel", "chrom", "pos", "strand", "cnt")
+    held = points_in_intervals(own, parts, ["run_id", "chrom"], start="fit_start", end="fit_end", width=LONGEST)
+    noise = []
+    if shares is not None:
+        held = held.join(small_side(shares), ["region_id", "cond_id"], "left").withColumn("noise", F.coalesce("share", F.lit(0.05)))
+        noise = ["noise"]
+    # parts move once: their counts are summed where they are fitted
+    base = spread_groups(held, PART).groupBy(*PART, "rstart", "rend", "fit_start", "fit_end", "chrom", "pos", "strand", *noise)
+    return base.agg(side("signal").alias("sig"), side("control").alias("ctrl"))
 
 
 def _density(model: np.ndarray, minus: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -425,13 +437,19 @@ def _packed(p: Parts) -> bytes:
     return b"".join(np.asarray(x, "<f8" if k in (1, 2, 8, 9) else "<i8").tobytes() for k, x in enumerate(all_))
 
 
-def _unpacked(packed: bytes, fits: bytes, forms: int) -> tuple[Parts, tuple[np.ndarray, ...]]:
-    """Parts, numbered from 0, with ``of, mu, pi, tau`` of the components that ``MixtureRounds`` gives."""
+def _parts(packed: bytes) -> Parts:
+    """Parts, numbered from 0."""
     n, hits = np.frombuffer(packed, "<i8", 2).tolist()
     ends = np.cumsum([2, n, n, n, n, n + 1, hits, hits, hits, hits])
     words = np.split(np.frombuffer(packed, "<i8"), ends[:-1])
     alpha, noise, sig, ctrl = (words[k].view("<f8") for k in (1, 2, 8, 9))
-    p = Parts(np.repeat(np.arange(n), np.diff(words[5])), words[6], words[7] > 0, sig, ctrl, np.arange(n), words[3], words[4], noise, alpha)
+    return Parts(np.repeat(np.arange(n), np.diff(words[5])), words[6], words[7] > 0, sig, ctrl, np.arange(n), words[3], words[4], noise, alpha)
+
+
+def _unpacked(packed: bytes, fits: bytes, forms: int) -> tuple[Parts, tuple[np.ndarray, ...]]:
+    """Parts, numbered from 0, with ``of, mu, pi, tau`` of the components that ``MixtureRounds`` gives."""
+    p = _parts(packed)
+    n = len(p)
     found = np.frombuffer(fits, [("pi", "<f8"), ("mu", "<i8", (forms,)), ("tau", "<f8", (forms,))], offset=8 * n)
     return p, (np.repeat(np.arange(n), np.frombuffer(fits, "<i8", n)), *(np.ascontiguousarray(found[c]) for c in ("mu", "pi", "tau")))
 
@@ -467,27 +485,31 @@ def assign(x: np.ndarray, minus: np.ndarray, sig: np.ndarray, ctrl: np.ndarray,
 COMPONENTS = "region_id bigint, part int, cond_id int, chrom string, component int, position bigint, form int, pi double, plus double, minus double, tau array<double>, places array<bigint>"
 
 
-def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0, noise: float = 0.1, assigned: bool = False) -> DataFrame:
+def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0, noise: float = 0.1, assigned: bool = False, together: bool = False) -> DataFrame:
     """Components of every part and condition of ``region_counts``, numbered along the part; those of a margin serve the fit and are left out.
 
     Without ``alpha``, that of the column ``alpha``; a column ``noise`` goes before ``noise``.
     With ``assigned``, ``sig`` and ``ctrl`` are the counts of each component by maximum
-    likelihood (``assign``), taken in the same group as the fit.
+    likelihood (``assign``), taken in the same group as the fit. ``together`` as ``packed_parts``,
+    whose written rows may be given instead of counts; then they have their alpha and noise.
     """
-    names = ["region_id", "part", "cond_id"]
-    schema = COMPONENTS + (", sig double, ctrl double" if assigned else "")
-    columns = [c.split()[0] for c in schema.split(", ")]
-    own = [*names, "chrom", "rstart", "rend"]
+    packed = spread_groups(counts) if "parts" in counts.columns else packed_parts(counts, alpha, noise, assigned, together)
+    return _fit_packed(packed, model, assigned)
+
+
+def packed_parts(counts: DataFrame, alpha: float | None = 5.0, noise: float = 0.1, control: bool = True, together: bool = False) -> DataFrame:
+    """``parts, about``: the parts of ``region_counts`` for ``fit_regions``, many in a row; unless ``control``, without bases of control only. ``together``: the rows of a part are in one partition already."""
+    own = [*PART, "chrom", "rstart", "rend"]
     values = {"noise": None if "noise" in counts.columns else noise, "alpha": alpha}
 
-    def parts(batches: Iterator[pa.RecordBatch], about: dict[int, tuple]) -> Iterator[Parts]:
-        """Whole parts; the last of a batch waits for the next. ``about``: what a part's components carry, by its number."""
-        rest, number = None, 0
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole parts, with what their components carry; the last of a batch waits for the next."""
+        rest = None
         for b in itertools.chain(batches, [None]):
             t = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
             if t is None or not t.num_rows:
                 continue
-            keys = np.stack([t[c].fill_null(-1).to_numpy().astype(np.int64) for c in names])
+            keys = np.stack([t[c].fill_null(-1).to_numpy().astype(np.int64) for c in PART])
             first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
             upto = t.num_rows if b is None else int(first[-1])
             rest, t, first = t.slice(upto), t.slice(0, upto), first[first < upto]
@@ -497,12 +519,32 @@ def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0,
             n = lambda c: t[c].to_numpy().astype(float)  # noqa: E731,B023
             each = {k: np.full(len(first), v) if (v := values.get(k)) is not None else n(k)[first] for k in ("noise", "alpha")}  # noqa: B023
             sig = n("sig")
-            p = Parts(of, t["pos"].to_numpy().astype(np.int64), pc.equal(t["strand"], "-").to_numpy(), sig, n("ctrl"), number + np.arange(len(first)), t["fit_start"].to_numpy()[first].astype(np.int64), t["fit_end"].to_numpy()[first].astype(np.int64), **each)
-            p = p if assigned else p.hits(sig > 0)
+            p = Parts(of, t["pos"].to_numpy().astype(np.int64), pc.equal(t["strand"], "-").to_numpy(), sig, n("ctrl"), np.arange(len(first)), t["fit_start"].to_numpy()[first].astype(np.int64), t["fit_end"].to_numpy()[first].astype(np.int64), **each)
+            p = p if control else p.hits(sig > 0)
             p = p.parts(np.bincount(p.of, p.sig > 0, len(p)) > 0)
-            about.update(zip(p.part.tolist(), zip(*[t[c].take(pa.array(first[p.part - number])).to_pylist() for c in own])))
-            number += len(first)
-            yield p
+            about = pickle.dumps(list(zip(*[t[c].take(pa.array(first[p.part])).to_pylist() for c in own])))
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(p)], pa.binary()), pa.array([about], pa.binary())], names=["parts", "about"])
+
+    grouped = counts if together else spread_groups(counts, PART)
+    return grouped.sortWithinPartitions(*PART, "pos", "strand").mapInArrow(packed, "parts binary, about binary")
+
+
+def _fit_packed(packed: DataFrame, model: np.ndarray, assigned: bool = False) -> DataFrame:
+    """``fit_regions`` of ``packed_parts``, which must have their ``control`` if ``assigned``."""
+    schema = COMPONENTS + (", sig double, ctrl double" if assigned else "")
+    columns = [c.split()[0] for c in schema.split(", ")]
+    own = [*PART, "chrom"]
+
+    def parts(batches: Iterator[pa.RecordBatch], about: dict[int, tuple]) -> Iterator[Parts]:
+        """``about``: what a part's components carry, by its number."""
+        number = 0
+        for b in batches:
+            for p, given in zip(b["parts"], b["about"]):
+                p = _parts(p.as_py())
+                p = dataclasses.replace(p, part=p.part + number)
+                about.update(zip(p.part.tolist(), pickle.loads(given.as_py())))
+                number += len(p)
+                yield p
 
     def rows(p: Parts, found: tuple[np.ndarray, ...], given: list[tuple]) -> pa.RecordBatch:
         out = _fitted(p, found, model)
@@ -527,23 +569,15 @@ def fit_regions(counts: DataFrame, model: np.ndarray, alpha: float | None = 5.0,
         for p, found in _together(fit_many(parts(batches, about), model)):
             yield rows(p, found, [about.pop(k) for k in p.part.tolist()])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        about: dict[int, tuple] = {}
-        for p in parts(batches, about):
-            given = pickle.dumps([about.pop(k) for k in p.part.tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array([_packed(p)], pa.binary()), pa.array([given], pa.binary())], names=["parts", "about"])
-
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, about, fits in zip(b["parts"], b["about"], b["fits"]):
                 yield rows(*_unpacked(p.as_py(), fits.as_py(), len(model)), pickle.loads(about.as_py()))
 
-    grouped = spread_groups(counts, names).sortWithinPartitions(*names, "pos", "strand")
-    rounds = compiled.registered(counts.sparkSession)
+    rounds = compiled.registered(packed.sparkSession)
     if rounds is None:
-        return grouped.mapInArrow(run, schema)
-    fits = grouped.mapInArrow(packed, "parts binary, about binary")
-    return fits.withColumn("fits", F.call_function(rounds, "parts", F.lit(_settings(model, BETA)))).mapInArrow(unpacked, schema)
+        return packed.mapInArrow(run, schema)
+    return packed.withColumn("fits", F.call_function(rounds, "parts", F.lit(_settings(model, BETA)))).mapInArrow(unpacked, schema)
 
 
 def read_profiles(hits: DataFrame, counts: DataFrame, components: DataFrame, model: np.ndarray, noise: float = 0.1, half: int = 250) -> DataFrame:

@@ -29,26 +29,26 @@ def _hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, folder: str, hits: DataFrame | None = None) -> DataFrame:
-    """Counts of the parts of current regions with the share of noise of their region and condition (``e06``); ``hits`` are the written ones if they are at hand."""
+    """Counts of the parts of current regions with the share of noise of their region and condition (``e06``); ``hits`` are the written ones if they are at hand. Regions, parts and shares are written once, as each is counted before it is broadcast."""
     hits = cut_lineage(_hits(spark, folder)) if hits is None else hits
-    counts = mx.region_counts(hits, mx.bounded_parts(current_regions(spark, folder), hits))
-    shares = e06_noise_shares(spark, folder, hits.where("channel = 'signal'")).withColumnRenamed("share", "_noise")
-    return counts.join(shares, ["region_id", "cond_id"], "left").withColumn("noise", F.coalesce("_noise", F.lit(0.05))).drop("_noise")
+    regions = cut_lineage(current_regions(spark, folder))
+    shares = cut_lineage(e06_noise_shares(spark, folder, hits.where("channel = 'signal'"), regions))
+    return mx.region_counts(hits, cut_lineage(mx.bounded_parts(regions, hits)), shares)
 
 
 def e01_components(spark: SparkSession, folder: str) -> DataFrame:
     """Components of each part and condition under one unstranded model."""
-    return mx.fit_regions(_counts(spark, folder), mx.normal_model(), alpha=3.0).drop("tau", "form", "places")
+    return mx.fit_regions(_counts(spark, folder), mx.normal_model(), alpha=3.0, together=True).drop("tau", "form", "places")
 
 
 def e02_subtypes(spark: SparkSession, folder: str) -> DataFrame:
     """Components with two subtypes, narrow and wide, each in both orientations."""
-    return mx.fit_regions(_counts(spark, folder), SUBTYPES, alpha=3.0).drop("places")
+    return mx.fit_regions(_counts(spark, folder), SUBTYPES, alpha=3.0, together=True).drop("places")
 
 
-def e03_subtypes_assigned(spark: SparkSession, folder: str) -> DataFrame:
-    """Signal and control counts of the components of ``e02`` by maximum likelihood, places and tau held."""
-    return mx.fit_regions(_counts(spark, folder), SUBTYPES, alpha=3.0, assigned=True)
+def e03_subtypes_assigned(spark: SparkSession, folder: str, hits: DataFrame | None = None) -> DataFrame:
+    """Signal and control counts of the components of ``e02`` by maximum likelihood, places and tau held; ``hits`` are the written ones if they are at hand."""
+    return mx.fit_regions(_counts(spark, folder, hits), SUBTYPES, alpha=3.0, together=True, assigned=True)
 
 
 def a14_read_profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,9 +61,10 @@ def a14_read_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def _reported_subtypes(spark: SparkSession, folder: str) -> DataFrame:
     """Components of ``e03`` with their test against the control, those with a q-value of at most 0.01."""
-    total = base_hits(spark, folder).join(replicate_runs(spark, folder), "rep_id").groupBy("cond_id").agg(F.sum("cnt").alias("total"))
+    signal, control = (cut_lineage(base_hits(spark, folder, c).join(replicate_runs(spark, folder), "rep_id")) for c in ("signal", "control"))
+    total = signal.groupBy("cond_id").agg(F.sum("cnt").alias("total"))
     share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
-    e = e03_subtypes_assigned(spark, folder).join(F.broadcast(total), "cond_id").withColumn("_share", share)
+    e = e03_subtypes_assigned(spark, folder, signal.unionByName(control)).join(F.broadcast(total), "cond_id").withColumn("_share", share)
     # written, as ranks by ranges look at their rows twice, and each time is a fit
     e = cut_lineage(e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"))).drop("total", "_share"))
     return sg.benjamini_hochberg(e, ["cond_id"], "p", "sig", ["region_id", "part", "component"]).where("q <= 0.01")
@@ -106,7 +107,7 @@ def k07_aligned_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def e04_assigned(spark: SparkSession, folder: str) -> DataFrame:
     """Signal and control counts of the components of ``e01``."""
-    return mx.fit_regions(_counts(spark, folder), mx.normal_model(), alpha=3.0, assigned=True).select("region_id", "part", "cond_id", "chrom", "component", "position", "sig", "ctrl")
+    return mx.fit_regions(_counts(spark, folder), mx.normal_model(), alpha=3.0, together=True, assigned=True).select("region_id", "part", "cond_id", "chrom", "component", "position", "sig", "ctrl")
 
 
 def o05_component_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,13 +125,13 @@ def e07_rounds(spark: SparkSession, folder: str, rounds: int = 3) -> DataFrame:
     Round 0 fits, assigns and tests under one unstranded model; the reads around its significant
     events give the first stranded model. Each further round fits that model and its reverse
     complement, and reads around its components of over 3 alpha, in their direction, give the
-    next model. The last round is assigned by its tau and tested. What a round finds is written
-    once; the next round and its model read it there.
+    next model. The last round is assigned by its tau and tested. The packed parts are written
+    once for all rounds, and what a round finds, which the next round and its model read there.
     """
     hits = cut_lineage(_hits(spark, folder))
     signal = hits.where("channel = 'signal'").select("cond_id", "chrom", "pos", "strand", "cnt")
-    alphas = m02_alphas(spark, folder).select("cond_id", "alpha")
-    counts = cut_lineage(_counts(spark, folder, hits).join(F.broadcast(alphas), "cond_id"))
+    alphas = cut_lineage(m02_alphas(spark, folder).select("cond_id", "alpha"))
+    packed = cut_lineage(mx.packed_parts(_counts(spark, folder, hits).join(F.broadcast(alphas), "cond_id"), alpha=None, together=True))
     totals = signal.groupBy("cond_id").agg(F.sum("cnt").alias("total"))
     share = 50.0 / genome(spark, folder).agg(F.sum("len").cast("double")).scalar()
 
@@ -138,13 +139,13 @@ def e07_rounds(spark: SparkSession, folder: str, rounds: int = 3) -> DataFrame:
         e = components.join(totals, "cond_id").withColumn("_share", F.lit(share))
         return cut_lineage(e.withColumn("p", sg.p_value(F.col("sig"), F.col("ctrl"), F.col("total"), F.col("_share"), fold)).drop("_share", "total", "tau", "places"))
 
-    events = tested(mx.fit_regions(counts, mx.normal_model(), alpha=None, assigned=True), 1.2 if rounds else 1.5)
+    events = tested(mx.fit_regions(packed, mx.normal_model(), alpha=None, assigned=True), 1.2 if rounds else 1.5)
     near = events.where("p <= 0.05").withColumn("strand", F.lit("+"))
     for k in range(rounds):
         at = near.select("cond_id", "chrom", F.col("position").alias("point"), F.col("strand").alias("point_strand"))
         model = mx.with_reverse(mx.model_from_profile(composite(signal, at, ["cond_id"])))
         last = k + 1 == rounds
-        components = mx.fit_regions(counts, model, alpha=None, assigned=last)
+        components = mx.fit_regions(packed, model, alpha=None, assigned=last)
         if last:
             events = tested(components, 1.5)
         else:

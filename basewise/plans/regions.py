@@ -248,9 +248,9 @@ def e05_components(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("region_id", (F.col("rstart") + 30 * F.col("_k")).alias("position"), F.round(1 / F.col("n"), 9).alias("pi"))
 
 
-def e06_noise_shares(spark: SparkSession, folder: str, h: DataFrame | None = None) -> DataFrame:
-    """The share of noise among the signal of each current region: expected hits of its width over its hits, within 0.05 and 0.75; ``h`` is the signal if it is at hand."""
-    r = current_regions(spark, folder)
+def e06_noise_shares(spark: SparkSession, folder: str, h: DataFrame | None = None, r: DataFrame | None = None) -> DataFrame:
+    """The share of noise among the signal of each current region: expected hits of its width over its hits, within 0.05 and 0.75; ``h`` is the signal and ``r`` the regions if they are at hand."""
+    r = current_regions(spark, folder) if r is None else r
     h = (signal(spark, folder) if h is None else h).select("run_id", "cond_id", "chrom", "pos", "cnt")
     held = iv.points_in_intervals(h, r, ["run_id", "chrom"]).groupBy("region_id", "cond_id").agg(F.sum("cnt").alias("hits"), F.max(F.col("rend") - F.col("rstart") + 1).alias("width"))
     noise = a07_noise_per_base(spark, folder, h)

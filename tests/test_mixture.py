@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basewise.operators import compiled
 from basewise.operators import mixture as mx
@@ -333,3 +334,33 @@ def test_rounds_read_the_hits_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(models, "m02_alphas", lambda *_: spark.createDataFrame([(5, 4.0)], "cond_id int, alpha double"))
     assert any(abs(r["position"] - 400) <= 10 for r in models.e07_rounds(spark, "").collect())
     assert seen.read_text() == "x" and given == [len(rows)]
+
+
+def test_rounds_pack_their_parts_once(spark, monkeypatch):
+    """The fits of all rounds read the parts as they are packed once, with their control for those that are assigned."""
+    from basewise.plans import models
+
+    x, minus, count = planted([400], 60, np.random.default_rng(11), 1, 1000, noise=0)
+    rows = [(1, 5, c, "1", int(a), "-" if m else "+", float(n)) for a, m, n in zip(x, minus, count) for c in ("signal", "control")[: 1 + (a < 380)]]
+    monkeypatch.setattr(models, "_hits", lambda *_: spark.createDataFrame(rows, "run_id int, cond_id int, channel string, chrom string, pos int, strand string, cnt double"))
+    monkeypatch.setattr(models, "current_regions", lambda *_: spark.createDataFrame([(7, 1, "1", 1, 1000)], "region_id bigint, run_id int, chrom string, rstart bigint, rend bigint"))
+    monkeypatch.setattr(models, "e06_noise_shares", lambda *_: spark.createDataFrame([(7, 5, 0.1)], "region_id bigint, cond_id int, share double"))
+    monkeypatch.setattr(models, "genome", lambda *_: spark.createDataFrame([("1", 1_000_000)], "chrom string, len bigint"))
+    monkeypatch.setattr(models, "m02_alphas", lambda *_: spark.createDataFrame([(5, 4.0)], "cond_id int, alpha double"))
+    packed, given, packed_parts, fit_regions = [], [], mx.packed_parts, mx.fit_regions
+    monkeypatch.setattr(mx, "packed_parts", lambda *a, **k: packed.append(1) or packed_parts(*a, **k))
+    monkeypatch.setattr(mx, "fit_regions", lambda c, *a, **k: given.append(c.columns) or fit_regions(c, *a, **k))
+    got = models.e07_rounds(spark, "").collect()
+    assert packed == [1] and given == [["parts", "about"]] * 4
+    assert any(abs(r["position"] - 400) <= 10 and r["ctrl"] > 0 for r in got)
+
+
+def test_counts_of_a_part_are_together(spark):
+    """One partition has all rows of a part, so they are packed where they are summed, without another shuffle."""
+    hits = spark.createDataFrame([(1, 5, c, "1", p, s, 1.0) for p in range(100, 400, 3) for s in "+-" for c in ("signal", "control")], "run_id int, cond_id int, channel string, chrom string, pos int, strand string, cnt double")
+    parts = spark.createDataFrame([(7, k, 1, "1", a, a + 99, a, a + 99) for k, a in enumerate((100, 200, 300))], "region_id bigint, part int, run_id int, chrom string, rstart bigint, rend bigint, fit_start bigint, fit_end bigint")
+    shares = spark.createDataFrame([(7, 5, 0.2)], "region_id bigint, cond_id int, share double")
+    counts = mx.region_counts(hits, parts, shares)
+    got = counts.withColumn("at", F.spark_partition_id()).groupBy("part").agg(F.count_distinct("at"), F.count("*"), F.sum("sig"), F.sum("ctrl"), F.min("noise")).collect()
+    assert len(got) == 3 and all(r[1] == 1 and r[2] == r[3] == r[4] and r[5] == 0.2 for r in got) and sum(r[2] for r in got) == 200
+    assert len(mx.packed_parts(counts, together=True).collect()) <= 3
