@@ -364,3 +364,18 @@ def test_counts_of_a_part_are_together(spark):
     got = counts.withColumn("at", F.spark_partition_id()).groupBy("part").agg(F.count_distinct("at"), F.count("*"), F.sum("sig"), F.sum("ctrl"), F.min("noise")).collect()
     assert len(got) == 3 and all(r[1] == 1 and r[2] == r[3] == r[4] and r[5] == 0.2 for r in got) and sum(r[2] for r in got) == 200
     assert len(mx.packed_parts(counts, together=True).collect()) <= 3
+
+
+def test_reported_subtypes_read_the_hits_once(spark, monkeypatch):
+    """Totals and fits take the hits of each channel from one table that is written once."""
+    from basewise.plans import models
+
+    asked, given = [], []
+    h = spark.createDataFrame([(1, c, "1", 500, "+", n) for c, n in (("signal", 90.0), ("control", 7.0))], "rep_id int, channel string, chrom string, pos int, strand string, cnt double")
+    rows = spark.createDataFrame([(1, 0, 5, k, 30.0, 0.0) for k in range(4)], "region_id bigint, part int, cond_id int, component int, sig double, ctrl double")
+    monkeypatch.setattr(models, "base_hits", lambda _, __, channel="signal": asked.append(channel) or h.where(F.col("channel") == channel))
+    monkeypatch.setattr(models, "replicate_runs", lambda *_: spark.sql("SELECT 1 AS rep_id, 1 AS run_id, 5 AS cond_id"))
+    monkeypatch.setattr(models, "e03_subtypes_assigned", lambda _, __, hits: given.extend(sorted((r["run_id"], r["cond_id"], r["channel"], r["cnt"]) for r in hits.collect())) or rows)
+    monkeypatch.setattr(models, "genome", lambda *_: spark.createDataFrame([("1", 1_000_000)], "chrom string, len bigint"))
+    assert len(models._reported_subtypes(spark, "").collect()) == 4
+    assert asked == ["signal", "control"] and given == [(1, 5, "control", 7.0), (1, 5, "signal", 90.0)]
